@@ -1,0 +1,6 @@
+"""Streaming.
+
+The pipeline this engine re-expresses is batch only: it has no stream
+sources, watermarks, windows or state, so nothing is provided here. The
+feature operators are plain DataFrame transformations and can be applied to
+a ``readStream`` DataFrame inside ``foreachBatch`` if ever needed."""
