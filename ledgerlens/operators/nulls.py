@@ -35,21 +35,30 @@ def column_means(df: DataFrame, cols: Sequence[str], by: str | None = None) -> D
     return df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
 
 
+def collect_means(df: DataFrame, cols: Sequence[str], by: str | None = None,
+                  max_groups: int = 1024) -> list | None:
+    """The means of ``column_means`` as driver rows, or None when there are
+    more than ``max_groups`` groups (then they stay a DataFrame). At most
+    ``max_groups + 1`` small rows are fetched."""
+    rows = column_means(df, cols, by).limit(max_groups + 1).collect()
+    return rows if len(rows) <= max_groups else None
+
+
 def impute_mean(df: DataFrame, cols: Sequence[str], by: str | None = None,
-                max_groups: int = 1024) -> DataFrame:
+                max_groups: int = 1024, means: list | None = None) -> DataFrame:
     """Cast ``cols`` to double and fill their nulls/NaNs with the mean of the
     column, computed separately for each value of ``by`` (the split) when
     given. The means are one small aggregate; up to ``max_groups`` groups they
     are inlined as literals (no join, stays in codegen); beyond that they are
-    joined back on ``by``, a normal shuffle join AQE may broadcast."""
+    joined back on ``by``, a normal shuffle join AQE may broadcast. ``means``
+    may pass rows already fetched with ``collect_means``."""
     cols = list(cols)
     clean = nan_to_null(df.withColumns({c: F.col(c).cast("double") for c in cols}), cols)
-    means = column_means(clean, cols, by)
-    rows = means.limit(max_groups + 1).collect()  # at most max_groups + 1 small rows
-    if not by:
+    rows = means if means is not None else collect_means(clean, cols, by, max_groups)
+    if rows is not None and not by:
         m = rows[0]
         return clean.withColumns({c: F.coalesce(F.col(c), F.lit(m[c]).cast("double")) for c in cols})
-    if len(rows) <= max_groups:
+    if rows is not None:
         fills = {}
         for c in cols:
             expr = None
@@ -59,7 +68,8 @@ def impute_mean(df: DataFrame, cols: Sequence[str], by: str | None = None,
                 expr = F.when(cond, val) if expr is None else expr.when(cond, val)
             fills[c] = F.coalesce(F.col(c), expr) if expr is not None else F.col(c)
         return clean.withColumns(fills)
-    renamed = means.select(F.col(by), *[F.col(c).alias(f"__mean_{c}") for c in cols])
+    means_df = column_means(clean, cols, by)
+    renamed = means_df.select(F.col(by), *[F.col(c).alias(f"__mean_{c}") for c in cols])
     joined = clean.join(renamed, on=clean[by].eqNullSafe(renamed[by]), how="left").drop(renamed[by])
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.col(f"__mean_{c}")) for c in cols}

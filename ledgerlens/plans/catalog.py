@@ -53,8 +53,8 @@ def query(key: str, sql: str | None = None):
 
 
 def for_check(df: DataFrame) -> DataFrame:
-    """Round float/double columns to 4 decimals: floor(x * 1e4 + 0.5) / 1e4."""
-    repl = {f.name: F.floor(F.col(f.name).cast("double") * 10000.0 + 0.5) / 10000.0
+    """Round float/double columns to 4 decimals on the grid of ``oracle.rnd``."""
+    repl = {f.name: F.floor(F.col(f.name).cast("double") * O.ROUND_SCALE + O.ROUND_CUT) / O.ROUND_SCALE
             for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     return df.withColumns(repl) if repl else df
 
@@ -293,15 +293,21 @@ def q_digital_features(spark, sf_dir):
     return for_check(FT.digital_features(X.digital(_t(spark, sf_dir))))
 
 
-def _profile_sql(view_sql: str, views, keys, spec, keep=None) -> str:
+def _profile_sql(view_sql: str, views, keys, spec, keep=None, int_cols=()) -> str:
     names = [n for n, _, _ in spec]
     if keep is not None:
         spec = [s for s in spec if s[0] in keep]
         names = [n for n in names if n in keep]
-    aggs = ", ".join(f"{O.stat_sql(s, c)} AS {n}" for n, s, c in spec)
+
+    def agg(s, c):
+        e = O.stat_sql(s, c)
+        return f"CAST({e} AS BIGINT)" if s == "sum" and c in int_cols else e
+
+    aggs = ", ".join(f"{agg(s, c)} AS {n}" for n, s, c in spec)
     k = ", ".join(keys)
     inner = f"(SELECT {k}, {aggs} FROM ({view_sql}) t GROUP BY {k}) p"
-    floating = {n for n, s, _ in spec if s in O.FLOATING_STATS}
+    floating = {n for n, s, c in spec
+                if s in ("mean", "std", "kurtosis") or (s in O.FLOATING_STATS and c not in int_cols)}
     return O.with_views(views, O.select_rounded([*keys, *names], floating, inner))
 
 
@@ -353,7 +359,7 @@ def _typed_customers(t: Tables) -> DataFrame:
 
 
 @query("profile_by_id", _profile_sql(CUSTOMER_TYPED_SQL, ["customers"], ["ID"], CUSTOMER_PROFILE_SPEC,
-                                     keep=set(CUSTOMER_PROFILE_KEPT)))
+                                     keep=set(CUSTOMER_PROFILE_KEPT), int_cols=set(FT.CUSTOMER_FLAGS)))
 def q_profile_by_id(spark, sf_dir):
     c = _typed_customers(_t(spark, sf_dir))
     return for_check(P.profile(c, ["ID"], CUSTOMER_PROFILE_COLS, None, alias="ctm", drop_all_null=True))
@@ -428,7 +434,9 @@ def _matrix_sql() -> str:
     means = "SELECT partition, " + ", ".join(f"avg({c}) AS {c}" for c in feats) + " FROM wt GROUP BY partition"
     imp = ("SELECT wt.ID, wt.period, wt.attrition, " + ", ".join(f"coalesce(wt.{c}, m.{c}) AS {c}" for c in feats)
            + " FROM wt JOIN m ON wt.partition = m.partition WHERE wt.partition = 'train'")
-    done = " AND ".join(f"{c} IS NOT NULL" for c in [*feats, "attrition"])
+    # after the fill a feature is null only where its split has no value at
+    # all; such columns are not model inputs and do not drop rows
+    done = "attrition IS NOT NULL"
     body = ("SELECT ID, period, " + ", ".join(f"{O.rnd(c)} AS {c}" for c in feats)
             + ", CAST(attrition AS BIGINT) AS attrition, CASE WHEN attrition = 0 THEN 0 ELSE 1 END AS binary_target, "
             + "CASE WHEN " + O.seeded_hash(f"split{SEED}", "ID", "period")

@@ -215,19 +215,27 @@ NOT_FEATURES = ("ID", "period", "partition", "key")
 
 def feature_matrix(wide: DataFrame, label: str = "attrition", split_col: str = "split",
                    seed: int = 2020, eval_fraction: float = 0.2) -> ModelMatrix:
-    """Feature list (sorted), double casts, mean imputation per split, complete
-    training rows, integer and binary targets, and a repeatable 80/20 split."""
-    from ..operators.nulls import impute_mean
+    """Feature list (sorted), double casts, mean imputation per split,
+    complete training rows, integer and binary targets, and a repeatable
+    80/20 split.
+
+    A column with no value at all in a split has no mean: it stays null there
+    and is left out of ``features`` (the model inputs) and of the complete-row
+    test, which would otherwise drop every row."""
+    from ..operators.nulls import collect_means, impute_mean, nan_to_null
     from ..operators.resample import hash_split
 
     cols = C.columns_except(wide, NOT_FEATURES)
     features = C.sorted_difference(cols, [label])
-    imputed = impute_mean(wide, features, by="partition")
+    typed_wide = nan_to_null(wide.withColumns({c: F.col(c).cast("double") for c in features}), features)
+    means = collect_means(typed_wide, features, "partition")
+    imputed = impute_mean(typed_wide, features, by="partition", means=means)
+    usable = [f for f in features if all(r[f] is not None for r in means)] if means is not None else features
     validation = imputed.where(F.col("partition") == "test").select("ID", "period", *features)
     train = (imputed.where(F.col("partition") == "train")
-             .dropna(how="any", subset=features + [label])
+             .dropna(how="any", subset=usable + [label])
              .withColumn(label, F.col(label).cast("bigint"))
              .withColumn("binary_target", C.binary_target(label)))
     train = hash_split(train, ("ID", "period"), 1.0 - eval_fraction, seed=seed, col=split_col)
     return ModelMatrix(train.select("ID", "period", *features, label, "binary_target", split_col),
-                       validation, features)
+                       validation, usable)

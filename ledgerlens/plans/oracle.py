@@ -118,9 +118,15 @@ def seeded_hash(seed: str, *cols: str) -> str:
     return md5_int(f"'{seed}:' || " + " || '_' || ".join(cols))
 
 
+# Check rounding grid: 4 decimals with the cut moved off exact decimal ties
+# (statistics such as a kurtosis of -0.65625 are exact ties and would flip
+# between engines on the last bit). Same arithmetic as ``catalog.for_check``.
+ROUND_SCALE = 10000.0
+ROUND_CUT = 0.4876543211
+
+
 def rnd(x: str) -> str:
-    """Check rounding, same arithmetic as ``catalog.for_check``."""
-    return f"(floor(CAST({x} AS DOUBLE) * 10000.0 + 0.5) / 10000.0)"
+    return f"(floor(CAST({x} AS DOUBLE) * {ROUND_SCALE} + {ROUND_CUT}) / {ROUND_SCALE})"
 
 
 STAT_SQL = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "kurtosis": "kurtosis_pop",
