@@ -95,9 +95,9 @@ def fit_two_stage(train: DataFrame, features: Sequence[str], label: str = "attri
     gbt = GBTClassifier(labelCol=binary, featuresCol="features", maxIter=preset.max_iter_binary,
                         maxDepth=preset.max_depth, stepSize=preset.step_size,
                         subsamplingRate=preset.subsample, featureSubsetStrategy=preset.feature_subset,
-                        seed=preset.seed, **preset.extra)
+                        seed=preset.seed, validationTol=preset.validation_tol, **preset.extra)
     if validation_col:
-        gbt.setValidationIndicatorCol(validation_col).setValidationTol(preset.validation_tol)
+        gbt.setValidationIndicatorCol(validation_col)
     if _has_checkpoint_dir(train):
         gbt.setCheckpointInterval(10)
     binary_model = gbt.fit(x)

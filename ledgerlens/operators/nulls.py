@@ -23,12 +23,17 @@ def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def nan_to_null(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     """NaN → null in floating columns, so means skip them like nulls."""
     wanted = set(cols) if cols is not None else None
-    repl = {f.name: F.when(F.isnan(f.name), F.lit(None)).otherwise(F.col(f.name)).cast(f.dataType)
+    repl = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType))
             for f in df.schema.fields
             if isinstance(f.dataType, _FLOATING) and (wanted is None or f.name in wanted)}
     return df.withColumns(repl) if repl else df
 
 
+def clean_doubles(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+    """``cols`` as doubles with NaN turned into null, in one projection."""
+    return df.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols})
+
+
 def column_means(df: DataFrame, cols: Sequence[str], by: str | None = None) -> DataFrame:
     """One aggregation: the double mean of every column (per ``by`` value)."""
     aggs = [F.avg(F.col(c).cast("double")).alias(c) for c in cols]
@@ -45,35 +50,34 @@ def collect_means(df: DataFrame, cols: Sequence[str], by: str | None = None,
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str], by: str | None = None,
-                max_groups: int = 1024, means: list | None = None) -> DataFrame:
+                max_groups: int = 1024, means: list | None = None, prepared: bool = False) -> DataFrame:
     """Cast ``cols`` to double and fill their nulls/NaNs with the mean of the
     column, computed separately for each value of ``by`` (the split) when
-    given. The means are one small aggregate; up to ``max_groups`` groups they
-    are inlined as literals (no join, stays in codegen); beyond that they are
-    joined back on ``by``, a normal shuffle join AQE may broadcast. ``means``
-    may pass rows already fetched with ``collect_means``."""
+    given.
+
+    The means are one aggregate. Up to ``max_groups`` groups they are fetched
+    (a proven bound), turned into a small local table and broadcast-joined
+    back on ``by``; beyond that the aggregate stays distributed and is joined
+    normally (AQE decides the strategy). ``means`` passes rows already fetched
+    with ``collect_means``; ``prepared`` says ``df`` went through
+    ``clean_doubles`` already."""
     cols = list(cols)
-    clean = nan_to_null(df.withColumns({c: F.col(c).cast("double") for c in cols}), cols)
+    clean = df if prepared else clean_doubles(df, cols)
     rows = means if means is not None else collect_means(clean, cols, by, max_groups)
-    if rows is not None and not by:
+    if not by:
         m = rows[0]
         return clean.withColumns({c: F.coalesce(F.col(c), F.lit(m[c]).cast("double")) for c in cols})
+    mean_cols = [f"__mean_{c}" for c in cols]
     if rows is not None:
-        fills = {}
-        for c in cols:
-            expr = None
-            for r in rows:
-                cond = F.col(by).eqNullSafe(F.lit(r[by]))
-                val = F.lit(r[c]).cast("double")
-                expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-            fills[c] = F.coalesce(F.col(c), expr) if expr is not None else F.col(c)
-        return clean.withColumns(fills)
-    means_df = column_means(clean, cols, by)
-    renamed = means_df.select(F.col(by), *[F.col(c).alias(f"__mean_{c}") for c in cols])
-    joined = clean.join(renamed, on=clean[by].eqNullSafe(renamed[by]), how="left").drop(renamed[by])
-    return joined.withColumns(
-        {c: F.coalesce(F.col(c), F.col(f"__mean_{c}")) for c in cols}
-    ).drop(*[f"__mean_{c}" for c in cols])
+        schema = T.StructType([T.StructField(by, clean.schema[by].dataType)]
+                              + [T.StructField(m, T.DoubleType()) for m in mean_cols])
+        table = df.sparkSession.createDataFrame([(r[by], *[r[c] for c in cols]) for r in rows], schema)
+        means_df = F.broadcast(table)
+    else:
+        means_df = column_means(clean, cols, by).toDF(by, *mean_cols)
+    joined = clean.join(means_df, on=by, how="left")
+    filled = joined.withColumns({c: F.coalesce(F.col(c), F.col(m)) for c, m in zip(cols, mean_cols)})
+    return filled.select(*clean.columns)
 
 
 def drop_incomplete_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

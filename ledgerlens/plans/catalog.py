@@ -20,7 +20,7 @@ from ..operators import models as ML
 from ..operators import nulls as N
 from ..operators import profile as P
 from ..operators import resample as R
-from ..session import shared_path
+from ..session import shared_path, wide_plan_settings
 from ..sources import fixtures as X
 from ..sources.csv import read_csv, write_csv
 from ..sources.materialize import cut_lineage, fingerprint, materialize_or_load
@@ -92,11 +92,18 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, schema=schema, sep="|")
 
 
+def materialized_wide(spark, sf_dir) -> DataFrame:
+    """The wide table written once to the shared folder and read back: later
+    steps plan against a parquet scan instead of the whole star-join lineage,
+    and a lost executor replays from the files, not from the raw tables."""
+    wide_plan_settings(spark)
+    t = _t(spark, sf_dir)
+    return materialize_or_load(spark, lambda: wide_table(t), "wide", fingerprint(sf_dir, "wide-v1"))
+
+
 @query("materialize_features", WIDE_SQL)
 def q_materialize_features(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    wide = materialize_or_load(spark, lambda: wide_table(t), "wide", fingerprint(sf_dir, "wide-v1"))
-    return for_check(wide)
+    return for_check(materialized_wide(spark, sf_dir))
 
 
 def _decision_from_scores(s: DataFrame) -> DataFrame:
@@ -446,7 +453,7 @@ def _matrix_sql() -> str:
 
 @query("feature_matrix", _matrix_sql())
 def q_feature_matrix(spark, sf_dir):
-    mm = FT.feature_matrix(wide_table(_t(spark, sf_dir)), seed=SEED)
+    mm = FT.feature_matrix(materialized_wide(spark, sf_dir), seed=SEED)
     return for_check(mm.train)
 
 
@@ -454,6 +461,7 @@ def q_feature_matrix(spark, sf_dir):
 
 @query("feature_star_join", WIDE_SQL)
 def q_feature_star_join(spark, sf_dir):
+    wide_plan_settings(spark)
     return for_check(wide_table(_t(spark, sf_dir)))
 
 
@@ -617,7 +625,7 @@ def q_random_split(spark, sf_dir):
 
 
 def _model_inputs(spark, sf_dir):
-    mm = FT.feature_matrix(wide_table(_t(spark, sf_dir)), seed=SEED)
+    mm = FT.feature_matrix(materialized_wide(spark, sf_dir), seed=SEED)
     train = cut_lineage(mm.train.withColumn("is_eval", F.col("split") == "test"))
     return mm, train
 

@@ -222,14 +222,14 @@ def feature_matrix(wide: DataFrame, label: str = "attrition", split_col: str = "
     A column with no value at all in a split has no mean: it stays null there
     and is left out of ``features`` (the model inputs) and of the complete-row
     test, which would otherwise drop every row."""
-    from ..operators.nulls import collect_means, impute_mean, nan_to_null
+    from ..operators.nulls import clean_doubles, collect_means, impute_mean
     from ..operators.resample import hash_split
 
     cols = C.columns_except(wide, NOT_FEATURES)
     features = C.sorted_difference(cols, [label])
-    typed_wide = nan_to_null(wide.withColumns({c: F.col(c).cast("double") for c in features}), features)
+    typed_wide = clean_doubles(wide, features)
     means = collect_means(typed_wide, features, "partition")
-    imputed = impute_mean(typed_wide, features, by="partition", means=means)
+    imputed = impute_mean(typed_wide, features, by="partition", means=means, prepared=True)
     usable = [f for f in features if all(r[f] is not None for r in means)] if means is not None else features
     validation = imputed.where(F.col("partition") == "test").select("ID", "period", *features)
     train = (imputed.where(F.col("partition") == "train")

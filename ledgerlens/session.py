@@ -20,14 +20,29 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Constraint inference is quadratic (or worse) in the number of aliased
+    # columns; over the ~210-column feature matrix it never finishes. It can
+    # only add redundant filters, so wide plans run without it.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
+def wide_plan_settings(spark: SparkSession) -> None:
+    """Apply the optimizer switch wide feature plans need to ``spark``."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
+DRIVER_MEMORY_LOCAL = "8g"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "ledgerlens", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is also the only executor
+            builder = builder.config("spark.driver.memory", DRIVER_MEMORY_LOCAL)
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
