@@ -78,7 +78,7 @@ def rank_within_class(df: DataFrame, label: str, keys: Sequence[str], seed=2020,
     w_in = Window.partitionBy(label, b).orderBy(h, *keys)
     ranked = hashed.join(F.broadcast(offsets), on=[label, b], how="inner").withColumn(
         "rank", F.col("__off") + F.row_number().over(w_in) - 1)
-    return ranked.drop(h, b, "__off")
+    return ranked.select(*df.columns, "rank")
 
 
 def draw_hash(seed, label_col: Column, i_col: Column) -> Column:
