@@ -68,11 +68,15 @@ def profile(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
             stats: Sequence[str] = GENERIC_STATS, drop_all_null: bool = False) -> DataFrame:
     """List-driven profile: one ``groupBy(keys).agg`` for every statistic of
     every column; the group keys are kept. With ``drop_all_null`` the output
-    columns that are null on every row are removed (one extra global count)."""
+    columns that are null on every row are removed: the profile is first
+    checkpointed to the shared folder (it is much smaller than its input), so
+    the non-null count and the result read it instead of aggregating twice."""
     out = aggregate(df, keys, spec_columns(generic_spec(value_cols, count_cols, alias, stats)))
     if drop_all_null:
+        from ..session import ensure_checkpoint_dir
         from .nulls import drop_empty_columns
-        out = drop_empty_columns(out, keep=keys)
+        ensure_checkpoint_dir(out.sparkSession)
+        out = drop_empty_columns(out.checkpoint(eager=True), keep=keys)
     return out
 
 
