@@ -54,9 +54,12 @@ def query(key: str, sql: str | None = None):
 
 def for_check(df: DataFrame) -> DataFrame:
     """Round float/double columns to 4 decimals on the grid of ``oracle.rnd``."""
-    repl = {f.name: F.floor(F.col(f.name).cast("double") * O.ROUND_SCALE + O.ROUND_CUT) / O.ROUND_SCALE
-            for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    return df.withColumns(repl) if repl else df
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    if not floating:
+        return df
+    return df.selectExpr(*[
+        f"floor(CAST(`{c}` AS DOUBLE) * {O.ROUND_SCALE}D + {O.ROUND_CUT}D) / {O.ROUND_SCALE}D AS `{c}`"
+        if c in floating else f"`{c}`" for c in df.columns])
 
 
 def _t(spark, sf_dir) -> Tables:
