@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding, topk, urlfilter
-from .common import LOWER, UPPER, table
+from . import decontaminate, htmltext, langid, minhash, packing, quality, sharding, topk, toxicity, urlfilter
+from .common import LOWER, UPPER, fold, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +17,61 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = langid.learn(docs.where(~held_out))
+    return (docs.select("doc_id", held_out.alias("held_out"), langid.predict(docs, model).alias("p"))
+            .select("doc_id", "held_out", "p.lang_pred", "p.score"))
+
+
+def rated_documents(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """(key, text, grade) of rated documents outside the held-out fold. The
+    ratings make three grades: 0 poor, 1 well-formed but toxic, 2 good."""
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("rated_id"), "quality", "toxic")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    return (docs.where(fold(F.col("doc_id"), 5) != 0).join(labels.where("quality is not null"),
+                                                          F.col("doc_id") == F.col("rated_id"))
+            .select(F.col("doc_id").alias("key"), "text", grade.alias("grade")))
+
+
+KEEP_QUALITY = 0.5      # probability of more than the lowest grade
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(rated_documents(spark, sf_dir))
+    graded = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+                         quality.grade_column(docs, model).alias("g"))
+    return graded.select("doc_id", "held_out", F.col("g.expected").alias("expected_grade"),
+                         F.col("g.tail").alias("tail_probability"), (F.col("g.tail") >= KEEP_QUALITY).alias("kept"))
+
+
+def toxic_labelled(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """(key, text, label) of labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("rated_id"), "toxic")
+    return (docs.where(fold(F.col("doc_id"), 3) != 1).join(labels, F.col("doc_id") == F.col("rated_id"))
+            .select(F.col("doc_id").alias("key"), "text", F.col("toxic").alias("label")))
+
+
+TOXIC_FROM = 0.7
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxic_labelled(spark, sf_dir))
+    scored = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+                         toxicity.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc").alias("doc_id"), "n_words", F.size("spans").cast("long").alias("n_hit"),
@@ -49,6 +104,31 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return grouped.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+OP6_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(len(w), 5) - 1], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+d AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, x, y) AS node
+      FROM (SELECT doc_id, count(*) AS n, bit_xor(h) AS x, bit_xor(hash(h)) AS y FROM s GROUP BY doc_id)),
+t AS (SELECT s.doc_id, h, n FROM s JOIN d USING (doc_id) WHERE doc_id = node),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.h = b.h AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT DISTINCT a AS x, a AS y FROM l UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+c AS (SELECT x, min(y) AS component FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, node, w.doc_id) AS component_id,
+       w.doc_id = coalesce(component, node, w.doc_id) AS kept
+FROM w LEFT JOIN d USING (doc_id) LEFT JOIN c ON c.x = d.node
+"""
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -82,6 +162,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op7_exact_topk, op8_sharding, op9_bestfit_packing,
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_quality, op4_decontamination,
+                                   op5_toxicity, op6_minhash_dedup, op7_exact_topk, op8_sharding, op9_bestfit_packing,
                                    op10_url_filter)}
-ORACLE = {"op4_decontamination": OP4_SQL, "op7_exact_topk": OP7_SQL}
+ORACLE = {"op4_decontamination": OP4_SQL, "op6_minhash_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL}
