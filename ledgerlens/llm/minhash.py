@@ -7,8 +7,8 @@ per level and walks a permutation of the signature's slots, so that the slots of
 signature are negatively correlated and estimate similarity with less
 variance than independent hashes; a set stops at the level at which all its
 slots are filled. ``BANDS`` bands of ``ROWS`` slots make candidates: two sets of
-similarity 0.85 miss each other in all bands with probability 8e-6, of 0.8
-with 3.5e-4.
+similarity 0.85 miss each other in all bands with probability 4e-7, of 0.8
+with 3e-5.
 
 Equal sets are one node from the start. Links are only ever made on full sets:
 1. every node is compared with one hub of its buckets (the member met in most
@@ -38,7 +38,7 @@ from .common import LOWER, UPPER, stored, text_chunks, with_row_id
 from .components import UnionFind, components
 
 SHINGLE = 5
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
 LEVEL_BITS = 25              # of a slot value: level above, random bits below
 BLOCK = 256
@@ -215,9 +215,30 @@ def _join_blocks(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; documents are linked at
     a Jaccard similarity of ``percent`` / 100 or more."""
+    return _grouped(docs, percent, id_col, text_col).drop("text_key")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the row of the smallest id of each group, all columns as
+    they are. Repeated rows (same id and text) leave one; rows with a null id
+    and rows with an empty set all stay."""
+    grouped = stored(_grouped(docs, percent, id_col, text_col).where("doc_id is not null"), "grouped")
+    same = F.col(id_col).eqNullSafe(F.col("__dup_id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("__dup_key"))
+    keys = [F.col("doc_id").alias("__dup_id"), F.col("text_key").alias("__dup_key")]
+    left = docs.join(grouped.where("doc_id <> component_id").select(*keys).distinct(), same, "left_anti")
+    repeated = grouped.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    if not repeated.limit(1).count():
+        return left
+    repeated = repeated.select(*keys)
+    once = left.join(repeated, same, "left_semi").withColumn("__dup_key", F.xxhash64(F.col(text_col)))
+    return left.join(repeated, same, "left_anti").unionByName(
+        once.dropDuplicates([id_col, "__dup_key"]).drop("__dup_key"))
+
+
+def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType
     own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"),
                       F.xxhash64(F.col(text_col)).alias("text_key"))
@@ -272,6 +293,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     whole = whole.withColumn("label", F.coalesce("label", "node"))
     smallest = whole.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = whole.join(smallest, "label").select("digest", "component_id")
-    return (signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    return (signed.select("doc_id", "text_key", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
             .join(named, "digest", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))

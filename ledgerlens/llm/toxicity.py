@@ -44,7 +44,7 @@ PRIOR = 2.0                  # pseudo-counts that hold evidence back
 MAX_TRAIN = (1200, 1800)     # toxic and other rows the network is fitted on
 MAX_CALIBRATE = (1000, 3000)
 TRAIN_WINDOWS = 8
-EPOCHS, BATCH, RATE = 12, 64, 0.02
+STEPS, BATCH, RATE = 560, 64, 0.02
 SEGMENT_CHARS, CARRY_CHARS = 1_000_000, 1_000
 MAX_KNOWN = 150_000          # distinct words a task remembers
 INPUTS = 3 + len(CHAR_ORDERS)
@@ -241,8 +241,8 @@ def train(x: list[np.ndarray], lengths: list[np.ndarray], label: np.ndarray, see
     v = {k: np.zeros_like(a) for k, a in net.p.items()}
     ones = max(1, label.sum())
     weight = np.where(label == 1, len(label) / (2 * ones), len(label) / (2 * max(1, len(label) - ones)))
-    step, total = 0, EPOCHS * -(-len(label) // BATCH)
-    for _ in range(EPOCHS):
+    step = 0
+    while step < STEPS:
         order = rng.permutation(len(label))
         for at in range(0, len(order), BATCH):
             own = order[at:at + BATCH]
@@ -250,7 +250,7 @@ def train(x: list[np.ndarray], lengths: list[np.ndarray], label: np.ndarray, see
             _, grad = net.gradients(np.concatenate([x[i] for i in own]), np.concatenate([lengths[i] for i in own]),
                                     owner, label[own].astype(np.float64), weight[own])
             step += 1
-            rate = RATE * (1 - step / (total + 1))
+            rate = RATE * max(0.02, 1 - step / (STEPS + 1))
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             for k, g in grad.items():
                 g = g * min(1.0, 1.0 / (norm + 1e-9))
