@@ -21,7 +21,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,56 +33,94 @@ from .common import rank_within, stored, text_chunks, with_row_id
 
 CAPACITY = 4096
 END_ID = 1
-MAX_KNOWN_BYTES = 24 << 20   # of remembered runs, per task
+MAX_KNOWN = 250_000          # runs, and words in them, that a Python worker remembers
 CHUNK_CHARS = 2_000_000
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"   # ASCII marks, without the apostrophe of contractions
 PIECE_SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 class RunTokenizer:
-    """Ids of whole texts, assembled from the ids of their runs."""
+    """Ids of whole texts, assembled from the ids of their runs. The first runs
+    met, which include the frequent ones, are remembered; later ones are
+    tokenised for each chunk of texts that has them."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
-        self.tok, self.end_id = Tokenizer.from_file(path), end_id
-        self._clear()
-
-    def _clear(self) -> None:
+        self.tok = Tokenizer.from_file(path)
         # the empty run stands for the end of a document
-        self.known, self.known_bytes = {b"": 0}, 0
-        self.ids, self.sizes = array("I", [self.end_id]), array("q", [1])
+        self.known: dict[bytes, int] = {b"": 0}
+        self.ids, self.sizes = array("I", [end_id]), array("q", [1])
+        self.words: dict[str, array] = {}
+
+    @staticmethod
+    def _words(run: str) -> tuple[str, ...]:
+        """Parts whose ids make up the run's. The tokenizer lower-cases and
+        separates letters from marks, so the runs ``Word`` and ``word,`` share a
+        part. Only simple cases are taken apart; any other run is one part."""
+        if run.isascii() or (max(run) < "\u0250" and "\u0130" not in run):
+            run = run.lower()
+            core = run.rstrip(TAIL)
+            if core != run and core.isalpha():
+                return core, run[len(core):]
+        return (run,)
 
     def _learn(self, runs: list[bytes]) -> None:
-        encoded = self.tok.encode_batch([r.decode() for r in runs], add_special_tokens=False)
-        for run, enc in zip(runs, encoded):
+        parts = [self._words(r.decode()) for r in runs]
+        new = list({w for p in parts for w in p}.difference(self.words))
+        forget = len(self.words) >= MAX_KNOWN
+        self.words.update((w, array("I", e.ids)) for w, e in
+                          zip(new, self.tok.encode_batch(new, add_special_tokens=False)))
+        for run, part in zip(runs, parts):
+            before = len(self.ids)
+            for w in part:
+                self.ids.extend(self.words[w])
             self.known[run] = len(self.sizes)
-            self.ids.extend(enc.ids)
-            self.sizes.append(len(enc.ids))
-            self.known_bytes += len(run)
+            self.sizes.append(len(self.ids) - before)
+        if forget:
+            for w in new:
+                del self.words[w]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text behind the other, and the first position of each
         text (with the end position last)."""
-        if self.known_bytes > MAX_KNOWN_BYTES:
-            self._clear()
         split = [t.encode().split() for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        if new:
-            self._learn(list(new))
         for runs in split:
             runs.append(b"")
         n_runs = np.fromiter(map(len, split), np.int64, len(split))
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(n_runs.sum()))
+        flat = list(chain.from_iterable(split))
+        index = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(index < 0)
+        forget = len(self.known) >= MAX_KNOWN
+        n_ids, n_sizes = len(self.ids), len(self.sizes)
+        new = list({flat[i] for i in missing.tolist()})
+        if new:
+            self._learn(new)
+            index[missing] = [self.known[flat[i]] for i in missing.tolist()]
         ids, sizes = np.array(self.ids, dtype=np.uint32), np.array(self.sizes, dtype=np.int64)
+        if forget:
+            for run in new:
+                del self.known[run]
+            del self.ids[n_ids:], self.sizes[n_sizes:]
         n, ends = sizes[index], np.cumsum(sizes[index])
         begin = (np.cumsum(sizes) - sizes)[index]
         out = ids[np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(begin - (ends - n), n)]
         return out, np.concatenate(([0], ends[np.cumsum(n_runs) - 1]))
 
 
+_TOKENIZERS: dict[tuple[str, int], RunTokenizer] = {}   # one per Python worker, kept from task to task
+
+
+def run_tokenizer(path: str, end_id: int) -> RunTokenizer:
+    if (path, end_id) not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[path, end_id] = RunTokenizer(path, end_id)
+    return _TOKENIZERS[path, end_id]
+
+
 def _pieces(tokenizer_path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = RunTokenizer(tokenizer_path, end_id)
+        tok = run_tokenizer(tokenizer_path, end_id)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             for lo, hi in text_chunks(texts, CHUNK_CHARS):
