@@ -39,8 +39,9 @@ def cast_numeric(df: DataFrame, cols: Iterable[str], fl: bool = True) -> DataFra
     return df.withColumns({c: conv(c) for c in cols})
 
 
-def cast_double(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    return df.withColumns({c: _c(c).try_cast("double") for c in cols})
+def to_double(c) -> Column:
+    """Double; text that is not a number becomes null (never an error)."""
+    return _c(c).try_cast("double")
 
 
 def yes_no(c) -> Column:
@@ -104,10 +105,6 @@ def binary_target(label) -> Column:
     return F.when(_c(label) == 0, 0).otherwise(1)
 
 
-def round_half_even(c, scale: int = 0) -> Column:
-    return F.bround(_c(c), scale)
-
-
 def score_to_class(c) -> Column:
     """Round a score to a class, half to even (2.5 → 2)."""
     return F.bround(_c(c), 0).cast("int")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
-    return df.groupBy(F.col(label).alias("label"), F.col(pred).alias("prediction")).agg(
+    """Counts of (label, prediction); rows without a label are left out, a row
+    without a prediction is a miss of its label."""
+    return df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label"), F.col(pred).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -30,7 +32,7 @@ def per_label_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
                      F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp")),
             F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("bigint").alias("actual"),
                      F.col("n").alias("predicted"), F.lit(0).cast("bigint").alias("tp")),
-        )).alias("s")).select("s.*")
+        )).alias("s")).select("s.*").where("cls is not null")
     m = per_class.groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("actual").alias("support"),
                                      F.sum("predicted").alias("predicted"))
     tp, sup, prd = F.col("tp").cast("double"), F.col("support"), F.col("predicted")

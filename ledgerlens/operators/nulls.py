@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import to_double
+from ..sources.materialize import stage
+
 _FLOATING = (T.FloatType, T.DoubleType)
 
 
@@ -20,64 +23,44 @@ def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.fillna(0, subset=list(cols) if cols is not None else None)
 
 
-def nan_to_null(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
-    """NaN → null in floating columns, so means skip them like nulls."""
-    wanted = set(cols) if cols is not None else None
-    repl = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType))
-            for f in df.schema.fields
-            if isinstance(f.dataType, _FLOATING) and (wanted is None or f.name in wanted)}
-    return df.withColumns(repl) if repl else df
-
-
 def clean_doubles(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """``cols`` as doubles with NaN turned into null, in one projection."""
-    return df.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols})
+    """``cols`` as doubles (unreadable text is null) with NaN turned into
+    null, in one projection."""
+    return df.withColumns({c: F.nanvl(to_double(c), F.lit(None).cast("double")) for c in cols})
 
 
 def column_means(df: DataFrame, cols: Sequence[str], by: str | None = None) -> DataFrame:
-    """One aggregation: the double mean of every column (per ``by`` value)."""
-    aggs = [F.avg(F.col(c).cast("double")).alias(c) for c in cols]
+    """One aggregation: the mean of every double column (per ``by`` value)."""
+    aggs = [F.avg(F.col(c)).alias(c) for c in cols]
     return df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def collect_means(df: DataFrame, cols: Sequence[str], by: str | None = None,
-                  max_groups: int = 1024) -> list | None:
-    """The means of ``column_means`` as driver rows, or None when there are
-    more than ``max_groups`` groups (then they stay a DataFrame). At most
-    ``max_groups + 1`` small rows are fetched."""
-    rows = column_means(df, cols, by).limit(max_groups + 1).collect()
-    return rows if len(rows) <= max_groups else None
+def fill_with_means(clean: DataFrame, cols: Sequence[str], fitted_on: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Fill null doubles with the means of ``fitted_on`` (``clean`` itself by
+    default), which are one row, in a single projection. Also returns the
+    columns that had a mean."""
+    row = column_means(fitted_on if fitted_on is not None else clean, cols).first()
+    means = {c: row[c] for c in cols if row[c] is not None}
+    return (clean.fillna(means) if means else clean), [c for c in cols if c in means]
 
 
-def impute_mean(df: DataFrame, cols: Sequence[str], by: str | None = None,
-                max_groups: int = 1024, means: list | None = None, prepared: bool = False) -> DataFrame:
-    """Cast ``cols`` to double and fill their nulls/NaNs with the mean of the
-    column, computed separately for each value of ``by`` (the split) when
-    given.
+def impute_mean(df: DataFrame, cols: Sequence[str], by: str | None = None, fit_on=None) -> DataFrame:
+    """Cast ``cols`` to double and fill their nulls/NaNs with the column's mean.
 
-    The means are one aggregate. Up to ``max_groups`` groups they are fetched
-    (a proven bound), turned into a small local table and broadcast-joined
-    back on ``by``; beyond that the aggregate stays distributed and is joined
-    normally (AQE decides the strategy). ``means`` passes rows already fetched
-    with ``collect_means``; ``prepared`` says ``df`` went through
-    ``clean_doubles`` already."""
+    With ``by`` the mean is that of the row's own split (rows with a null
+    split form a split too); with ``by`` and ``fit_on`` all rows get the means
+    of the split ``fit_on``. The cleaned input is written once to the shared folder, so
+    that the aggregate and the fill read it instead of computing it twice;
+    the per-split means stay distributed and are joined."""
     cols = list(cols)
-    clean = df if prepared else clean_doubles(df, cols)
-    rows = means if means is not None else collect_means(clean, cols, by, max_groups)
-    if not by:
-        m = rows[0]
-        return clean.withColumns({c: F.coalesce(F.col(c), F.lit(m[c]).cast("double")) for c in cols})
-    mean_cols = [f"__mean_{c}" for c in cols]
-    if rows is not None:
-        schema = T.StructType([T.StructField(by, clean.schema[by].dataType)]
-                              + [T.StructField(m, T.DoubleType()) for m in mean_cols])
-        table = df.sparkSession.createDataFrame([(r[by], *[r[c] for c in cols]) for r in rows], schema)
-        means_df = F.broadcast(table)
-    else:
-        means_df = column_means(clean, cols, by).toDF(by, *mean_cols)
-    joined = clean.join(means_df, on=by, how="left")
-    filled = joined.withColumns({c: F.coalesce(F.col(c), F.col(m)) for c, m in zip(cols, mean_cols)})
-    return filled.select(*clean.columns)
+    clean = stage(clean_doubles(df, cols), "impute")
+    if not by or fit_on is not None:
+        part = clean if not by else clean.where(F.col(by) == F.lit(fit_on))
+        return fill_with_means(clean, cols, part)[0]
+    means = column_means(clean, cols, by).toDF("__by", *[f"__mean_{c}" for c in cols])
+    joined = clean.join(means, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return joined.select(*[F.coalesce(F.col(c), F.col(f"__mean_{c}")).alias(c) if c in set(cols) else F.col(c)
+                           for c in clean.columns])
 
 
 def drop_incomplete_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

@@ -4,45 +4,38 @@ Every statistic used here (avg, stddev_samp, min, max, population kurtosis,
 sum, count, max of an indicator) is algebraic: Spark runs a partial
 ``HashAggregate`` before the shuffle and a final one after it, so a key
 that owns a third of all rows still sends one partial row per map task, not
-its raw rows. Distinct counts are the exception (Spark expands them into an
-extra aggregation on (key, value)); they are opt-in."""
+its raw rows. Distinct counts of codes are sets of bounded size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# statistic name -> aggregate builder
-STATS: dict[str, Callable[[Column], Column]] = {
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "min": F.min,
-    "max": F.max,
-    "kurtosis": F.kurtosis,  # population excess kurtosis, null for zero variance
-    "sum": F.sum,
-    "count": F.count,
-    "distinct": F.count_distinct,
-}
-
+from ..sources.materialize import stage
+from .nulls import drop_empty_columns
 
 # statistic name -> Spark SQL aggregate, for expression strings
 STAT_SQL = {
     "mean": "avg({})", "std": "stddev_samp({})", "min": "min({})", "max": "max({})",
-    "kurtosis": "kurtosis({})", "sum": "sum({})", "count": "count({})", "distinct": "count(DISTINCT {})",
+    "kurtosis": "kurtosis({})", "sum": "sum({})", "count": "count({})",
+    "distinct": "size(collect_set({}))",   # a bounded number of codes per group
 }
 
 
-def stat(name: str, c) -> Column:
-    return STATS[name](F.col(c) if isinstance(c, str) else c)
+def _literal(level) -> str:
+    """SQL text of a level: numbers as they are, text quoted."""
+    if isinstance(level, str):
+        return "'" + level.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(level)
 
 
 def presence(c: str, levels: Sequence, prefix: str) -> list[Column]:
     """``prefix{k}`` = 1 if any row of the group has ``c == k`` else 0.
     The indicator is built inside the aggregate, so no one-hot columns are
     materialised before the shuffle."""
-    return [F.expr(f"max(CASE WHEN `{c}` = {k} THEN 1 ELSE 0 END) AS `{prefix}{k}`") for k in levels]
+    return [F.expr(f"max(CASE WHEN `{c}` = {_literal(k)} THEN 1 ELSE 0 END) AS `{prefix}{k}`") for k in levels]
 
 
 def spec_columns(spec: Iterable[tuple[str, str, str]]) -> list[Column]:
@@ -77,18 +70,16 @@ def profile(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
     """List-driven profile: one ``groupBy(keys).agg`` for every statistic of
     every column; the group keys are kept. With ``drop_all_null`` the output
     columns that are null on every row are removed: the profile is first
-    checkpointed to the shared folder (it is much smaller than its input), so
-    the non-null count and the result read it instead of aggregating twice."""
+    written to the shared folder (it is much smaller than its input), so the
+    non-null count and the result read it instead of aggregating twice."""
     out = aggregate(df, keys, spec_columns(generic_spec(value_cols, count_cols, alias, stats)))
-    if drop_all_null:
-        from ..session import ensure_checkpoint_dir
-        from .nulls import drop_empty_columns
-        ensure_checkpoint_dir(out.sparkSession)
-        out = drop_empty_columns(out.checkpoint(eager=True), keep=keys)
-    return out
+    return drop_empty_columns(stage(out, "profile"), keep=keys) if drop_all_null else out
 
 
 def distinct_profile(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
                      suffix: str) -> DataFrame:
-    """``count_{col}_{suffix}`` = number of distinct non-null values per group."""
-    return aggregate(df, keys, [F.count_distinct(c).alias(f"count_{c}_{suffix}") for c in cols])
+    """``count_{col}_{suffix}`` = number of distinct non-null values per group,
+    for columns of codes: a group's distinct codes are held as a set in the
+    one partial aggregate, where ``count(DISTINCT)`` of several columns would
+    multiply the input rows before the shuffle."""
+    return aggregate(df, keys, [F.size(F.collect_set(c)).cast("bigint").alias(f"count_{c}_{suffix}") for c in cols])

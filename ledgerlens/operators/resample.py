@@ -1,17 +1,20 @@
 """Splitting and class rebalancing with keyed hashes.
 
 Nothing here loops over classes on the driver or pulls a class into one
-task. The driver only sees the class histogram (one row per class). Exact
-sampling with replacement works on ranks:
-
-1. every row gets a seeded hash ``h``; its rank inside its class is its
-   position in (h, keys) order. The rank is computed in two levels so that
-   no window holds a whole class: bucket = leading bits of ``h``; a small
-   table of counts per (class, bucket) gives each bucket its offset; a
+task. Exact sampling with replacement works on ranks:
+
+1. rows with a label get a seeded hash ``h`` of their keys (a null key counts
+   as empty text) and are written once to the shared folder; every later step reads
+   that copy. A row's rank is its position in (h, keys) order inside its
+   class, computed in two levels so that no window holds a whole class:
+   bucket = leading bits of ``h``, as many as the largest class needs; the
+   counts per (class, bucket) give each bucket its offset and the class its size; a
    ``row_number`` inside (class, bucket) adds the rest.
 2. draws are a distributed ``spark.range``; draw ``i`` of class ``c`` takes
    rank ``hash(seed, c, i) % n_c``.
-3. draws join the ranked rows on (class, rank): unique keys, no skew.
+3. draws join the ranked rows on (class, rank, salt). Where a class has many
+   more draws than rows, its rows are repeated under several salts and the
+   draws spread over them, so no key meets more than about ``DRAWS_PER_KEY`` draws.
 
 Because buckets are the leading bits of ``h``, (bucket, h) order equals
 ``h`` order, so the rank equals a plain ``row_number`` over the class — the
@@ -20,23 +23,33 @@ form the SQL check uses."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import FULL_DIGITS, key_text, md5_int, seeded_hash
+from ..sources.materialize import stage
 
 HASH_BITS = 4 * FULL_DIGITS
+ROWS_PER_BUCKET = 2_000
+DRAWS_PER_KEY = 64
+MAX_CLASSES = 10_000    # more distinct labels than this are not classes: an error
+HASH = "__h"
+
+
+def split_cut(train_fraction: float) -> int:
+    """Hashes below this are the training side."""
+    return int(train_fraction * (1 << HASH_BITS))
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], train_fraction: float = 0.8, seed: int = 2020,
                col: str = "split", labels: tuple[str, str] = ("train", "test")) -> DataFrame:
-    """Tag each row ``train``/``test`` by a seeded hash of its keys:
-    ``hash % 100 < 100 * train_fraction``. A pure projection: no shuffle, and
-    the same key always lands on the same side."""
-    cut = int(round(100 * train_fraction))
-    bucket = seeded_hash(f"split{seed}", *keys) % 100
-    return df.withColumn(col, F.when(bucket < cut, F.lit(labels[0])).otherwise(F.lit(labels[1])))
+    """Tag each row ``train``/``test`` by a seeded hash of its keys, compared
+    with the exact fraction of the hash range. A pure projection: no shuffle,
+    and the same key always lands on the same side."""
+    train = seeded_hash(f"split{seed}", *_texts(keys)) < F.lit(split_cut(train_fraction))
+    return df.withColumn(col, F.when(train, F.lit(labels[0])).otherwise(F.lit(labels[1])))
 
 
 def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 2020) -> list[DataFrame]:
@@ -44,47 +57,70 @@ def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 2020) -> list[Da
     return df.randomSplit(list(weights), seed=seed)
 
 
+def _texts(keys: Sequence[str]) -> list[Column]:
+    return [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+
+
 def class_histogram(df: DataFrame, label: str) -> DataFrame:
     """Rows per class and the class's frequency rank (0 = most frequent; ties
-    broken by the smaller label). The window runs over the histogram, one row
-    per class."""
-    hist = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    broken by the smaller label). Rows without a label are in no class. The
+    window runs over the histogram, one row per class."""
+    hist = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.col("n").desc(), F.col(label).asc())
     return hist.withColumn("freq_rank", (F.row_number().over(w) - 1).cast("int"))
 
 
 def class_counts(df: DataFrame, label: str) -> list[tuple]:
-    """(label, n) most frequent first; one row per class reaches the driver."""
-    rows = class_histogram(df, label).orderBy("freq_rank").collect()
-    return [(r[label], r["n"]) for r in rows]
+    """(label, n) most frequent first; one row per class reaches the driver,
+    and a column with more than ``MAX_CLASSES`` values is refused."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} values: not a class label")
+    return sorted(((r[label], r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
+
 
+def hashed_rows(df: DataFrame, label: str, keys: Sequence[str], seed=2020) -> DataFrame:
+    """The labelled rows with their hash, written once."""
+    return stage(df.where(F.col(label).isNotNull()).withColumn(HASH, seeded_hash(f"row{seed}", *_texts(keys))),
+                 "class-rows")
 
-def row_hash(keys: Sequence[str], seed) -> Column:
-    return seeded_hash(f"row{seed}", *keys)
 
+def bucket_bits(largest: int) -> int:
+    return min(HASH_BITS, max(0, ceil(log2(max(1, largest / ROWS_PER_BUCKET)))))
 
-def rank_within_class(df: DataFrame, label: str, keys: Sequence[str], seed=2020,
-                      bucket_bits: int = 12) -> DataFrame:
+
+def rank_hashed(hashed: DataFrame, label: str, keys: Sequence[str], largest: int) -> DataFrame:
     """Add ``rank`` = 0-based position of the row in (hash, keys) order inside
     its class, without a window over a whole class (see module doc)."""
-    h = "__h"
     b = "__bucket"
-    hashed = df.withColumn(h, row_hash(keys, seed)).withColumn(
-        b, F.shiftright(F.col(h), HASH_BITS - bucket_bits))
-    counts = hashed.groupBy(label, b).agg(F.count(F.lit(1)).alias("__n"))
-    # classes x 2^bucket_bits rows at most: a bounded table, safe to broadcast
-    w_off = Window.partitionBy(label).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_off), F.lit(0))).drop("__n")
-    w_in = Window.partitionBy(label, b).orderBy(h, *keys)
-    ranked = hashed.join(F.broadcast(offsets), on=[label, b], how="inner").withColumn(
-        "rank", F.col("__off") + F.row_number().over(w_in) - 1)
-    return ranked.select(*df.columns, "rank")
+    dealt = hashed.withColumn(b, F.shiftright(F.col(HASH), HASH_BITS - bucket_bits(largest)))
+    before = Window.partitionBy(label).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (dealt.groupBy(label, b).agg(F.count(F.lit(1)).alias("__n"))
+               .select(label, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")))
+    inside = Window.partitionBy(label, b).orderBy(HASH, *keys)
+    ranked = dealt.withColumn("__place", F.row_number().over(inside)).join(offsets, on=[label, b])
+    return ranked.withColumn("rank", F.col("__off") + F.col("__place") - 1).drop(b, "__off", "__place")
+
+
+def rank_within_class(df: DataFrame, label: str, keys: Sequence[str], seed=2020) -> DataFrame:
+    """``df``'s labelled rows with their ``rank`` inside the class."""
+    hashed = hashed_rows(df, label, keys, seed)
+    counts = class_counts(hashed, label)
+    return rank_hashed(hashed, label, keys, counts[0][1] if counts else 0).drop(HASH)
 
 
 def draw_hash(seed, label_col: Column, i_col: Column) -> Column:
     return md5_int(F.lit(f"draw{seed}:"), key_text(label_col, i_col, sep=":"))
 
 
+def _by_class(col: Column, values: list[tuple], default) -> Column:
+    out = F.lit(default)
+    for lab, value in values:
+        out = F.when(col == F.lit(lab), F.lit(value)).otherwise(out)
+    return out
+
+
 def draws_table(spark, quotas: list[tuple], label: str, label_type: str, seed) -> DataFrame:
     """One row per draw: (label, draw, target rank). ``quotas`` rows are
     (label, class size, draws wanted). Built from ``spark.range`` over all
@@ -107,44 +143,57 @@ def draws_table(spark, quotas: list[tuple], label: str, label_type: str, seed) -
     return d.withColumn("rank", draw_hash(seed, F.col(label), F.col("draw")) % F.col("__n")).drop("__n")
 
 
-def sample_by_quota(df: DataFrame, label: str, keys: Sequence[str], quotas: list[tuple],
-                    seed=2020) -> DataFrame:
-    """Exactly ``q`` draws with replacement from each class in ``quotas``
-    ((label, class size, q) rows); output keeps every input column plus
-    ``draw`` (0..q-1), since the same row may be drawn more than once."""
+def _draw(hashed: DataFrame, label: str, keys: Sequence[str], quotas: list[tuple], seed) -> DataFrame:
+    columns = [c for c in hashed.columns if c != HASH]
     quotas = [(lab, n, q) for lab, n, q in quotas if q > 0]
     if not quotas:
-        return df.withColumn("draw", F.lit(None).cast("bigint")).limit(0)
+        return hashed.select(*columns, F.lit(None).cast("bigint").alias("draw")).limit(0)
     for lab, n, _ in quotas:
         if n <= 0:
             raise ValueError(f"class {lab!r} has no rows to draw from")
-    label_type = dict(df.dtypes)[label]
-    wanted = [q[0] for q in quotas]
-    ranked = rank_within_class(df.where(F.col(label).isin(wanted)), label, keys, seed)
-    draws = draws_table(df.sparkSession, quotas, label, label_type, seed)
-    return draws.join(ranked, on=[label, "rank"], how="inner").select(*df.columns, "draw")
+    rows = hashed.where(F.col(label).isin([q[0] for q in quotas]))
+    ranked = rank_hashed(rows, label, keys, max(n for _, n, _ in quotas))
+    draws = draws_table(hashed.sparkSession, quotas, label, dict(hashed.dtypes)[label], seed)
+    spread = [(lab, ceil(q / (n * DRAWS_PER_KEY))) for lab, n, q in quotas]
+    salts = _by_class(F.col(label), spread, 1)
+    ranked = ranked.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    draws = draws.withColumn("__salt", (F.col("draw") % salts).cast("int"))
+    return draws.join(ranked, on=[label, "rank", "__salt"], how="inner").select(*columns, "draw")
+
+
+def sample_by_quota(df: DataFrame, label: str, keys: Sequence[str], quotas: list[tuple],
+                    seed=2020) -> DataFrame:
+    """Exactly ``q`` draws with replacement from each class in ``quotas``
+    ((label, class size, q) rows); output keeps every input column plus
+    ``draw`` (0..q-1), since the same row may be drawn more than once."""
+    return _draw(hashed_rows(df, label, keys, seed), label, keys, quotas, seed)
 
 
 def sample_with_replacement(df: DataFrame, label: str, keys: Sequence[str], n: int,
                             seed=2020) -> DataFrame:
     """``n`` draws with replacement from every class."""
-    counts = class_counts(df, label)
-    return sample_by_quota(df, label, keys, [(lab, c, n) for lab, c in counts], seed)
+    hashed = hashed_rows(df, label, keys, seed)
+    return _draw(hashed, label, keys, [(lab, c, n) for lab, c in class_counts(hashed, label)], seed)
 
 
 def rebalance(df: DataFrame, label: str, keys: Sequence[str], n: int,
-              weights: Sequence[float] | None = None, seed=2020) -> DataFrame:
+              weights: Sequence[float] | None = None, seed=2020, allow_absent: bool = False) -> DataFrame:
     """Most frequent class kept whole (``draw`` null); every other class drawn
     with replacement: ``n`` times each, or ``round(n * w[i])`` times (half to
     even) for the i-th next most frequent class when ``weights`` are given.
-    The weight count must equal the number of classes minus one."""
-    counts = class_counts(df, label)
+    The weight count must equal the number of classes minus one; with
+    ``allow_absent`` the weights of classes that have no row are not used.
+    Rows without a label are left out."""
+    hashed = hashed_rows(df, label, keys, seed)
+    counts = class_counts(hashed, label)
+    if not counts:
+        return hashed.drop(HASH).withColumn("draw", F.lit(None).cast("bigint"))
     others = counts[1:]
     if weights is not None:
-        if len(weights) != len(others):
+        if len(weights) != len(others) and not (allow_absent and len(weights) > len(others)):
             raise ValueError(f"{len(weights)} weights for {len(others)} minority classes")
         quotas = [(lab, c, int(round(n * w))) for (lab, c), w in zip(others, weights)]
     else:
         quotas = [(lab, c, n) for lab, c in others]
-    kept = df.where(F.col(label) == F.lit(counts[0][0])).withColumn("draw", F.lit(None).cast("bigint"))
-    return kept.unionByName(sample_by_quota(df, label, keys, quotas, seed))
+    kept = hashed.where(F.col(label) == F.lit(counts[0][0])).drop(HASH).withColumn("draw", F.lit(None).cast("bigint"))
+    return kept.unionByName(_draw(hashed, label, keys, quotas, seed))

@@ -20,10 +20,10 @@ from ..operators import models as ML
 from ..operators import nulls as N
 from ..operators import profile as P
 from ..operators import resample as R
-from ..session import shared_path, wide_plan_settings
+from ..session import shared_path
 from ..sources import fixtures as X
 from ..sources.csv import read_csv, write_csv
-from ..sources.materialize import cut_lineage, fingerprint, materialize_or_load
+from ..sources.materialize import fingerprint, input_fingerprint, materialize_or_load, stage
 from ..sources.tables import Tables
 from . import features as FT
 from . import oracle as O
@@ -99,9 +99,10 @@ def materialized_wide(spark, sf_dir) -> DataFrame:
     """The wide table written once to the shared folder and read back: later
     steps plan against a parquet scan instead of the whole star-join lineage,
     and a lost executor replays from the files, not from the raw tables."""
-    wide_plan_settings(spark)
     t = _t(spark, sf_dir)
-    return materialize_or_load(spark, lambda: wide_table(t), "wide", fingerprint(sf_dir, "wide-v1"))
+    inputs = [f"{t.root}/{name}.parquet" for name in ("orders", "lineitem", "events", "customer")]
+    key = input_fingerprint(spark, inputs, fingerprint(WIDE_SQL))   # the SQL follows the presets
+    return materialize_or_load(spark, lambda: wide_table(t), "wide", key)
 
 
 @query("materialize_features", WIDE_SQL)
@@ -229,7 +230,7 @@ def q_split_counts(spark, sf_dir):
 
 
 HASH_SPLIT_SQL = ("SELECT ID, period, attrition, CASE WHEN " + O.seeded_hash(f"split{SEED}", "ID", "period")
-                  + " % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM universe_train")
+                  + f" < {R.split_cut(0.8)} THEN 'train' ELSE 'test' END AS split FROM universe_train")
 
 
 @query("hash_split", O.with_views(["universe_train"], HASH_SPLIT_SQL))
@@ -437,34 +438,70 @@ def q_impute_mean_by_split(spark, sf_dir):
     return for_check(N.impute_mean(j, IMPUTE_COLS, by="partition"))
 
 
-def _matrix_sql() -> str:
-    feats = sorted(set(WIDE_COLUMNS) - {"ID", "period", "partition", "attrition"})
+MATRIX_DRAWS = 5000     # weighted draws over the minority classes of the training part
+MATRIX_FEATURES = sorted(set(WIDE_COLUMNS) - {"ID", "period", "partition", "attrition"})
+
+
+def _matrix_ctes() -> list[tuple[str, str]]:
+    """Typed wide rows, per-split means, imputed training rows, and the two parts."""
+    feats = MATRIX_FEATURES
     typed = ("SELECT ID, period, partition, attrition, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in feats)
              + " FROM wide")
     means = "SELECT partition, " + ", ".join(f"avg({c}) AS {c}" for c in feats) + " FROM wt GROUP BY partition"
-    imp = ("SELECT wt.ID, wt.period, wt.attrition, " + ", ".join(f"coalesce(wt.{c}, m.{c}) AS {c}" for c in feats)
-           + " FROM wt JOIN m ON wt.partition = m.partition WHERE wt.partition = 'train'")
     # after the fill a feature is null only where its split has no value at
     # all; such columns are not model inputs and do not drop rows
-    done = "attrition IS NOT NULL"
-    body = ("SELECT ID, period, " + ", ".join(f"{O.rnd(c)} AS {c}" for c in feats)
-            + ", CAST(attrition AS BIGINT) AS attrition, CASE WHEN attrition = 0 THEN 0 ELSE 1 END AS binary_target, "
-            + "CASE WHEN " + O.seeded_hash(f"split{SEED}", "ID", "period")
-            + f" % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM imp WHERE {done}")
-    return O.with_views(O.WIDE_VIEWS, body, [*O.wide_ctes(), ("wt", typed), ("m", means), ("imp", imp)])
+    imp = ("SELECT wt.ID, wt.period, CAST(wt.attrition AS BIGINT) AS attrition, "
+           "CASE WHEN wt.attrition = 0 THEN 0 ELSE 1 END AS binary_target, "
+           + ", ".join(f"coalesce(wt.{c}, m.{c}) AS {c}" for c in feats)
+           + " FROM wt JOIN m ON wt.partition = m.partition WHERE wt.partition = 'train' AND attrition IS NOT NULL")
+    cut = f"{O.seeded_hash(f'split{SEED}', 'ID', 'period')} < {R.split_cut(0.8)}"
+    return [*O.wide_ctes(), ("wt", typed), ("m", means), ("imp", imp),
+            ("fit_part", f"SELECT * FROM imp WHERE {cut}"), ("eval_part", f"SELECT * FROM imp WHERE NOT {cut}")]
+
+
+_MATRIX_SELECT = ", ".join(f"{O.rnd(f'r.{c}')} AS {c}" for c in MATRIX_FEATURES)
+
+
+def _matrix_sql() -> str:
+    weights = ", ".join(f"({i}, {w!r})" for i, w in enumerate(WEIGHTS, start=1))
+    draw = O.md5_int(f"'draw{SEED}:' || CAST(quota.attrition AS VARCHAR) || ':' || CAST(g.i AS VARCHAR)")
+    ctes = [*_matrix_ctes(),
+            ("rk", "SELECT attrition, n, row_number() OVER (ORDER BY n DESC, attrition) - 1 AS freq_rank "
+                   "FROM (SELECT attrition, count(*) AS n FROM fit_part GROUP BY attrition)"),
+            ("quota", f"SELECT rk.attrition, rk.n, CAST(round_even({MATRIX_DRAWS} * CAST(w.wt AS DOUBLE), 0) AS BIGINT) "
+                      f"AS q FROM rk JOIN (VALUES {weights}) w(freq_rank, wt) ON rk.freq_rank = w.freq_rank"),
+            ("draws", f"SELECT quota.attrition, g.i AS draw, {draw} % quota.n AS rnk FROM quota, "
+                      f"range(0, {MATRIX_DRAWS}) g(i) WHERE g.i < quota.q"),
+            ("ranked", "SELECT *, row_number() OVER (PARTITION BY attrition ORDER BY "
+                       + O.seeded_hash(f"row{SEED}", "ID", "period") + ", ID, period) - 1 AS rnk FROM fit_part")]
+    cols = f"r.ID, r.period, {_MATRIX_SELECT}, r.attrition, r.binary_target"
+    body = (f"SELECT {cols}, CAST(NULL AS BIGINT) AS draw FROM ranked r "
+            "WHERE r.attrition = (SELECT attrition FROM rk WHERE freq_rank = 0) UNION ALL "
+            f"SELECT {cols}, d.draw FROM draws d JOIN ranked r ON r.attrition = d.attrition AND r.rnk = d.rnk")
+    return O.with_views(O.WIDE_VIEWS, body, ctes)
+
+
+def model_rows(spark, sf_dir) -> tuple[FT.ModelMatrix, DataFrame, DataFrame]:
+    """The model matrix, its rebalanced training part and its held-out part."""
+    mm = FT.feature_matrix(materialized_wide(spark, sf_dir), seed=SEED)
+    return mm, *FT.training_rows(mm, MATRIX_DRAWS, WEIGHTS, seed=SEED)
 
 
 @query("feature_matrix", _matrix_sql())
 def q_feature_matrix(spark, sf_dir):
-    mm = FT.feature_matrix(materialized_wide(spark, sf_dir), seed=SEED)
-    return for_check(mm.train)
+    return for_check(model_rows(spark, sf_dir)[1])
+
+
+@query("feature_matrix_held_out", O.with_views(
+    O.WIDE_VIEWS, f"SELECT r.ID, r.period, {_MATRIX_SELECT}, r.attrition, r.binary_target FROM eval_part r", _matrix_ctes()))
+def q_feature_matrix_held_out(spark, sf_dir):
+    return for_check(model_rows(spark, sf_dir)[2])
 
 
 # ---------------------------------------------------------------- joins
 
 @query("feature_star_join", WIDE_SQL)
 def q_feature_star_join(spark, sf_dir):
-    wide_plan_settings(spark)
     return for_check(wide_table(_t(spark, sf_dir)))
 
 
@@ -590,11 +627,24 @@ def q_stack_inputs(spark, sf_dir):
 
 
 STACK_INPUTS = ("pred_a", "pred_b")
+IS_HELD_OUT = f"{O.seeded_hash(f'split{SEED}', 'ID', 'period')} >= {R.split_cut(0.8)}"
+
+
+def stack_parts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The stacked predictions of the held-out training rows, on which the
+    stacker is fitted, and of the scoring rows."""
+    rows = stacked(t).join(X.universe_all(t).select("ID", "period", "b"), ["ID", "period"])
+    tagged = R.hash_split(rows, ("ID", "period"), 0.8, seed=SEED)
+    return tagged.where("b < 80 and split = 'test'"), tagged.where("b >= 80")
+
+
 OLS_CTES = [
-    ("s", "SELECT ID, period, CAST(label AS DOUBLE) AS y, CAST(pred_a AS DOUBLE) AS a, "
-          "CAST(pred_b AS DOUBLE) AS b FROM scored"),
+    ("st", STACK_SQL),
+    ("s", f"SELECT st.ID, st.period, u.b AS bucket, CAST(real AS DOUBLE) AS y, CAST(pred_a AS DOUBLE) AS a, "
+          "CAST(pred_b AS DOUBLE) AS b FROM st JOIN universe_all u ON st.ID = u.ID AND st.period = u.period"),
     ("mo", "SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS saa, covar_pop(b, b) AS sbb, "
-           "covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby FROM s"),
+           "covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby FROM s "
+           f"WHERE bucket < 80 AND {IS_HELD_OUT}"),
     ("co", "SELECT my, ma, mb, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ca, "
            "(saa * sby - sab * say) / (saa * sbb - sab * sab) AS cb FROM mo"),
 ]
@@ -604,60 +654,117 @@ OLS_CTES = [
                                         + " AS intercept, " + O.rnd("ca") + " AS coef_pred_a, " + O.rnd("cb")
                                         + " AS coef_pred_b FROM co", OLS_CTES))
 def q_linear_stack_fit(spark, sf_dir):
-    s = X.scored(_t(spark, sf_dir)).select("label", *STACK_INPUTS)
-    model = ML.fit_linear_stack(s, STACK_INPUTS, "label")
+    held_out, _ = stack_parts(_t(spark, sf_dir))
+    model = ML.fit_linear_stack(held_out.select("real", *STACK_INPUTS), STACK_INPUTS, "real")
     return for_check(ML.linear_stack_coefficients(model, STACK_INPUTS, spark))
 
 
 @query("linear_stack_score", O.with_views(
     ["scored"], "SELECT s.ID, s.period, CAST(round_even(co.my - co.ca * co.ma - co.cb * co.mb + co.ca * s.a "
-                "+ co.cb * s.b, 0) AS INTEGER) AS target FROM s, co", OLS_CTES))
+                "+ co.cb * s.b, 0) AS INTEGER) AS target FROM s, co WHERE s.bucket >= 80", OLS_CTES))
 def q_linear_stack_score(spark, sf_dir):
-    s = X.scored(_t(spark, sf_dir)).select("ID", "period", "label", *STACK_INPUTS)
-    model = ML.fit_linear_stack(s, STACK_INPUTS, "label")
-    return ML.linear_stack_score(model, s, STACK_INPUTS)
+    """Fitted on held-out rows, scored on the scoring rows, written and read back."""
+    held_out, scoring = stack_parts(_t(spark, sf_dir))
+    model = ML.fit_linear_stack(held_out.select("real", *STACK_INPUTS), STACK_INPUTS, "real")
+    path = shared_path(spark, "stack_submission_csv")
+    ML.submit(ML.linear_stack_score(model, scoring, STACK_INPUTS), path)
+    return read_csv(spark, path, schema="ID string, period string, target int")
+
+
+@query("stack_sink", O.with_views(["scored"], f"SELECT pred_a, pred_b, real FROM ({STACK_SQL}) x WHERE {IS_HELD_OUT}"))
+def q_stack_sink(spark, sf_dir):
+    """The labelled-prediction file of the held-out rows, written and read back."""
+    rows = R.hash_split(stacked(_t(spark, sf_dir)), ("ID", "period"), 0.8, seed=SEED).where("split = 'test'")
+    path = shared_path(spark, "stacked_csv")
+    write_csv(rows.select("pred_a", "pred_b", "real"), path, sep=",")
+    return read_csv(spark, path, schema="pred_a int, pred_b int, real int")
+
+
+@query("text_star_join", WIDE_SQL)
+def q_text_star_join(spark, sf_dir):
+    """The star join from staged text: the five tables are written as
+    ``|``-separated files and read back by column name."""
+    t = _t(spark, sf_dir)
 
+    def through_text(df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(spark, f"{name}_csv")
+        write_csv(df.select(*sorted(df.columns)), path, sep="|")
+        return read_csv(spark, path, schema=df.schema, sep="|").select(*df.columns)
 
-# ---------------------------------------------------------------- models (row-count checks)
+    feats = [through_text(f, n) for n, f in (
+        ("movements", FT.movement_features(X.movements(t))), ("liabilities", FT.liability_features(X.liabilities(t))),
+        ("balances", FT.balance_features(X.balances(t))), ("digital", FT.digital_features(X.digital(t))))]
+    cust = through_text(FT.customer_features(X.customers(t)), "customers")
+    return for_check(FT.feature_star_join(universe(t), feats, cust))
 
-@query("random_split")
+
+# ---------------------------------------------------------------- models (value checks)
+
+@query("random_split", O.with_views(["universe_train"],
+                                    "SELECT count(*) AS n, count(*) AS n_keys, true AS share_ok FROM universe_train"))
 def q_random_split(spark, sf_dir):
+    """Every row lands on exactly one side, and the sides have their shares
+    (within five standard deviations)."""
     u = X.universe_train(_t(spark, sf_dir))
     train, test = R.random_split(u, (0.8, 0.2), seed=SEED)
-    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    both = train.withColumn("side", F.lit(1)).unionByName(test.withColumn("side", F.lit(0)))
+    n, share = F.count(F.lit(1)), F.avg("side")
+    return both.agg(n.alias("n"), F.count_distinct("ID", "period").alias("n_keys"),
+                    (F.abs(share - 0.8) <= 5 * F.sqrt(F.lit(0.16) / n)).alias("share_ok"))
 
 
-def _model_inputs(spark, sf_dir):
-    mm = FT.feature_matrix(materialized_wide(spark, sf_dir), seed=SEED)
-    train = cut_lineage(mm.train.withColumn("is_eval", F.col("split") == "test"))
-    return mm, train
+def assembled(spark, sf_dir) -> tuple[FT.ModelMatrix, DataFrame, DataFrame, DataFrame]:
+    """Model matrix and its training, held-out and scoring rows with a feature
+    vector, written once for all fits."""
+    mm, train, held_out = model_rows(spark, sf_dir)
+    parts = [stage(ML.assemble(df, mm.features).select(*keep, "features"), "model-rows")
+             for df, keep in ((train, ["attrition", "binary_target"]), (held_out, ["attrition", "binary_target"]),
+                              (mm.validation.fillna(0.0, mm.features), ["ID", "period"]))]
+    return mm, *parts
 
 
-@query("rf_predict")
-def q_rf_predict(spark, sf_dir):
-    mm, train = _model_inputs(spark, sf_dir)
-    model, feats = ML.fit_random_forest(train.where(~F.col("is_eval")), mm.features, "attrition",
-                                        seed=SEED, numTrees=20)
-    return ML.predict_random_forest(model, feats, mm.validation).select("ID", "period", "target")
+#: Macro F1 that a model must reach on the scoring rows. The label follows from a
+#: feature, so a sound pipeline comes close to 1.
+F1_BAR = {"rf": 0.9, "deep": 0.9, "light": 0.9, "column_subsampled": 0.9}
+
+
+def _submitted(spark, sf_dir, name: str, scored: DataFrame) -> DataFrame:
+    """Submit scored rows, read the file back and compare it with the withheld labels."""
+    path = shared_path(spark, f"{name}_csv")
+    ML.submit(scored, path)
+    back = read_csv(spark, path, schema="ID string, period string, target int")
+    truth = X.universe_all(_t(spark, sf_dir)).where("b >= 80").select("ID", "period", "attrition")
+    joined = truth.join(back, ["ID", "period"], "left")
+    f1 = M.macro_f1(joined, "attrition", "target").first()["macro_f1"]   # one number
+    return joined.agg(F.lit(name).alias("model"), F.count("target").alias("n"), F.lit(f1 >= F1_BAR[name]).alias("good"))
 
 
-TWO_STAGE_QUERY_PRESET = ML.TwoStagePreset(step_size=0.05, max_depth=7, subsample=0.8, max_iter_binary=2800,
-                                           max_iter_multi=1400, num_trees=50)
+def _model_sql(*names: str) -> str:
+    return O.with_views(["universe_test"], " UNION ALL ".join(
+        f"SELECT '{n}' AS model, count(*) AS n, true AS good FROM universe_test" for n in names))
+
+
+@query("rf_predict", _model_sql("rf"))
+def q_rf_predict(spark, sf_dir):
+    mm, train, held_out, scoring = assembled(spark, sf_dir)
+    model, feats = ML.fit_random_forest(train, mm.features, "attrition", seed=SEED, numTrees=50, maxDepth=10,
+                                        featureSubsetStrategy="onethird")
+    return _submitted(spark, sf_dir, "rf", ML.predict_random_forest(model, feats, scoring))
 
 
-def _two_stage(spark, sf_dir, preset):
-    mm, train = _model_inputs(spark, sf_dir)
-    model = ML.fit_two_stage(train, mm.features, preset=preset, validation_col="is_eval")
-    return model.transform(mm.validation).select("ID", "period", "target")
+def _two_stage(spark, sf_dir, rows, name: str, preset) -> DataFrame:
+    mm, train, held_out, scoring = rows
+    model = ML.fit_two_stage(train, held_out, mm.features, preset=preset)
+    return _submitted(spark, sf_dir, name, model.transform(scoring))
 
 
-@query("two_stage_predict")
+@query("two_stage_predict", _model_sql("deep"))
 def q_two_stage_predict(spark, sf_dir):
-    return _two_stage(spark, sf_dir, TWO_STAGE_QUERY_PRESET)
+    return _two_stage(spark, sf_dir, assembled(spark, sf_dir), "deep", ML.DEEP)
 
 
-@query("two_stage_presets")
+@query("two_stage_presets", _model_sql("light", "column_subsampled"))
 def q_two_stage_presets(spark, sf_dir):
-    light = _two_stage(spark, sf_dir, ML.LIGHT).withColumn("preset", F.lit("light"))
-    subs = _two_stage(spark, sf_dir, ML.COLUMN_SUBSAMPLED).withColumn("preset", F.lit("column_subsampled"))
-    return light.unionByName(subs)
+    rows = assembled(spark, sf_dir)
+    light = _two_stage(spark, sf_dir, rows, "light", ML.LIGHT)
+    return light.unionByName(_two_stage(spark, sf_dir, rows, "column_subsampled", ML.COLUMN_SUBSAMPLED))

@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators.nulls import fill_zero
+from ..operators.nulls import clean_doubles, fill_with_means, fill_zero
 from ..operators.profile import presence, spec_columns
+from ..operators.resample import hash_split, rebalance
+from ..session import plain_constraints
+from ..sources.materialize import stage
 
 KEYS = ("ID", "period")
 MONTHS = tuple(range(1, 13))
@@ -96,7 +99,6 @@ DIGITAL = TablePreset(
     zero_fill=False,
 )
 
-PRESETS = {"balances": BALANCES, "liabilities": LIABILITIES, "movements": MOVEMENTS, "digital": DIGITAL}
 
 
 def typed(df: DataFrame, preset: TablePreset) -> DataFrame:
@@ -217,25 +219,37 @@ def feature_matrix(wide: DataFrame, label: str = "attrition", split_col: str = "
                    seed: int = 2020, eval_fraction: float = 0.2) -> ModelMatrix:
     """Feature list (sorted), double casts, mean imputation per split,
     complete training rows, integer and binary targets, and a repeatable
-    80/20 split.
+    80/20 split. ``wide`` should be a stored table: each split is read by a
+    pushed-down filter once for its means (one row) and once for its rows,
+    and filled by a single projection.
 
     A column with no value at all in a split has no mean: it stays null there
     and is left out of ``features`` (the model inputs) and of the complete-row
     test, which would otherwise drop every row."""
-    from ..operators.nulls import clean_doubles, collect_means, impute_mean
-    from ..operators.resample import hash_split
-
     cols = C.columns_except(wide, NOT_FEATURES)
     features = C.sorted_difference(cols, [label])
-    typed_wide = clean_doubles(wide, features)
-    means = collect_means(typed_wide, features, "partition")
-    imputed = impute_mean(typed_wide, features, by="partition", means=means, prepared=True)
-    usable = [f for f in features if all(r[f] is not None for r in means)] if means is not None else features
-    validation = imputed.where(F.col("partition") == "test").select("ID", "period", *features)
-    train = (imputed.where(F.col("partition") == "train")
-             .dropna(how="any", subset=usable + [label])
+
+    def part(name: str, *more: str) -> tuple[DataFrame, list[str]]:
+        rows = clean_doubles(wide.where(F.col("partition") == name).select("ID", "period", *more, *features), features)
+        return fill_with_means(rows, features)
+
+    validation, in_test = part("test")
+    train, in_train = part("train", label)
+    usable = [f for f in in_train if f in set(in_test)] if in_test else in_train
+    train = (train.dropna(how="any", subset=usable + [label])
              .withColumn(label, F.col(label).cast("bigint"))
              .withColumn("binary_target", C.binary_target(label)))
     train = hash_split(train, ("ID", "period"), 1.0 - eval_fraction, seed=seed, col=split_col)
-    return ModelMatrix(train.select("ID", "period", *features, label, "binary_target", split_col),
-                       validation, usable)
+    with plain_constraints(wide.sparkSession):
+        train = stage(train.select("ID", "period", *features, label, "binary_target", split_col), "matrix-train")
+        validation = stage(validation.select("ID", "period", *features), "matrix-validation")
+    return ModelMatrix(train, validation, usable)
+
+
+def training_rows(matrix: ModelMatrix, n: int, weights: Sequence[float] | None = None, label: str = "attrition",
+                  split_col: str = "split", seed: int = 2020) -> tuple[DataFrame, DataFrame]:
+    """(rebalanced training part, held-out part). Only the training part is
+    rebalanced, so no copy of a held-out row can reach a fit."""
+    train = matrix.train.where(F.col(split_col) == "train").drop(split_col)
+    held_out = matrix.train.where(F.col(split_col) == "test").drop(split_col)
+    return rebalance(train, label, ("ID", "period"), n, weights, seed=seed, allow_absent=True), held_out

@@ -29,7 +29,7 @@ VIEW_SQL = {
        concat('entity_', cast(l_suppkey%5+1 as string)) as entity,
        l_extendedprice*(1-l_discount) as balance_amount,
        cast(case when l_returnflag='R' then l_partkey%120 else 0 end as int) as days_default
-       from base_orders join lineitem on l_orderkey = o_orderkey where l_returnflag <> 'N'""",
+       from base_orders join lineitem on l_orderkey = o_orderkey""",
     "digital": """select cast(user_id as string) as ID, concat('period_', cast(dayofmonth(ts)%7+1 as string)) as period,
        cast(event_id%12+1 as int) as month,
        case when event_id%2=0 then null else value end as dig_1, value*2 as dig_2,
@@ -50,7 +50,7 @@ VIEW_SQL = {
        cast(18+c_custkey%60 as string) as age, c_acctbal as income,
        case when c_custkey%4=0 then null else c_acctbal*0.1 end as payroll,
        case when c_custkey%13=0 then '' else concat(cast(c_custkey%6 as string), '.0') end as time_from_specialized
-       from customer where c_custkey%10 <> 9""",
+       from customer""",
     "scored": """select ID, period, attrition as label, b, cast(b%8 as double)*0.5 as raw_score, cast(b as double)/100 as bin_score,
        cast(case when b%10<7 then attrition else (attrition+1)%6 end as int) as pred_a,
        cast(case when b%7<5 then attrition else (attrition+2)%6 end as int) as pred_b from universe_all""",

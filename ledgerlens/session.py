@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -20,16 +22,20 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
-    # Constraint inference is quadratic (or worse) in the number of aliased
-    # columns; over the ~210-column feature matrix it never finishes. It can
-    # only add redundant filters, so wide plans run without it.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
-
-def wide_plan_settings(spark: SparkSession) -> None:
-    """Apply the optimizer switch wide feature plans need to ``spark``."""
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+@contextmanager
+def plain_constraints(spark: SparkSession) -> Iterator[None]:
+    """For writes of plans with hundreds of computed columns: constraint
+    inference, whose cost explodes there and which can only add redundant
+    filters, is off inside the block and as the caller had it afterwards."""
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 DRIVER_MEMORY_LOCAL = "8g"
@@ -77,6 +83,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder itself, the same in every session that names it
+    (``ensure_checkpoint_dir`` gives this session's own folder inside it)."""
+    own = ensure_checkpoint_dir(spark).rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or own.rsplit("/", 1)[0]).rstrip("/")
+
+
 def shared_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     """A path under the shared checkpoint folder for sinks and materialised
     tables. ``unique`` appends a random suffix so that runs never collide."""

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              sep: str = ",", header: bool = True) -> DataFrame:
-    """Headered CSV. With a schema the types are fixed up front and no
-    inference pass runs; without one every column is text, as the raw
-    inputs are. Malformed values become null (PERMISSIVE mode)."""
+    """Delimited text. With a header, columns are found by name, so their order
+    in the file does not matter, and a file whose header differs from the
+    others' is an error. With a schema the named columns are cast; what cannot
+    be read as its type becomes null. Without a schema every column is text."""
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     reader = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+    if header:
+        raw = reader.option("enforceSchema", False).csv(path)
+    else:
+        raw = reader.csv(path)
+        if wanted is not None:
+            raw = raw.toDF(*wanted.names)
+    if wanted is None:
+        return raw
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 
 def write_csv(df: DataFrame, path: str, sep: str = "|", header: bool = True, mode: str = "overwrite") -> None:

@@ -65,7 +65,7 @@ def movements(t: Tables) -> DataFrame:
 
 def balances(t: Tables) -> DataFrame:
     partkey = F.col("l_partkey")
-    return _order_lines(t).where(F.col("l_returnflag") != "N").select(
+    return _order_lines(t).select(
         "ID", "period", "month",
         F.concat(F.lit("type_"), _s(F.col("l_linenumber"))).alias("type"),
         F.when(partkey % 50 == 0, F.lit("unknown"))
@@ -104,7 +104,7 @@ def customers(t: Tables) -> DataFrame:
     def yes_if(mod, other="No"):
         return F.when(k % mod == 0, F.lit("Yes")).otherwise(F.lit(other))
 
-    return c.where(k % 10 != 9).select(
+    return c.select(
         _s(k).alias("ID"),
         F.when(k % 11 == 0, F.lit("none"))
          .otherwise(F.concat(F.lit("type_job_"), _s(F.col("c_nationkey") % 7 + 1))).alias("type_job"),

@@ -1,37 +1,66 @@
-"""Materialise-or-load for expensive tables, and lineage cuts."""
+"""Materialise-or-load for expensive tables, and lineage cuts, on the shared folder."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_path
+from ..session import shared_path, shared_root
 
 
 def fingerprint(*parts) -> str:
     return hashlib.sha1("|".join(map(str, parts)).encode()).hexdigest()[:16]
 
 
+def _fs(spark: SparkSession, path: str):
+    """(file system, path) objects of the store that holds ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def input_fingerprint(spark: SparkSession, paths: Sequence[str], *extra) -> str:
+    """Fingerprint of the files below ``paths``: name, size and change time of each."""
+    found = []
+    for path in paths:
+        fs, where = _fs(spark, path)
+        files = fs.listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return fingerprint(sorted(found), *extra)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.exists(where)
+
+
 def materialize_or_load(spark: SparkSession, build: Callable[[], DataFrame], name: str,
                         key: str, path: str | None = None) -> DataFrame:
-    """Load the parquet table ``name`` written for ``key`` (a fingerprint of
-    the inputs) if it was completed before; otherwise build it, write it to
-    the shared folder and read it back. A table whose write did not finish
-    has no ``_SUCCESS`` marker and is rebuilt."""
-    target = path or shared_path(spark, f"{name}-{key}", unique=False)
-    try:
-        spark.read.text(f"{target}/_SUCCESS").limit(1).collect()
-        return spark.read.parquet(target)
-    except AnalysisException:
-        pass
-    build().write.mode("overwrite").parquet(target)
+    """Load the parquet table ``name`` of ``key`` (a fingerprint of the inputs)
+    if any session completed it before; otherwise build it under a unique
+    name and publish it by a rename. A reader never sees half a table, and of
+    two sessions that build the same table the first one's stays."""
+    target = path or f"{shared_root(spark)}/ledgerlens/tables/{name}-{key}"
+    if not exists(spark, f"{target}/_SUCCESS"):
+        own = f"{target}.{uuid.uuid4().hex[:12]}"
+        build().write.parquet(own)
+        fs, there = _fs(spark, target)
+        if not fs.exists(there):
+            fs.mkdirs(there.getParent())
+            fs.rename(_fs(spark, own)[1], there)
+        if not exists(spark, f"{target}/_SUCCESS"):   # the other session has not finished its rename
+            target = own
     return spark.read.parquet(target)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (shared storage), so
-    a lost executor does not replay the whole lineage."""
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new place in the shared folder and read it back: the
+    lineage ends there, columns can be pruned, and a lost executor costs no
+    recomputation."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
