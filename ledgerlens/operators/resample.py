@@ -80,9 +80,13 @@ def class_counts(df: DataFrame, label: str) -> list[tuple]:
     return sorted(((r[label], r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
 
 
+def row_hash(keys: Sequence[str], seed) -> Column:
+    return seeded_hash(f"row{seed}", *_texts(keys))
+
+
 def hashed_rows(df: DataFrame, label: str, keys: Sequence[str], seed=2020) -> DataFrame:
     """The labelled rows with their hash, written once."""
-    return stage(df.where(F.col(label).isNotNull()).withColumn(HASH, seeded_hash(f"row{seed}", *_texts(keys))),
+    return stage(df.where(F.col(label).isNotNull()).withColumn(HASH, row_hash(keys, seed)),
                  "class-rows")
 
 
@@ -90,11 +94,12 @@ def bucket_bits(largest: int) -> int:
     return min(HASH_BITS, max(0, ceil(log2(max(1, largest / ROWS_PER_BUCKET)))))
 
 
-def rank_hashed(hashed: DataFrame, label: str, keys: Sequence[str], largest: int) -> DataFrame:
+def rank_hashed(hashed: DataFrame, label: str, keys: Sequence[str], largest: int, bits: int | None = None) -> DataFrame:
     """Add ``rank`` = 0-based position of the row in (hash, keys) order inside
     its class, without a window over a whole class (see module doc)."""
     b = "__bucket"
-    dealt = hashed.withColumn(b, F.shiftright(F.col(HASH), HASH_BITS - bucket_bits(largest)))
+    bits = bucket_bits(largest) if bits is None else bits
+    dealt = hashed.withColumn(b, F.shiftright(F.col(HASH), HASH_BITS - bits))
     before = Window.partitionBy(label).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (dealt.groupBy(label, b).agg(F.count(F.lit(1)).alias("__n"))
                .select(label, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")))
@@ -103,11 +108,13 @@ def rank_hashed(hashed: DataFrame, label: str, keys: Sequence[str], largest: int
     return ranked.withColumn("rank", F.col("__off") + F.col("__place") - 1).drop(b, "__off", "__place")
 
 
-def rank_within_class(df: DataFrame, label: str, keys: Sequence[str], seed=2020) -> DataFrame:
-    """``df``'s labelled rows with their ``rank`` inside the class."""
+def rank_within_class(df: DataFrame, label: str, keys: Sequence[str], seed=2020,
+                      bucket_bits: int | None = None) -> DataFrame:
+    """``df``'s labelled rows with their ``rank`` inside the class. The number
+    of buckets follows the largest class unless ``bucket_bits`` is given."""
     hashed = hashed_rows(df, label, keys, seed)
     counts = class_counts(hashed, label)
-    return rank_hashed(hashed, label, keys, counts[0][1] if counts else 0).drop(HASH)
+    return rank_hashed(hashed, label, keys, counts[0][1] if counts else 0, bucket_bits).drop(HASH)
 
 
 def draw_hash(seed, label_col: Column, i_col: Column) -> Column:
