@@ -268,6 +268,13 @@ class Model:
     constant: float = 0.0       # the score if there was one class only
 
 
+def scorer_of(model: Model) -> "Scorer":
+    """The scorer of a broadcast model, kept with it from task to task."""
+    if not hasattr(model, "scorer"):
+        model.scorer = Scorer(model)
+    return model.scorer
+
+
 class Scorer:
     """Window logits of texts; remembers the gate inputs of words."""
 
@@ -456,7 +463,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for texts in batches:
             yield pd.Series(scorer.probabilities([t if isinstance(t, str) else "" for t in texts]), dtype="float64")
 
