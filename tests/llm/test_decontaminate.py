@@ -2,6 +2,8 @@ import re
 
 import pytest
 
+from llm_fixtures import make_docs  # noqa: F401
+
 from ledgerlens.llm import decontaminate as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from llm_fixtures import make_docs  # noqa: F401
+
 from ledgerlens.llm import components, minhash
 
 

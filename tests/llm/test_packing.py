@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from llm_fixtures import make_docs  # noqa: F401
+
 from ledgerlens.llm import bestfit, packing
 from ledgerlens.llm.queries import tokenizer_path
 

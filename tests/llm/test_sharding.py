@@ -1,5 +1,7 @@
 import zlib
 
+from llm_fixtures import make_docs  # noqa: F401
+
 from ledgerlens.llm import sharding
 
 
