@@ -157,9 +157,10 @@ def customer_columns() -> list[str]:
     return cols + ["time_from_specialized1"]
 
 
-def customer_features(customers: DataFrame) -> DataFrame:
+def customer_features(customers: DataFrame, all_levels: bool = False) -> DataFrame:
     """One row per customer: 0/1 flags, float numerics, risk and job
-    indicators, and the single kept ``time_from_specialized`` indicator."""
+    indicators, and the single kept ``time_from_specialized`` indicator;
+    ``all_levels`` adds the indicators of its levels 0 to 5."""
     risk = C.to_int(C.code_suffix("bureau_risk"))
     job = C.to_int(C.code_suffix("type_job"))
     tfs = C.to_int("time_from_specialized")
@@ -170,6 +171,7 @@ def customer_features(customers: DataFrame) -> DataFrame:
         *C.one_hot_columns(risk, BUREAU_RISK_LEVELS, "bureau_risk"),
         *C.one_hot_columns(job, TYPE_JOB_LEVELS, "type_job"),
         F.when(tfs == SPECIALIZED_LEVEL, 1).otherwise(0).alias("time_from_specialized1"),
+        *(C.one_hot_columns(tfs, range(6), "time_from_specialized_") if all_levels else []),
     )
 
 
@@ -216,7 +218,8 @@ NOT_FEATURES = ("ID", "period", "partition", "key")
 
 
 def feature_matrix(wide: DataFrame, label: str = "attrition", split_col: str = "split",
-                   seed: int = 2020, eval_fraction: float = 0.2) -> ModelMatrix:
+                   seed: int = 2020, eval_fraction: float = 0.2, fit_on: str = "each_split",
+                   train_only: bool = False) -> ModelMatrix:
     """Feature list (sorted), double casts, mean imputation per split,
     complete training rows, integer and binary targets, and a repeatable
     80/20 split. ``wide`` should be a stored table: each split is read by a
@@ -225,16 +228,26 @@ def feature_matrix(wide: DataFrame, label: str = "attrition", split_col: str = "
 
     A column with no value at all in a split has no mean: it stays null there
     and is left out of ``features`` (the model inputs) and of the complete-row
-    test, which would otherwise drop every row."""
+    test, which would otherwise drop every row.
+
+    Each split is filled with its own means; with ``fit_on="train"`` scoring rows get
+    the training split's. With ``train_only`` the training split's means leave
+    out the held-out rows."""
+    if fit_on not in ("each_split", "train"):
+        raise ValueError(f"fit_on: {fit_on!r}")
     cols = C.columns_except(wide, NOT_FEATURES)
     features = C.sorted_difference(cols, [label])
 
-    def part(name: str, *more: str) -> tuple[DataFrame, list[str]]:
-        rows = clean_doubles(wide.where(F.col("partition") == name).select("ID", "period", *more, *features), features)
-        return fill_with_means(rows, features)
+    def part(name: str, *more: str) -> DataFrame:
+        return clean_doubles(wide.where(F.col("partition") == name).select("ID", "period", *more, *features), features)
 
-    validation, in_test = part("test")
-    train, in_train = part("train", label)
+    train, validation = part("train", label), part("test")
+    fitted = train
+    if train_only:
+        fitted = hash_split(train, ("ID", "period"), 1.0 - eval_fraction, seed=seed, col=split_col).where(
+            F.col(split_col) == "train")
+    train, in_train = fill_with_means(train, features, fitted)
+    validation, in_test = fill_with_means(validation, features, fitted if fit_on == "train" else None)
     usable = [f for f in in_train if f in set(in_test)] if in_test else in_train
     train = (train.dropna(how="any", subset=usable + [label])
              .withColumn(label, F.col(label).cast("bigint"))

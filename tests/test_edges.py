@@ -153,3 +153,24 @@ def test_feature_names_are_fixed():
         ["ID", "product_1", "product_2", "product_3", "product_4", "ofert_1", "ofert_2", "ofert_3", "age", "income",
          "payroll"] + [f"bureau_risk{k}" for k in range(1, 10)] + [f"type_job{k}" for k in range(1, 8)]
         + ["time_from_specialized1"])
+
+
+def test_all_levels_and_means_of_the_training_part(spark):
+    cust = spark.createDataFrame([("1", "3.0"), ("2", "")], "ID string, time_from_specialized string")
+    for c in (*FT.CUSTOMER_FLAGS, *FT.CUSTOMER_FLOATS, "bureau_risk", "type_job"):
+        cust = cust.withColumn(c, F.lit(None).cast("string"))
+    got = {r["ID"]: r for r in FT.customer_features(cust, all_levels=True).collect()}
+    assert [got["1"][f"time_from_specialized_{k}"] for k in range(6)] == [0, 0, 0, 1, 0, 0]
+    assert sum(got["2"][f"time_from_specialized_{k}"] for k in range(6)) == 0
+
+    rows = [(f"c{i}", "p", i % 2, "train", float(i) if i % 3 else None) for i in range(90)] + [("t", "p", None, "test", None),
+                                                                                               ("u", "p", None, "test", 5.0)]
+    wide = spark.createDataFrame(rows, "ID string, period string, attrition int, partition string, v double")
+    own = FT.feature_matrix(wide)
+    assert {r["ID"]: r["v"] for r in own.validation.collect()} == {"t": 5.0, "u": 5.0}
+    mean = wide.where("partition = 'train'").agg(F.avg("v")).first()[0]
+    assert {r["ID"]: r["v"] for r in FT.feature_matrix(wide, fit_on="train").validation.collect()}["t"] == mean
+    part = FT.feature_matrix(wide, train_only=True)
+    fit = part.train.where("split = 'train'")
+    seen = [float(r["ID"][1:]) for r in fit.collect() if int(r["ID"][1:]) % 3]
+    assert abs({r["ID"]: r["v"] for r in part.train.collect()}["c0"] - sum(seen) / len(seen)) < 1e-9
