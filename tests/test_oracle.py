@@ -1,21 +1,29 @@
 """Every SQL-checked query agrees with its DuckDB oracle (row count, column
-names, order-insensitive value hash) on the smallest data set."""
+names, order-insensitive value hash) on the smallest data set, the models on the next."""
 
 import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
-from oracle_check import duck_digest, spark_digest
+from oracle_check import duck, duck_digest, spark_digest
 
 ORACLE = entry.oracle_sql()
 QUERIES = entry.queries()
+#: Their bar on macro F1 needs more than the one row that the rare classes have in the smallest data.
+MODELS = {"rf_predict", "two_stage_predict", "two_stage_presets"}
+LARGER = "/root/testdata/sf0.01"
 
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("key", sorted(ORACLE))
+@pytest.mark.parametrize("key", sorted(MODELS))
+def test_models_reach_their_bar(spark, key):
+    assert spark_digest(QUERIES[key](spark, LARGER)) == duck_digest(duck(LARGER), ORACLE[key])
+
+
+@pytest.mark.parametrize("key", sorted(set(ORACLE) - MODELS))
 def test_query_matches_oracle(spark, duck_small, key):
     got = spark_digest(QUERIES[key](spark, SMALL))
     want = duck_digest(duck_small, ORACLE[key])
