@@ -27,6 +27,7 @@ from . import ngrams
 ORDERS = (1, 2, 3)
 BITS = 15
 SMOOTHING = 0.5
+MAX_LANGUAGES = 256     # bounds the broadcast matrix; more are an error
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -49,6 +50,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": lang, "bin": at, "n": own[at]})
 
+    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the model would have no bound")
     found = (rows.mapInPandas(count, "lang string, bin long, n long")
              .groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas())  # languages x bins at most
     langs = sorted(found["lang"].unique())
