@@ -105,7 +105,7 @@ def rank_hashed(hashed: DataFrame, label: str, keys: Sequence[str], largest: int
                .select(label, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")))
     inside = Window.partitionBy(label, b).orderBy(HASH, *keys)
     ranked = dealt.withColumn("__place", F.row_number().over(inside)).join(offsets, on=[label, b])
-    return ranked.withColumn("rank", F.col("__off") + F.col("__place") - 1).drop(b, "__off", "__place")
+    return ranked.select(*hashed.columns, (F.col("__off") + F.col("__place") - 1).alias("rank"))
 
 
 def rank_within_class(df: DataFrame, label: str, keys: Sequence[str], seed=2020,
