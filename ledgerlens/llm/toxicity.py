@@ -24,10 +24,10 @@ rows count and are scored each; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
-from zlib import crc32
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
+from .common import stored
 
 WINDOW, OVERLAP = 64, 16
 HIDDEN = 8
@@ -44,7 +45,7 @@ PRIOR = 2.0                  # pseudo-counts that hold evidence back
 MAX_TRAIN = (1200, 1800)     # toxic and other rows the network is fitted on
 MAX_CALIBRATE = (1000, 3000)
 TRAIN_WINDOWS = 8
-STEPS, BATCH, RATE = 560, 64, 0.02
+STEPS, BATCH, RATE = 420, 48, 0.02
 SEGMENT_CHARS, CARRY_CHARS = 1_000_000, 1_000
 MAX_KNOWN = 150_000          # distinct words a task remembers
 INPUTS = 3 + len(CHAR_ORDERS)
@@ -75,15 +76,30 @@ def window_starts(n: int) -> np.ndarray:
 
 
 def word_bins(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Hashed bin of each word; per n-gram order the n-grams' bins and owners."""
-    own = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) >> (32 - BITS) for w in words), np.int64, len(words))
-    marked = [(i, f"^{w}$", len(w) + 2) for i, w in enumerate(words)]
-    bins, owners = [], []
+    """Hashed bin of each word; per n-gram order the bins and owners of the
+    n-grams of the word with its boundaries marked."""
+    if not words:
+        return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * len(CHAR_ORDERS), [np.zeros(0, np.int64)] * len(CHAR_ORDERS)
+    codes = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(lengths)
+    begin = ends - lengths
+    owner = np.repeat(np.arange(len(words)), lengths)
+    at = np.arange(len(codes))
+    shift = np.uint32(32 - BITS)
+    placed = (codes + np.uint32(0x7F4A7C15) * (at - begin[owner] + 1).astype(np.uint32)) * ngrams.MIX
+    placed ^= placed >> np.uint32(15)
+    own = np.add.reduceat(placed * np.uint32(0x2C1B3C6D), begin, dtype=np.uint32) * ngrams.MIX >> shift
+    bins, owners, room = [], [], ends[owner] - at
     for n in CHAR_ORDERS:
-        b, o = ngrams.hashed(marked, (n,), BITS) if marked else (np.zeros(0, np.uint32), np.zeros(0, np.int32))
-        bins.append(b)
-        owners.append(o)
-    return own, bins, owners
+        h = np.full(max(0, len(codes) - n + 1), n * 0x85EBCA6B & 0xFFFFFFFF, np.uint32)
+        for k in range(n):
+            h = (h ^ codes[k:k + len(h)]) * ngrams.MIX
+            h ^= h >> np.uint32(15)
+        ok = np.flatnonzero(room[:len(h)] >= n)
+        bins.append(((h[ok] * np.uint32(0x2C1B3C6D)) >> shift).astype(np.int64))
+        owners.append(owner[ok])
+    return own.astype(np.int64), bins, owners
 
 
 @dataclass
@@ -289,12 +305,16 @@ class Scorer:
     def _ids(self, words: list[list[str]]) -> np.ndarray:
         if len(self.known) > MAX_KNOWN:
             self._clear()
-        new = list(set(chain.from_iterable(words)).difference(self.known))
+        flat = list(chain.from_iterable(words))
+        index = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(index < 0).tolist()
+        new = list({flat[i] for i in missing})
         if new:
             base = len(self.gates)
             self.gates = np.concatenate((self.gates, self.m.net.project(inputs(new, self.m.tables))))
             self.known.update(zip(new, range(base, base + len(new))))
-        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
+            index[missing] = [self.known[flat[i]] for i in missing]
+        return index
 
     def summaries(self, texts: list[str]) -> np.ndarray:
         """[text, 3]: strongest window, soft mean over windows, log of their number."""
@@ -352,16 +372,25 @@ def count_evidence(labelled: DataFrame) -> list[Evidence]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros((2, 2, 2, size), np.int64)          # half, table, label, bin
+        seen: dict[tuple[int, int], Counter] = {}
+
+        def flush(half: int, label: int) -> None:
+            counter = seen.pop((half, label))
+            words, n = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
+            bins, chars, owners = word_bins(words)
+            held[half, 0, label] += np.bincount(bins, n, size).astype(np.int64)
+            for c, o in zip(chars, owners):
+                held[half, 1, label] += np.bincount(c, n[o], size).astype(np.int64)
+
         for b in batches:
-            for (half, label), part in b.groupby(["half", "label"]):
-                own = held[int(half), :, int(label)]
-                for text in part["text"]:
-                    for s in segments(text) if isinstance(text, str) else ():
-                        words, n = np.unique(np.array(FIND(s.lower()), dtype=object), return_counts=True)
-                        bins, chars, owners = word_bins(list(words))
-                        own[0] += np.bincount(bins, n, size).astype(np.int64)
-                        for c, o in zip(chars, owners):
-                            own[1] += np.bincount(c, n[o], size).astype(np.int64)
+            for half, label, text in zip(b["half"].tolist(), b["label"].tolist(), b["text"]):
+                for s in segments(text) if isinstance(text, str) else ():
+                    counter = seen.setdefault((half, label), Counter())
+                    counter.update(FIND(s.lower()))
+                    if len(counter) > MAX_KNOWN:
+                        flush(half, label)
+        for half, label in list(seen):
+            flush(half, label)
         flat = held.reshape(-1)
         at = np.flatnonzero(flat)
         yield pd.DataFrame({"at": at, "n": flat[at]})
@@ -388,7 +417,7 @@ def fit(labelled: DataFrame, seed: int = 7) -> Model:
     spark = labelled.sparkSession
     rows = labelled.where("label in (0, 1) and text is not null").withColumn("label", F.col("label").cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(8)).cast("int"))
-    rows = rows.select("key", "text", "label", "part", (F.col("part") % 2).alias("half"))
+    rows = stored(rows.select("key", "text", "label", "part", (F.col("part") % 2).alias("half")), "labelled")
     sizes = {(r["c"], r["label"]): r["n"] for r in rows.groupBy((F.col("part") >= 6).alias("c"), "label")
              .agg(F.count(F.lit(1)).alias("n")).collect()}
     both = {label: sizes.get((True, label), 0) + sizes.get((False, label), 0) for label in (0, 1)}
