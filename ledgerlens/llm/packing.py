@@ -36,6 +36,8 @@ END_ID = 1
 MAX_KNOWN = 250_000          # runs, and words in them, that a Python worker remembers
 CHUNK_CHARS = 2_000_000
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"   # ASCII marks, without the apostrophe of contractions
+WORD_END = "</w>"            # of the vocabulary's tokens that end a word
+WORDS_AT_ONCE = 500
 PIECE_SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,6 +50,9 @@ class RunTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         # the empty run stands for the end of a document
         self.known: dict[bytes, int] = {b"": 0}
         self.ids, self.sizes = array("I", [end_id]), array("q", [1])
@@ -65,12 +70,29 @@ class RunTokenizer:
                 return core, run[len(core):]
         return (run,)
 
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, array]]:
+        """Ids of words. Words of letters only are encoded many at a time, in one
+        text, and told apart by the tokens that end a word; where these do not
+        come out one to a word, each is encoded by itself."""
+        alone = [w for w in words if not w.isalpha()]
+        letters = [w for w in words if w.isalpha()]
+        groups = [letters[i:i + WORDS_AT_ONCE] for i in range(0, len(letters), WORDS_AT_ONCE)]
+        for group, enc in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(enc.ids, np.uint32)
+            cuts = np.flatnonzero(self.ends_word[np.minimum(ids, len(self.ends_word) - 1)]) + 1
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                for w, a, b in zip(group, [0, *cuts.tolist()], cuts.tolist()):
+                    yield w, array("I", ids[a:b].tobytes())
+            else:
+                alone += group
+        for w, enc in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
+            yield w, array("I", enc.ids)
+
     def _learn(self, runs: list[bytes]) -> None:
         parts = [self._words(r.decode()) for r in runs]
         new = list({w for p in parts for w in p}.difference(self.words))
         forget = len(self.words) >= MAX_KNOWN
-        self.words.update((w, array("I", e.ids)) for w, e in
-                          zip(new, self.tok.encode_batch(new, add_special_tokens=False)))
+        self.words.update(self._encode_words(new))
         for run, part in zip(runs, parts):
             before = len(self.ids)
             for w in part:
