@@ -439,24 +439,40 @@ def fit(labelled: DataFrame, seed: int = 7) -> Model:
                 yield pd.DataFrame({"label": [label], "lengths": [[len(t) for t in taken]], "x": [x.reshape(-1)]})
 
     sample = _sample(rows.where("part < 6"), MAX_TRAIN, {k: sizes.get((False, k), 0) for k in (0, 1)})
-    got = sample.select("text", "label", "half").mapInPandas(
-        describe, "label int, lengths array<int>, x array<float>").toPandas()   # bounded by MAX_TRAIN x TRAIN_WINDOWS
-    xs, lengths = [], []
-    for flat, n in zip(got["x"], got["lengths"]):
-        x, n, at = np.zeros((len(n), WINDOW, INPUTS), np.float32), np.asarray(n, np.int64), 0
-        flat = np.asarray(flat, np.float32).reshape(-1, INPUTS)
-        for i, k in enumerate(n):
-            x[i, :k], at = flat[at:at + k], at + k
-        xs.append(x)
-        lengths.append(n)
-    label = got["label"].to_numpy()
-    if len(set(label)) < 2:
+    described = sample.select("text", "label", "half").mapInPandas(
+        describe, "label int, lengths array<int>, x array<float>")          # bounded by MAX_TRAIN x TRAIN_WINDOWS
+    got = described.repartition(1).mapInPandas(_train_task(seed), "name string, shape array<int>, value array<float>").toPandas()
+    if got.empty:
         return Model((), None, np.zeros(4), both[1] / (both[0] + both[1]))
-    net = train(xs, lengths, label, seed)
+    net = Network(np.random.default_rng(seed))
+    net.p = {n: np.asarray(v, np.float32).reshape(tuple(shape)) for n, shape, v in zip(got["name"], got["shape"], got["value"])}
     model = Model(whole, net, np.array([1.0, 0.0, 0.0, 0.0]))
     return Model(whole, net, _calibrate(rows, sizes, crossed, model))
 
 
+def _train_task(seed: int):
+    """Training on the bounded sample, in a task: only the parameters reach the driver."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        xs, lengths, label = [], [], []
+        for b in batches:
+            for y, flat, n in zip(b["label"], b["x"], b["lengths"]):
+                n, at = np.asarray(n, np.int64), 0
+                x = np.zeros((len(n), WINDOW, INPUTS), np.float32)
+                flat = np.asarray(flat, np.float32).reshape(-1, INPUTS)
+                for i, k in enumerate(n):
+                    x[i, :k], at = flat[at:at + k], at + k
+                xs.append(x)
+                lengths.append(n)
+                label.append(int(y))
+        if len(set(label)) < 2:
+            return
+        order = sorted(range(len(xs)), key=lambda i: (label[i], xs[i].shape[0], float(xs[i].sum()), lengths[i].sum()))
+        net = train([xs[i] for i in order], [lengths[i] for i in order], np.array([label[i] for i in order]), seed)
+        yield pd.DataFrame({"name": list(net.p), "shape": [list(v.shape) for v in net.p.values()],
+                            "value": [v.reshape(-1) for v in net.p.values()]})
+    return run
+
+
 def _calibrate(rows: DataFrame, sizes: dict, crossed, model: Model) -> np.ndarray:
     """Logistic weights on rows that the network was not fitted on, described by the other half's evidence."""
     shared = rows.sparkSession.sparkContext.broadcast(model.net)
