@@ -39,11 +39,6 @@ def cast_numeric(df: DataFrame, cols: Iterable[str], fl: bool = True) -> DataFra
     return df.withColumns({c: conv(c) for c in cols})
 
 
-def to_double(c) -> Column:
-    """Double; text that is not a number becomes null (never an error)."""
-    return _c(c).try_cast("double")
-
-
 def yes_no(c) -> Column:
     return F.when(_c(c) == YES, 1).otherwise(0)
 
