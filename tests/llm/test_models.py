@@ -123,6 +123,19 @@ def test_scoring_pass_equals_training_pass():
         assert np.isclose(-np.log(toxicity.sigmoid(got[i]) + 1e-9), loss, atol=1e-5)
 
 
+def test_training_visits_all_documents_in_full(monkeypatch):
+    seen = []
+
+    def gradients(self, x, lengths, owner, label, weight):
+        seen.append(len(label))
+        return 0.0, {k: np.zeros_like(v) for k, v in self.p.items()}
+
+    monkeypatch.setattr(toxicity.Network, "gradients", gradients)
+    n = sum(toxicity.MAX_TRAIN)
+    toxicity.train([np.zeros((1, 1, toxicity.INPUTS), np.float32)] * n, [np.ones(1, np.int64)] * n, np.arange(n) % 2)
+    assert sum(seen) >= 11.5 * n    # 560 steps of 64 over 3,000 rows
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 63, 64, 65, 100, 112, 113, 1000):
         s = toxicity.window_starts(n)
