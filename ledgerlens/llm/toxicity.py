@@ -3,8 +3,11 @@ pooling over character and word inputs, trained and run in numpy.
 
 Inputs of a word: evidence of the word itself and of its character n-grams
 (with word boundaries) for the toxic label, from counts over every labelled
-row, kept in hashed tables of fixed size. The tables are counted in two
-halves; a training document is described by the other half's table, so that the
+row. Each distinct word and n-gram has its own counts, under a 64-bit key, in a
+Spark aggregate that grows with the labelled rows. The tables that are broadcast
+hold the keys with a log odds of ``MIN_EVIDENCE`` or more either way, and words
+seen ``MIN_SEEN`` times; any other key is off by less than ``MIN_EVIDENCE`` when
+it is taken for one never seen. The tables are counted in two halves; a training document is described by the other half's table, so that the
 network never sees evidence that came from the document it learns from.
 
 The network reads windows of ``WINDOW`` words. A text is scored on all its
@@ -39,7 +42,9 @@ from .common import stored
 
 WINDOW, OVERLAP = 64, 16
 HIDDEN = 8
-BITS = 16
+MIN_EVIDENCE, MIN_SEEN = 0.25, 16    # what tables keep: |log odds| or times seen, at least
+HALVES = [(0,), (1,), (0, 1)]
+CELLS = ["c00", "c01", "c10", "c11"]    # counts by half and label
 CHAR_ORDERS = (3, 5, 7)
 PRIOR = 2.0                  # pseudo-counts that hold evidence back
 MAX_TRAIN = (1200, 1800)     # toxic and other rows the network is fitted on
@@ -75,63 +80,80 @@ def window_starts(n: int) -> np.ndarray:
     return np.append(starts, last)
 
 
-def word_bins(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Hashed bin of each word; per n-gram order the bins and owners of the
+MIX64 = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_keys(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """64-bit key of each word; per n-gram order the keys and owners of the
     n-grams of the word with its boundaries marked."""
     if not words:
-        return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * len(CHAR_ORDERS), [np.zeros(0, np.int64)] * len(CHAR_ORDERS)
-    codes = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * len(CHAR_ORDERS), [np.zeros(0, np.int64)] * len(CHAR_ORDERS)
+    codes = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(lengths)
     begin = ends - lengths
     owner = np.repeat(np.arange(len(words)), lengths)
     at = np.arange(len(codes))
-    shift = np.uint32(32 - BITS)
-    placed = (codes + np.uint32(0x7F4A7C15) * (at - begin[owner] + 1).astype(np.uint32)) * ngrams.MIX
-    placed ^= placed >> np.uint32(15)
-    own = np.add.reduceat(placed * np.uint32(0x2C1B3C6D), begin, dtype=np.uint32) * ngrams.MIX >> shift
-    bins, owners, room = [], [], ends[owner] - at
+    placed = _mixed(codes + ((at - begin[owner] + 1).astype(np.uint64) << np.uint64(32)))
+    own = _mixed(np.add.reduceat(placed, begin))
+    keys, owners, room = [], [], ends[owner] - at
     for n in CHAR_ORDERS:
-        h = np.full(max(0, len(codes) - n + 1), n * 0x85EBCA6B & 0xFFFFFFFF, np.uint32)
+        h = np.full(max(0, len(codes) - n + 1), n * int(MIX64) & 0xFFFFFFFFFFFFFFFF, np.uint64)
         for k in range(n):
-            h = (h ^ codes[k:k + len(h)]) * ngrams.MIX
-            h ^= h >> np.uint32(15)
+            h = (h ^ codes[k:k + len(h)]) * MIX64
+            h ^= h >> np.uint64(32)
         ok = np.flatnonzero(room[:len(h)] >= n)
-        bins.append(((h[ok] * np.uint32(0x2C1B3C6D)) >> shift).astype(np.int64))
+        keys.append(_mixed(h[ok]))
         owners.append(owner[ok])
-    return own.astype(np.int64), bins, owners
+    return own, keys, owners
+
+
+class Table:
+    """Values of the kept keys, in key order; 0 for every other key."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], [v[order].astype(np.float32) for v in values]
+
+    def __call__(self, keys: np.ndarray) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.zeros(len(keys), np.float32) for _ in self.values]
+        asked, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        hit = self.keys[at] == asked
+        return [np.where(hit, v[at], np.float32(0))[back] for v in self.values]
 
 
 @dataclass
 class Evidence:
-    """Counts [class, bin] of words and of character n-grams."""
-    words: np.ndarray
-    chars: np.ndarray
-
-    @staticmethod
-    def _log_odds(c: np.ndarray) -> np.ndarray:
-        both = c.sum(axis=0)
-        share = c[1].sum() / max(1.0, c.sum())
-        return np.log((c[1] + PRIOR) / (both * share + PRIOR)).astype(np.float32)
+    """Tables of words (evidence, how often seen) and of n-grams (evidence), by
+    the halves they were counted in, and the counts [table, half, label]."""
+    by_halves: dict[tuple[int, ...], tuple[Table, Table]]
+    totals: np.ndarray
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return (self._log_odds(self.words), self._log_odds(self.chars),
-                (np.log1p(self.words.sum(axis=0)) / 5).astype(np.float32))
+    def tables(self, halves: tuple[int, ...]) -> tuple[Table, Table]:
+        return self.by_halves[halves]
 
 
 def inputs(words: list[str], tables) -> np.ndarray:
     """Input vector of each word: its own evidence, how often it was seen, the
     strongest n-gram evidence per order, and the mean over all n-grams."""
-    by_word, by_char, seen = tables
-    own, bins, owners = word_bins(words)
+    by_word, by_char = tables
+    own, keys, owners = word_keys(words)
     out = np.zeros((len(words), INPUTS), np.float32)
     if not words:
         return out
-    out[:, 0], out[:, 1] = by_word[own], seen[own]
+    out[:, 0], out[:, 1] = by_word(own)
+    found = np.split(by_char(np.concatenate(keys))[0], np.cumsum([len(k) for k in keys])[:-1])
     total, n = np.zeros(len(words)), np.zeros(len(words))
-    for k, (b, o) in enumerate(zip(bins, owners)):
-        if len(b):
-            z = by_char[b]
+    for k, (z, o) in enumerate(zip(found, owners)):
+        if len(z):
             first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
             out[o[first], 2 + k] = np.maximum.reduceat(z, first)
             total += np.bincount(o, z, len(words))
@@ -366,21 +388,20 @@ class Scorer:
         return sigmoid(s @ self.m.calibration)
 
 
-def count_evidence(labelled: DataFrame) -> list[Evidence]:
-    """Evidence of the two halves of all labelled rows (half, text, label)."""
-    size = 1 << BITS
-
+def _counted(labelled: DataFrame) -> DataFrame:
+    """(chars, key, c00, c01, c10, c11): counts by half and label of every
+    distinct word and n-gram of all labelled rows (half, text, label)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((2, 2, 2, size), np.int64)          # half, table, label, bin
         seen: dict[tuple[int, int], Counter] = {}
 
-        def flush(half: int, label: int) -> None:
+        def flush(half: int, label: int) -> Iterator[pd.DataFrame]:
             counter = seen.pop((half, label))
             words, n = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
-            bins, chars, owners = word_bins(words)
-            held[half, 0, label] += np.bincount(bins, n, size).astype(np.int64)
-            for c, o in zip(chars, owners):
-                held[half, 1, label] += np.bincount(c, n[o], size).astype(np.int64)
+            own, chars, owners = word_keys(words)
+            grams, back = np.unique(np.concatenate(chars), return_inverse=True)
+            times = np.bincount(back, n[np.concatenate(owners)], len(grams)).astype(np.int64)
+            for is_chars, k, c in ((False, own, n), (True, grams, times)):
+                yield pd.DataFrame({"chars": is_chars, "key": k.view(np.int64), "cell": np.int32(2 * half + label), "n": c})
 
         for b in batches:
             for half, label, text in zip(b["half"].tolist(), b["label"].tolist(), b["text"]):
@@ -388,19 +409,45 @@ def count_evidence(labelled: DataFrame) -> list[Evidence]:
                     counter = seen.setdefault((half, label), Counter())
                     counter.update(FIND(s.lower()))
                     if len(counter) > MAX_KNOWN:
-                        flush(half, label)
+                        yield from flush(half, label)
         for half, label in list(seen):
-            flush(half, label)
-        flat = held.reshape(-1)
-        at = np.flatnonzero(flat)
-        yield pd.DataFrame({"at": at, "n": flat[at]})
-
-    found = (labelled.mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-             .toPandas())                                    # at most 8 x 2^BITS rows
-    flat = np.zeros(8 * size)
-    flat[found["at"].to_numpy(np.int64)] = found["n"].to_numpy()
-    flat = flat.reshape(2, 2, 2, size)
-    return [Evidence(flat[h, 0], flat[h, 1]) for h in (0, 1)]
+            yield from flush(half, label)
+
+    return (labelled.mapInPandas(run, "chars boolean, key long, cell int, n long").groupBy("chars", "key")
+            .agg(*[F.sum(F.when(F.col("cell") == i, F.col("n")).otherwise(F.lit(0))).alias(c) for i, c in enumerate(CELLS)]))
+
+
+def count_evidence(labelled: DataFrame) -> Evidence:
+    """Evidence of all labelled rows (half, text, label), counted exactly; what
+    reaches the driver are the keys that some table keeps."""
+    counted = stored(_counted(labelled), "evidence")
+    totals = np.zeros((2, 2, 2))                                # table, half, label
+    for r in counted.groupBy("chars").agg(*[F.sum(c).alias(c) for c in CELLS]).collect():
+        totals[int(r["chars"])] = np.reshape([r[c] for c in CELLS], (2, 2))
+    kept = []
+    for halves in HALVES:
+        for table in (0, 1):
+            clean, toxic = (sum((F.col(CELLS[2 * h + label]) for h in halves), F.lit(0)) for label in (0, 1))
+            t = totals[table][list(halves)].sum(axis=0)
+            odds = F.log((toxic + PRIOR) / ((clean + toxic) * float(t[1] / max(1.0, t.sum())) + PRIOR))
+            own = counted.where(F.col("chars") == bool(table)).select(
+                F.lit(HALVES.index(halves) * 2 + table).alias("part"), "key", odds.cast("float").alias("odds"), (clean + toxic).alias("n"))
+            # how often an n-gram was seen is no input
+            kept.append(own.where((F.abs("odds") >= MIN_EVIDENCE) | ((F.col("n") >= MIN_SEEN) if not table else F.lit(False))))
+    blocks = [[] for _ in kept]
+    for i, part in enumerate(kept):
+        for r in part.mapInPandas(_packed, "key binary, odds binary, seen binary").toLocalIterator():
+            blocks[i].append((r["key"], r["odds"], r["seen"]))
+    found = [Table(np.frombuffer(b"".join(k for k, _, _ in b), np.uint64), np.frombuffer(b"".join(z for _, z, _ in b), np.float32),
+                   *([np.frombuffer(b"".join(n for _, _, n in b), np.float32)] if i % 2 == 0 else [])) for i, b in enumerate(blocks)]
+    return Evidence({h: (found[2 * i], found[2 * i + 1]) for i, h in enumerate(HALVES)}, totals)
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows as arrays, so that the driver never holds them one by one."""
+    for b in batches:
+        yield pd.DataFrame({"key": [b["key"].to_numpy(np.int64).tobytes()], "odds": [b["odds"].to_numpy(np.float32).tobytes()],
+                            "seen": [(np.log1p(b["n"].to_numpy(float)) / 5).astype(np.float32).tobytes()]})
 
 
 def _sample(rows: DataFrame, bounds: tuple[int, int], counts: dict[int, int]) -> DataFrame:
@@ -423,9 +470,9 @@ def fit(labelled: DataFrame, seed: int = 7) -> Model:
     both = {label: sizes.get((True, label), 0) + sizes.get((False, label), 0) for label in (0, 1)}
     if not both[0] or not both[1]:
         return Model((), None, np.zeros(4), float(both[1] > 0))
-    halves = count_evidence(rows.select("half", "text", "label"))
-    crossed = spark.sparkContext.broadcast([halves[1].tables(), halves[0].tables()])
-    whole = Evidence(halves[0].words + halves[1].words, halves[0].chars + halves[1].chars).tables()
+    evidence = count_evidence(rows.select("half", "text", "label"))
+    crossed = spark.sparkContext.broadcast([evidence.tables((1,)), evidence.tables((0,))])
+    whole = evidence.tables((0, 1))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -136,6 +136,22 @@ def test_training_visits_all_documents_in_full(monkeypatch):
     assert sum(seen) >= 11.5 * n    # 560 steps of 64 over 3,000 rows
 
 
+def test_evidence_is_counted_per_word_without_collisions(spark):
+    # 400,000 clean words and one toxic word; n-grams of each word are counted apart
+    clean = [(h, " ".join(f"w{h}x{i}q{j}" for j in range(1000)), 0) for i in range(200) for h in (0, 1)]
+    rows = clean + [(h, "grokvile " * 20, 1) for h in (0, 1)]
+    evidence = toxicity.count_evidence(spark.createDataFrame(rows, "half int, text string, label int").repartition(4))
+    words, chars = evidence.tables((0, 1))
+    own, grams, _ = toxicity.word_keys(["grokvile", "w0x1q2", "w1x199q999", "unseen"])
+    assert evidence.totals[0].tolist() == [[200_000, 20], [200_000, 20]]
+    share = 40 / 400_040
+    assert np.allclose(words(own)[0], [np.log(42 / (40 * share + 2)), 0, 0, 0], atol=1e-5)
+    assert np.allclose(words(own)[1], [np.log1p(40) / 5, 0, 0, 0], atol=1e-5)
+    assert len(chars(grams[2])[0]) == 4 + 2 + 6 + 2 and (chars(grams[2])[0][:4] > 2).all()
+    fit = toxicity.inputs([f"w0x{i}q{j}" for i in range(200) for j in range(0, 1000, 10)], (words, chars))
+    assert (fit[:, 0] < 0.01).all() and (fit[:, 2:] < 0.01).all()     # no clean word inherits toxic evidence
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 63, 64, 65, 100, 112, 113, 1000):
         s = toxicity.window_starts(n)
