@@ -4,8 +4,9 @@ Two variable-order Markov models over the bytes of a URL, one of accepted and
 one of rejected URLs, are learned from the URLs that the rules decide. The
 order runs from 0 to ``ORDER``: each longer context is interpolated with the
 shorter one, weighted by how often it was seen. Counts cover every rule-decided URL
-outside the calibration fold and are kept in hashed tables of fixed size, so
-the broadcast model is ``2 x 2^BITS`` counters at any scale. The score of a
+outside the calibration fold and are kept for each distinct context and context
+with character, under a 64-bit key; the broadcast model grows with the distinct
+ones (16 bytes each), not with the rows. The score of a
 URL is the difference of the two log-likelihoods divided by its length; the
 threshold is the one with the least balanced error on the calibration fold.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, fold
 
 ORDER = 4
-BITS = 18
+BITS = 64          # of a key
 STRENGTH = 4.0     # weight of the shorter context, in observations
 CALIBRATION_FOLDS = 5
 BINS = 400         # of the score, from -2 to 2
@@ -57,8 +58,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _keys(urls: list[bytes], bits: int, order: int):
-    """Hashed table positions of every character of every URL, for each context
-    length: (context, context with character), and the URL of each character."""
+    """Keys of every character of every URL, for each context length:
+    (context, context with character), and the URL of each character."""
     pad = b"\x00" * order
     data = np.frombuffer(b"".join(pad + u + b"\x03" for u in urls), np.uint8).astype(np.uint64)
     lengths = np.fromiter((len(u) + 1 for u in urls), np.int64, len(urls))
@@ -74,7 +75,7 @@ def _keys(urls: list[bytes], bits: int, order: int):
         ctx = ((context ^ seed) * np.uint64(0xBF58476D1CE4E5B9)) >> shift
         pair = (((context + data[at] * np.uint64(0x94D049BB133111EB)) ^ (seed << np.uint64(1)))
                 * np.uint64(0xBF58476D1CE4E5B9)) >> shift
-        out.append((ctx.astype(np.int64), pair.astype(np.int64)))
+        out.append((ctx, pair))
     return out, np.repeat(np.arange(len(urls)), lengths), lengths
 
 
@@ -82,37 +83,49 @@ def _bytes(urls) -> list[bytes]:
     return [u.encode() if isinstance(u, str) else b"" for u in urls]
 
 
-def count_tables(urls: DataFrame, order: int = ORDER, bits: int = BITS) -> np.ndarray:
+def count_tables(urls: DataFrame, order: int = ORDER, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Counts of contexts and of contexts with their next character, per class,
-    from every row of ``urls`` (url, accepted): array [class, table, 2^bits]."""
+    from every row of ``urls`` (url, accepted): (keys in order, counts [class,
+    key]) of the two tables."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((2, 2, 1 << bits), np.int32)
         for b in batches:
             for cls in (0, 1):
                 own = _bytes(b["url"][b["accepted"] == bool(cls)])
                 for lo in range(0, len(own), 2000):
-                    for ctx, pair in _keys(own[lo:lo + 2000], bits, order)[0]:
-                        held[cls, 0] += np.bincount(ctx, minlength=1 << bits).astype(np.int32)
-                        held[cls, 1] += np.bincount(pair, minlength=1 << bits).astype(np.int32)
-        at = np.flatnonzero(held.reshape(-1))
-        yield pd.DataFrame({"at": at, "n": held.reshape(-1)[at].astype(np.int64)})
-
-    parts = urls.mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    found = parts.toPandas()  # at most 4 x 2^bits rows, whatever the input
-    out = np.zeros(4 << bits, np.float32)
-    out[found["at"].to_numpy(np.int64)] = found["n"].to_numpy()
-    return out.reshape(2, 2, 1 << bits)
-
-
-def log_ratio(urls: list[bytes], tables: np.ndarray, order: int = ORDER, bits: int = BITS) -> np.ndarray:
+                    keys = _keys(own[lo:lo + 2000], bits, order)[0]
+                    for table in (0, 1):
+                        key, n = np.unique(np.concatenate([k[table] for k in keys]), return_counts=True)
+                        yield pd.DataFrame({"pair": np.int32(table), "key": key.view(np.int64), "cls": np.int32(cls), "n": n})
+
+    counted = urls.mapInPandas(run, "pair int, key long, cls int, n long").groupBy("pair", "key").agg(
+        *[F.sum(F.when(F.col("cls") == cls, F.col("n")).otherwise(F.lit(0))).alias(f"n{cls}") for cls in (0, 1)])
+    found, out = counted.toPandas(), []          # one row per distinct context and pair
+    for table in (0, 1):
+        own = found[found["pair"] == table]
+        keys = own["key"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(keys)
+        out.append((keys[by], own[["n0", "n1"]].to_numpy(np.float32).T[:, by]))
+    return out
+
+
+def _counts(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray) -> np.ndarray:
+    """Counts [class, asked key]; 0 for a key that was never counted."""
+    keys, counts = table
+    if not len(keys):
+        return np.zeros((2, len(asked)), np.float32)
+    once, back = np.unique(asked, return_inverse=True)
+    at = np.minimum(np.searchsorted(keys, once), len(keys) - 1)
+    return (counts[:, at] * (keys[at] == once))[:, back]
+
+
+def log_ratio(urls: list[bytes], tables, order: int = ORDER, bits: int = BITS) -> np.ndarray:
     """Length-normalised log P(accepted model) - log P(rejected model)."""
     if not urls:
         return np.zeros(0)
     keys, owner, lengths = _keys(urls, bits, order)
     p = np.full((2, len(owner)), 1 / 256, np.float64)
     for ctx, pair in keys:
-        for cls in (0, 1):
-            p[cls] = (tables[cls, 1][pair] + STRENGTH * p[cls]) / (tables[cls, 0][ctx] + STRENGTH)
+        p = (_counts(tables[1], pair) + STRENGTH * p) / (_counts(tables[0], ctx) + STRENGTH)
     return np.bincount(owner, np.log(p[1]) - np.log(p[0]), len(urls)) / lengths
 
 
@@ -127,7 +140,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     known = ruled.where("rule is not null").select("url", (F.col("rule_verdict") == "allow").alias("accepted"))
     tuning = fold(F.col("url"), CALIBRATION_FOLDS) == 0
     tables = count_tables(known.where(~tuning))
-    learned = bool(tables[0, 0].any() and tables[1, 0].any())
+    learned = bool(tables[0][1].any(axis=1).all())
     model = spark.sparkContext.broadcast(tables)
 
     @F.pandas_udf("double")

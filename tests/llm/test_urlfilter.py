@@ -59,3 +59,18 @@ def test_held_out_accuracy_and_degenerate_tables(spark):
     only = U.judge(df.where(F.col("page_id") >= 5000)).collect()
     assert {r["verdict"] for r in only} == {"allow"} and {r["score"] for r in only} == {0.0}
     assert U.judge(df.limit(0)).count() == 0
+
+
+def test_counts_of_many_urls_do_not_collide(spark):
+    good = [(f"http://a.com/{i * 7919:x}/{i * 104729:x}", True) for i in range(60000)]
+    rows = good + [("http://zz.net/qq", False)]
+    tables = U.count_tables(spark.createDataFrame(rows, "url string, accepted boolean").repartition(4))
+    pairs, contexts = set(), set()
+    for u, _ in rows:
+        s = b"\0" * 4 + u.encode() + b"\3"
+        for i in range(4, len(s)):
+            contexts.update((k, s[i - k:i]) for k in range(5))
+            pairs.update((k, s[i - k:i], s[i]) for k in range(5))
+    assert (len(tables[0][0]), len(tables[1][0])) == (len(contexts), len(pairs))
+    keys, _, _ = U._keys([b"~~~~"], U.BITS, U.ORDER)
+    assert not U._counts(tables[1], np.concatenate([p for _, p in keys[1:]])[:4]).any()
