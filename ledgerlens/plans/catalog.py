@@ -438,7 +438,7 @@ def q_impute_mean_by_split(spark, sf_dir):
     return for_check(N.impute_mean(j, IMPUTE_COLS, by="partition"))
 
 
-MATRIX_DRAWS = 5000     # weighted draws over the minority classes of the training part
+MATRIX_DRAWS = WEIGHTED_DRAWS     # weighted draws over the minority classes of the training part
 MATRIX_FEATURES = sorted(set(WIDE_COLUMNS) - {"ID", "period", "partition", "attrition"})
 
 

@@ -174,3 +174,8 @@ def test_all_levels_and_means_of_the_training_part(spark):
     fit = part.train.where("split = 'train'")
     seen = [float(r["ID"][1:]) for r in fit.collect() if int(r["ID"][1:]) % 3]
     assert abs({r["ID"]: r["v"] for r in part.train.collect()}["c0"] - sum(seen) / len(seen)) < 1e-9
+
+
+def test_model_matrix_takes_the_documented_draws():
+    from ledgerlens.plans import catalog
+    assert catalog.MATRIX_DRAWS == 220_000 and "range(0, 220000)" in catalog._matrix_sql()
