@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, minhash, packing, quality, sharding, topk, toxicity, urlfilter
+from . import audit, curriculum, decontaminate, htmltext, langid, minhash, packing, quality, sharding, topk, toxicity, urlfilter
 from .common import LOWER, UPPER, fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -163,7 +163,102 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                        (F.col("size") * F.size("positions")).alias("taken"),
+                        F.try_element_at("positions", F.lit(1)).alias("position"))
+
+
+def _schedule_sql(share: str, knots) -> str:
+    """``curriculum.time_of`` as SQL."""
+    areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(knots, knots[1:])]
+    area, out = f"({share} * CAST({sum(areas)!r} AS DOUBLE))", None
+    for i in reversed(range(len(areas))):
+        (t0, w0), (t1, w1) = knots[i], knots[i + 1]
+        inside = f"({area} - CAST({sum(areas[:i])!r} AS DOUBLE))"
+        root = f"sqrt(CAST({w0 * w0!r} AS DOUBLE) + CAST({2.0 * (w1 - w0) / (t1 - t0)!r} AS DOUBLE) * {inside})"
+        time = (f"least(CAST({t0!r} AS DOUBLE) + CAST(2.0 AS DOUBLE) * {inside} / (CAST({w0!r} AS DOUBLE) + {root}), "
+                f"CAST({t1!r} AS DOUBLE))")
+        out = time if out is None else f"CASE WHEN {area} < CAST({sum(areas[:i + 1])!r} AS DOUBLE) THEN {time} ELSE {out} END"
+    return out
+
+
+_SHARE = "(CAST(b AS DOUBLE) / target)"
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, source, text,
+                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  CAST('0x' || substr(md5('mix2020:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+           FROM documents),
+s AS (SELECT source, sum(size) AS words,
+             (row_number() OVER (ORDER BY source NULLS LAST) - 1) AS place FROM d GROUP BY source),
+w AS (SELECT *, place % 3 + 1 AS weight FROM s),
+-- capped are the sources of the smallest 3 * words / weight, while their share is above
+f AS (SELECT *, sum(words) OVER () - coalesce(sum(3 * words) OVER (ORDER BY 3.0 * words / weight, place
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(weight) OVER (ORDER BY 3.0 * words / weight, place
+                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
+c AS (SELECT rest, open FROM f WHERE CAST(weight * rest AS DOUBLE) / open < 3 * words
+      ORDER BY open DESC LIMIT 1),
+t AS (SELECT w.source, w.words, w.place, least(coalesce(CAST(w.weight * c.rest AS DOUBLE) / c.open, 3 * w.words),
+                                               CAST(3 * w.words AS DOUBLE)) AS target
+      FROM w LEFT JOIN c ON true),
+p AS (SELECT d.doc_id, d.size, t.words, t.place, t.target,
+             coalesce(sum(d.size) OVER (PARTITION BY t.place ORDER BY d.h, d.doc_id, d.text
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
+             CASE WHEN t.words > 0 THEN floor(t.target / t.words) ELSE 0 END AS whole
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, CASE WHEN size > 0 THEN CAST(whole AS BIGINT)
+                     + CASE WHEN b + size / 2.0 < target - whole * words THEN 1 ELSE 0 END ELSE 0 END AS n FROM p)
+SELECT doc_id, size, CAST(words AS BIGINT) AS source_size, target, CAST(n * size AS BIGINT) AS taken,
+       CASE WHEN n > 0 THEN CASE WHEN place % 3 = 0 THEN {_schedule_sql(_SHARE, curriculum.SCHEDULES[0])}
+                                 WHEN place % 3 = 1 THEN {_schedule_sql(_SHARE, curriculum.SCHEDULES[1])}
+                                 ELSE {_schedule_sql(_SHARE, curriculum.SCHEDULES[2])} END END AS position
+FROM n
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+r AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+      FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+              100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text),
+              regexp_matches(text, '[#$%&*|]'),
+              coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)] AS fails
+      FROM t LEFT JOIN r ON t.doc_id = r.doc_id),
+o AS (SELECT '' AS filter_order UNION ALL
+      SELECT filter_order || f FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE NOT contains(filter_order, f)),
+s AS (SELECT filter_order, step, filter_order[step] AS f FROM o, range(1, 6) g(step) WHERE len(filter_order) = 5),
+-- documents of a part by the set of filters they fail
+m AS (SELECT part, array_to_string(list_transform(list_filter([1, 2, 3, 4, 5], lambda i: fails[i]),
+                                                  lambda i: 'ABCDE'[i]), '') AS failed,
+             count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+x AS (SELECT part, filter_order, step, f, n, good, toxic, failed,
+             coalesce(list_min(list_transform(string_split(nullif(failed, ''), ''), lambda c: instr(filter_order, c))), 9) AS first
+      FROM m, s),
+a AS (SELECT part, filter_order, step, f,
+             coalesce(sum(n) FILTER (first > step), 0) AS kept, coalesce(sum(n) FILTER (first = step), 0) AS removed,
+             coalesce(sum(n) FILTER (first < step AND contains(failed, f)), 0) AS redundant,
+             coalesce(sum(n) FILTER (failed = f), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (first = step), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (first = step), 0) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM a
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_quality, op4_decontamination,
                                    op5_toxicity, op6_minhash_dedup, op7_exact_topk, op8_sharding, op9_bestfit_packing,
-                                   op10_url_filter)}
-ORACLE = {"op4_decontamination": OP4_SQL, "op6_minhash_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL}
+                                   op10_url_filter, op11_curriculum_mix, op13_filter_audit)}
+ORACLE = {"op4_decontamination": OP4_SQL, "op6_minhash_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL,
+          "op11_curriculum_mix": OP11_SQL, "op13_filter_audit": OP13_SQL}
