@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, curriculum, decontaminate, htmltext, langid, minhash, packing, quality, sharding, topk, toxicity, urlfilter
+from . import audit, curriculum, decontaminate, htmltext, langid, minhash, packing, phrases, quality, sharding, topk, toxicity, urlfilter
 from .common import LOWER, UPPER, fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -218,6 +218,35 @@ FROM n
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                               '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, range(1, 6) g(m) WHERE len(w) >= m)),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS MATERIALIZED (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT c.lang, c.m, c.phrase, c.a, c.w, x.k, l.f AS l, r.f AS r, t.n,
+             CAST((CAST(1000 AS HUGEINT) * c.a * CAST(t.n AS HUGEINT)) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+      FROM c JOIN range(1, 5) x(k) ON x.k < c.m JOIN t ON t.lang = c.lang
+      JOIN f l ON l.lang = c.lang AND l.m = x.k AND l.phrase = array_to_string(c.w[1:x.k], ' ')
+      JOIN f r ON r.lang = c.lang AND r.m = c.m - x.k AND r.phrase = array_to_string(c.w[x.k + 1:c.m], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM k),
+i AS (SELECT DISTINCT c.lang, array_to_string(c.w[s:s + z - 1], ' ') AS phrase, c.a
+      FROM c, range(1, 5) s(s), range(2, 5) z(z) WHERE z.z < c.m AND s.s + z.z - 1 <= c.m),
+q AS (SELECT b.* FROM b WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase
+                                                    AND 100 * i.a >= 100 * b.a)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM z WHERE rank <= 2000
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -259,6 +288,7 @@ FROM a
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_quality, op4_decontamination,
                                    op5_toxicity, op6_minhash_dedup, op7_exact_topk, op8_sharding, op9_bestfit_packing,
-                                   op10_url_filter, op11_curriculum_mix, op13_filter_audit)}
+                                   op10_url_filter, op11_curriculum_mix, op12_collocations, op13_filter_audit)}
 ORACLE = {"op4_decontamination": OP4_SQL, "op6_minhash_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL,
-          "op11_curriculum_mix": OP11_SQL, "op13_filter_audit": OP13_SQL}
+          "op11_curriculum_mix": OP11_SQL, "op12_collocations": OP12_SQL,
+          "op13_filter_audit": OP13_SQL}
