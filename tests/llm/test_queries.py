@@ -24,7 +24,7 @@ def run(spark, name):
 
 
 def test_all_are_registered():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 11)) and "pipeline" in QUERIES
+    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 14)) and "pipeline" in QUERIES
 
 
 def test_op1(spark):
