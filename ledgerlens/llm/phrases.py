@@ -2,26 +2,27 @@
 HAT-tries, and a ranking of the sequences by their weakest cut.
 
 Texts are lower-cased in A-Z, split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and
-those at blanks and tabs into words. Counting goes up in three passes over the texts:
-words, pairs, sequences of three to five. A task gives its words short numbers
-and keeps the sequences it has seen in a trie: the root leads by the first word to a
+those at blanks and tabs into words. A task gives its words short numbers and
+keeps the sequences it has seen in a trie: the root leads by the first word to a
 hash container of the remaining word numbers, and a container that has grown past
-``BURST`` entries bursts into a node by the next word. When the trie holds
-``HELD`` sequences, its largest subtrees leave as runs in word order until half
+``BURST`` entries bursts into a node by the next word. When the tries hold
+``HELD`` sequences, their largest subtrees leave as runs in word order until half
 of it is free. Runs are dealt by (language, first word, slice of the rest),
 so that the runs of one prefix partition are merged there and a frequent first
 word is in several; what has fewer than ``min_count`` occurrences ends there.
 
-Every part of a frequent sequence is frequent, so the second pass counts
-pairs of frequent words, and the third sequences of frequent pairs. The
-frequent words and pairs come to the tasks as a bit table of fixed size (8 MB at
-any input): a sequence that shares another's bit is counted for nothing and left out
-by its exact count, so the table decides the work but never a result.
+Every part of a frequent sequence is frequent, so three passes over the texts
+before it say what is worth a place in the trie: words, pairs and triples are
+counted under their hashes, as sorted runs of numbers merged per range of hashes.
+A hash shared by several sequences only raises its count, so no frequent
+sequence is missed, and the trie's counts are exact. What is frequent comes to
+the tasks as a bit table of fixed size (8 MB at any input), which decides
+the work but never a result.
 
 Defined results: null and empty texts have no words; a null language is
 ``und``; repeated rows count as often as they occur; equal phrases of two
-languages are two phrases; an empty table gives no rows; a table without
-a frequent phrase too; other columns are ignored. A very long text is taken
+languages are two phrases; an empty table gives no rows, and so does one
+without a frequent phrase; other columns are ignored. A very long text is taken
 in parts that carry the last words of the one before.
 """
 
@@ -43,7 +44,9 @@ from .common import stored
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-HELD = 600_000           # sequences in a task's trie
+HELD = 400_000           # sequences in a task's tries
+HELD_HASHES = 2_000_000  # hashes in a task's run
+HASH_BITS = 36
 BURST = 4_096            # entries of a hash container
 SLICES = 16              # partitions of one first word's sequences
 FILTER_BITS = (1 << 26) - 5   # a prime, so that every bit of a hash counts
@@ -107,15 +110,15 @@ def word_hash(lang: str, word: bytes) -> int:
     return zlib.crc32(word, zlib.crc32(lang.encode() + b" "))
 
 
-def filter_bit(*hashes):
-    """The bit of a word or pair from its words' hashes (arrays or columns of longs)."""
-    bit = hashes[0] % FILTER_BITS
-    for h in hashes[1:]:
-        bit = (bit * 1_000_003 + h) % FILTER_BITS
-    return bit
+def joint_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a sequence from that of all but its last word and the last word's."""
+    h = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0x165667B19E3779F9)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
-def has_bit(table: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def has_bit(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = hashes % FILTER_BITS
     return (table[bits >> 6] >> (bits & 63) & 1).astype(bool)
 
 
@@ -216,21 +219,34 @@ class Numbers(dict):
         return number
 
 
-def sequences(ids: np.ndarray, n: int, context: int, chained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sequences of ``n`` numbers of a chunk, sorted, with their
-    counts. ``chained[i]`` says that words i and i + 1 may stand together;
-    sequences that end inside the first ``context`` words are left out."""
-    room = max(0, len(ids) - n + 1)
-    ok = chained[:room].copy()
-    for k in range(1, n - 1):
-        ok &= chained[k:k + room]
-    ok[:max(0, context - n + 1)] = False
+def starts(ids: np.ndarray, numbers: Numbers, tables: list) -> list[np.ndarray]:
+    """For 1, 2, ... words: where a sequence of that many starts whose words,
+    pairs and triples are all frequent by ``tables`` (words first; the words' own
+    is in ``numbers``). Index k belongs to sequences of k + 1 words."""
+    hashes = np.array(numbers.hashes, np.int64)[ids]
+    ok, joint, out = ids > 0, hashes, []
+    out.append(ok)
+    for n in range(2, LONGEST + 1):
+        ok = ok[:-1] & out[n - 2][1:] if len(ok) else ok
+        if n - 2 < len(tables):
+            joint = joint_hash(joint[:len(ok)], hashes[n - 1:])
+            at = np.flatnonzero(ok)
+            ok[at] = has_bit(tables[n - 2], joint[at])
+        out.append(ok)
+    return out
+
+
+def sequences(ids: np.ndarray, n: int, context: int, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sequences of ``n`` numbers of a chunk that start where ``ok``
+    says, sorted, with their counts; those that end inside the first ``context``
+    words are left out."""
     at = np.flatnonzero(ok)
+    at = at[at + n > context]
     if not len(at):
         return np.empty((0, n), np.int64), np.empty(0, np.int64)
-    if n == 2:
-        keys, counts = np.unique(ids[at] << 32 | ids[at + 1], return_counts=True)
-        return np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1), counts
+    if n <= 2:
+        keys, counts = np.unique(ids[at] << 32 | ids[at + 1] if n == 2 else ids[at], return_counts=True)
+        return (np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1) if n == 2 else keys[:, None]), counts
     rows = np.empty((len(at), n), ">u4")
     for k in range(n):
         rows[:, k] = ids[at + k]
@@ -238,58 +254,160 @@ def sequences(ids: np.ndarray, n: int, context: int, chained: np.ndarray) -> tup
     return keys.view(">u4").reshape(len(keys), n).astype(np.int64), counts
 
 
-def _run(lang: str, found: list[tuple[str, str, int]], n: int | None = None) -> pd.DataFrame:
-    found.sort()
-    phrase = [p for p, _, _ in found]
-    return pd.DataFrame({"lang": lang, "n": [n if n is not None else p.count(" ") + 1 for p in phrase],
-                         "head": [h for _, h, _ in found], "phrase": phrase, "count": [c for _, _, c in found]})
-
-
 def _batches(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[bytes], int]]:
     for part in parts:
         yield from word_chunks(part["lang"].tolist(), part["text"].tolist())
 
 
-def count_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of word counts, and one row with n = 0 for the number of all words."""
-    seen: dict[str, Counter] = {}
-    for lang, words, context in _batches(parts):
-        own = seen.setdefault(lang, Counter())
-        own.update(words[context:])
-        if sum(map(len, seen.values())) > HELD:
-            yield from _word_runs(seen)
-            seen.clear()
-    yield from _word_runs(seen)
+def sum_counts(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal hashes together, in order."""
+    h, c = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.diff(h, prepend=-1))
+    return h[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def pack(h: np.ndarray, c: np.ndarray) -> bytes:
+    """A sorted run: gaps and counts, byte by byte over all entries, compressed."""
+    gaps = np.diff(h, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]     # HASH_BITS are below 40
+    return zlib.compress(gaps.T.tobytes() + c.astype("<u8").tobytes(), 1)
+
+
+def unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(run), np.uint8)
+    n = len(raw) // 13
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :5] = raw[:5 * n].reshape(5, n).T
+    return np.cumsum(gaps.view("<i8").ravel()), raw[5 * n:].view("<i8").copy()
+
+
+def count_hashes(n: int, ranges: int, tables: list, held: int = HELD_HASHES):
+    """Task function: runs (range, run) of the hashes of sequences of ``n``
+    words. ``tables`` are broadcast bit tables of words, pairs, ..., n - 1 words."""
+    def words_of(parts):
+        for lang, tokens, context in _batches(parts):
+            own = Counter(tokens[context:])
+            del own[BREAK]
+            start = zlib.crc32(lang.encode() + b" ")
+            yield (np.fromiter((zlib.crc32(w, start) for w in own), np.int64, len(own)),
+                   np.fromiter(own.values(), np.int64, len(own)))
+
+    def sequences_of(parts):
+        numbers: dict[str, Numbers] = {}
+        known = [t.value for t in tables]
+        for lang, tokens, context in _batches(parts):
+            own = numbers.setdefault(lang, Numbers(lang, known[0]))
+            ids = np.fromiter(map(own.__getitem__, tokens), np.int64, len(tokens))
+            ok = starts(ids, own, known[1:])[n - 1]
+            at = np.flatnonzero(ok)
+            at = at[at + n > context]
+            hashes = np.array(own.hashes, np.int64)[ids]
+            joint = hashes[at]
+            for k in range(1, n):
+                joint = joint_hash(joint, hashes[at + k])
+            yield joint, np.ones(len(at), np.int64)
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = (HASH_BITS if n > 1 else 32) - (ranges - 1).bit_length()
+
+        def runs(h, c):
+            edges = np.searchsorted(h, np.arange(ranges + 1, dtype=np.int64) << bits)
+            own = [(r, pack(h[a:b], c[a:b])) for r, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            return pd.DataFrame(own, columns=["range", "run"])
+
+        hashes, counts, waiting, kept = [], [], 0, 0
+        for h, c in (words_of if n == 1 else sequences_of)(parts):
+            hashes.append(h)
+            counts.append(c)
+            waiting += len(h)
+            if waiting > max(kept, held // 2):
+                h, c = sum_counts(hashes, counts)
+                if len(h) > held:
+                    yield runs(h, c)
+                    h, c = h[:0], c[:0]
+                hashes, counts, kept, waiting = [h], [c], len(h), 0
+        if hashes:
+            h, c = sum_counts(hashes, counts)
+            if len(h):
+                yield runs(h, c)
+    return count
+
+
+def merge_runs(min_count: int):
+    """Task function over runs sorted by range: the hashes of ``min_count`` occurrences."""
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, hashes, counts, waiting, kept = None, [], [], 0, 0
+
+        def done():
+            h, c = sum_counts(hashes, counts)
+            return pd.DataFrame({"hash": h[c >= min_count]})
+
+        for part in parts:
+            for r, run in zip(part["range"].tolist(), part["run"].tolist()):
+                if r != at and hashes:
+                    yield done()
+                    hashes, counts, waiting, kept = [], [], 0, 0
+                at = r
+                h, c = unpack(run)
+                hashes.append(h)
+                counts.append(c)
+                waiting += len(h)
+                if waiting > max(kept, HELD_HASHES // 2):
+                    h, c = sum_counts(hashes, counts)
+                    hashes, counts, kept, waiting = [h], [c], len(h), 0
+        if hashes:
+            yield done()
+    return merge
+
+
+def frequent_hashes(texts: DataFrame, n: int, min_count: int, tables: list) -> DataFrame:
+    """The hashes under which sequences of ``n`` words have ``min_count`` occurrences."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 1 << (2 * partitions - 1).bit_length()     # two to four ranges a partition
+    runs = texts.mapInPandas(count_hashes(n, ranges, tables), "range int, run binary")
+    return (runs.repartition(partitions, "range").sortWithinPartitions("range")
+            .mapInPandas(merge_runs(min_count), "hash long"))
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """A bit per hash, in a table of fixed size."""
+    bit = hashes.select((F.col("hash") % FILTER_BITS).alias("bit"))
+    cells = (bit.groupBy(F.expr("bit div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits"))
+             .toPandas())     # at most FILTER_BITS / 64 rows
+    table = np.zeros((FILTER_BITS >> 6) + 1, np.int64)
+    table[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    return table
 
 
-def _word_runs(seen: dict[str, Counter]) -> Iterator[pd.DataFrame]:
-    for lang, counts in seen.items():
-        del counts[BREAK]
-        yield _run(lang, [("", "", sum(counts.values()))], 0)
-        names = ((w.decode("utf-8", "replace"), c) for w, c in counts.items())
-        yield _run(lang, [(w, w, c) for w, c in names], 1)
+def _run(lang: str, found: list[tuple[str, str, int]]) -> pd.DataFrame:
+    found.sort()
+    phrase = [p for p, _, _ in found]
+    return pd.DataFrame({"lang": lang, "n": [p.count(" ") + 1 if p else 0 for p in phrase],
+                         "head": [h for _, h, _ in found], "phrase": phrase, "count": [c for _, _, c in found]})
 
 
-def count_sequences(shortest: int, longest: int, words, pairs=None, held: int = HELD, burst: int = BURST):
-    """Task function: runs of the counts of sequences of ``shortest`` to
-    ``longest`` words. ``words`` and ``pairs`` are broadcast bit tables."""
+def count_sequences(tables: list, held: int = HELD, burst: int = BURST):
+    """Task function: runs of the counts of sequences of 1 to 5 words, and one
+    row with n = 0 for the number of all words. ``tables`` are broadcast bit
+    tables of words, pairs and triples."""
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tries: dict[str, tuple[Numbers, HatTrie]] = {}
+        total: Counter = Counter()
+        known = [t.value for t in tables]
         for lang, tokens, context in _batches(parts):
             if lang not in tries:
-                tries[lang] = Numbers(lang, words.value), HatTrie(burst)
+                tries[lang] = Numbers(lang, known[0]), HatTrie(burst)
             numbers, trie = tries[lang]
             ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-            chained = (ids[:-1] > 0) & (ids[1:] > 0)
-            if pairs is not None:
-                at = np.flatnonzero(chained)
-                hashes = np.array(numbers.hashes, np.int64)
-                chained[at] = has_bit(pairs.value, filter_bit(hashes[ids[at]], hashes[ids[at + 1]]))
-            for n in range(shortest, longest + 1):
-                trie.add(*sequences(ids, n, context, chained))
+            total[lang] += len(tokens) - context - tokens[context:].count(BREAK)
+            for n, ok in enumerate(starts(ids, numbers, known[1:]), start=1):
+                trie.add(*sequences(ids, n, context, ok))
             if sum(t.held for _, t in tries.values()) > held:
                 yield from _spill(tries, held // 2)
         yield from _spill(tries, 0)
+        for lang, n in total.items():
+            yield _run(lang, [("", "", n)])
     return count
 
 
@@ -321,34 +439,16 @@ def merged(runs: DataFrame, min_count: int) -> DataFrame:
     return total.where((F.col("count") >= min_count) | (F.col("n") == 0)).select("lang", "n", "phrase", "count")
 
 
-def bit_table(frequent: DataFrame) -> np.ndarray:
-    """The bits of frequent words or pairs: a table of fixed size."""
-    words = F.split("phrase", " ")
-    crc = F.transform(words, lambda w: F.crc32(F.concat("lang", F.lit(" "), w).cast("binary")))
-    pair = F.when(F.size("crc") > 1, filter_bit(F.col("crc")[0], F.try_element_at("crc", F.lit(2)))).otherwise(
-        filter_bit(F.col("crc")[0]))
-    cells = (frequent.select(crc.alias("crc")).select(pair.alias("bit"))
-             .groupBy(F.expr("bit div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits"))
-             .toPandas())     # at most FILTER_BITS / 64 rows
-    table = np.zeros((FILTER_BITS >> 6) + 1, np.int64)
-    table[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
-    return table
-
-
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "lang", text_col: str = "text",
                   held: int = HELD, burst: int = BURST) -> DataFrame:
     """(lang, n, phrase, count) of all sequences of 1 to 5 words that occur
     ``min_count`` times in a language; n = 0: the number of all its words."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    words = stored(merged(texts.mapInPandas(count_words, RUN), min_count), "phrase-words")
-    word_bits = sc.broadcast(bit_table(words.where("n = 1")))
-    pairs = stored(merged(texts.mapInPandas(count_sequences(2, 2, word_bits, None, held, burst), RUN), min_count),
-                   "phrase-pairs")
-    pair_bits = sc.broadcast(bit_table(pairs))
-    longer = stored(merged(texts.mapInPandas(count_sequences(3, LONGEST, word_bits, pair_bits, held, burst), RUN), min_count),
-                    "phrase-longer")
-    return words.unionByName(pairs).unionByName(longer)
+    tables: list = []
+    for n in (1, 2, 3):
+        tables.append(sc.broadcast(bit_table(frequent_hashes(texts, n, min_count, list(tables)))))
+    return stored(merged(texts.mapInPandas(count_sequences(tables, held, burst), RUN), min_count), "phrase-counts")
 
 
 def weakest_cuts(counts: DataFrame) -> DataFrame:
@@ -396,8 +496,12 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, la
     counts = phrase_counts(docs, min_count, lang_col, text_col)
     kept = not_contained(stored(weakest_cuts(counts), "phrase-cuts"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
-    # first within slices of a language, so that no task ranks a whole one
-    some = kept.withColumn("slice", F.crc32(F.col("phrase").cast("binary")) % SLICES).withColumn(
-        "place", F.row_number().over(W.partitionBy("lang", "slice").orderBy(*order))).where(F.col("place") <= top)
-    ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long"))
+    # places by ranges of the order, so that no task ranks a whole language
+    spread = stored(kept.repartitionByRange("lang", *order).withColumn("pid", F.spark_partition_id()), "phrase-order")
+    before = W.partitionBy("of").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (spread.groupBy(F.col("lang").alias("of"), F.col("pid").alias("at")).agg(F.count(F.lit(1)).alias("k"))
+               .select("of", "at", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start")))
+    own = spread.withColumn("own", F.row_number().over(W.partitionBy("lang", "pid").orderBy(*order)))
+    ranked = own.join(F.broadcast(offsets), (F.col("lang") == F.col("of")) & (F.col("pid") == F.col("at"))).withColumn(
+        "rank", (F.col("start") + F.col("own")).cast("long"))       # one offset per language and partition
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

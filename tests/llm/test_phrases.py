@@ -87,12 +87,40 @@ def test_long_text_is_counted_once(spark, monkeypatch):
         ids = np.array([{b".": 0, b"ab": 1, b"c": 2, b"dd": 3}[w] for w in words])
         total[lang] += sum(w != b"." for w in words[context:])
         for k in range(2, 6):
-            rows, counts = phrases.sequences(ids, k, context, (ids[:-1] > 0) & (ids[1:] > 0))
+            room = max(0, len(ids) - k + 1)
+            rows, counts = phrases.sequences(ids, k, context, np.all([ids[j:j + room] > 0 for j in range(k)], axis=0))
             for row, c in zip(rows.tolist(), counts.tolist()):
                 seen[tuple(["", "ab", "c", "dd"][i] for i in row)] += c
     assert total == n and seen == Counter({p: c for (_, p), c in f.items() if len(p) > 1})
 
 
+def test_runs_of_hashes_are_exact():
+    rng = np.random.default_rng(2)
+    parts = [np.sort(rng.choice(1 << phrases.HASH_BITS, 500, replace=False)) for _ in range(4)] + [np.arange(3)] * 2
+    want = Counter()
+    for h in parts:
+        want.update(dict(zip(h.tolist(), range(1, len(h) + 1))))
+    packed = [phrases.unpack(phrases.pack(h, np.arange(1, len(h) + 1))) for h in parts]
+    h, c = phrases.sum_counts([a for a, _ in packed], [b for _, b in packed])
+    assert dict(zip(h.tolist(), c.tolist())) == want and (np.diff(h) > 0).all()
+
+
+def test_merging_in_parts_loses_nothing(monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(phrases, "HELD_HASHES", 10)
+    rng = np.random.default_rng(4)
+    rows, want = [], Counter()
+    for _ in range(60):
+        r = int(rng.integers(0, 3))
+        h, c = np.unique(rng.integers(r * 50, r * 50 + 50, 30), return_counts=True)
+        rows.append((r, phrases.pack(h, c)))
+        want.update(dict(zip(h.tolist(), c.tolist())))
+    rows.sort(key=lambda x: x[0])
+    frames = [pd.DataFrame(rows[i:i + 7], columns=["range", "run"]) for i in range(0, len(rows), 7)]
+    got = [h for f in phrases.merge_runs(40)(iter(frames)) for h in f["hash"].tolist()]
+    assert sorted(got) == sorted(h for h, c in want.items() if c >= 40)
+
+
 def test_trie_counts_like_a_dict():
     rng = np.random.default_rng(0)
     trie, want = phrases.HatTrie(burst=4), Counter()
