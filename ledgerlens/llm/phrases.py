@@ -7,9 +7,9 @@ keeps the sequences it has seen in a trie: the root leads by the first word to a
 hash container of the remaining word numbers, and a container that has grown past
 ``BURST`` entries bursts into a node by the next word. When the tries hold
 ``HELD`` sequences, their largest subtrees leave as runs in word order until half
-of it is free. Runs are dealt by (language, first word, slice of the rest),
-so that the runs of one prefix partition are merged there and a frequent first
-word is in several; what has fewer than ``min_count`` occurrences ends there.
+of it is free. Runs are dealt by first word and slice of the rest, so that
+the runs of one prefix partition are merged in one task and a frequent first word is
+in several; what has fewer than ``min_count`` occurrences ends there.
 
 Every part of a frequent sequence is frequent, so three passes over the texts
 before it say what is worth a place in the trie: words, pairs and triples are
@@ -60,8 +60,6 @@ for _c in b".,;:!?\n\x0b\x0c\r":
 _TABLE[9] = ord(" ")
 _TABLE = bytes(_TABLE)
 
-RUN = "lang string, n int, head string, phrase string, count long"
-
 
 def text_words(text: bytes) -> list[bytes]:
     """Words of a text in UTF-8, with a ``BREAK`` between pieces."""
@@ -380,16 +378,9 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
     return table
 
 
-def _run(lang: str, found: list[tuple[str, str, int]]) -> pd.DataFrame:
-    found.sort()
-    phrase = [p for p, _, _ in found]
-    return pd.DataFrame({"lang": lang, "n": [p.count(" ") + 1 if p else 0 for p in phrase],
-                         "head": [h for _, h, _ in found], "phrase": phrase, "count": [c for _, _, c in found]})
-
-
-def count_sequences(tables: list, held: int = HELD, burst: int = BURST):
-    """Task function: runs of the counts of sequences of 1 to 5 words, and one
-    row with n = 0 for the number of all words. ``tables`` are broadcast bit
+def count_sequences(tables: list, slots: int, held: int = HELD, burst: int = BURST):
+    """Task function: runs of the counts of sequences of 1 to 5 words; the empty
+    sequence stands for the number of all words. ``tables`` are broadcast bit
     tables of words, pairs and triples."""
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tries: dict[str, tuple[Numbers, HatTrie]] = {}
@@ -404,39 +395,63 @@ def count_sequences(tables: list, held: int = HELD, burst: int = BURST):
             for n, ok in enumerate(starts(ids, numbers, known[1:]), start=1):
                 trie.add(*sequences(ids, n, context, ok))
             if sum(t.held for _, t in tries.values()) > held:
-                yield from _spill(tries, held // 2)
-        yield from _spill(tries, 0)
+                yield from _spill(tries, slots, held // 2)
+        yield from _spill(tries, slots, 0)
         for lang, n in total.items():
-            yield _run(lang, [("", "", n)])
+            yield _runs(lang, {0: [("", n)]})
     return count
 
 
-def _spill(tries: dict[str, tuple[Numbers, HatTrie]], keep: int) -> Iterator[pd.DataFrame]:
+def _spill(tries: dict[str, tuple[Numbers, HatTrie]], slots: int, keep: int) -> Iterator[pd.DataFrame]:
     """Whole subtrees, largest first, until ``keep`` sequences are left."""
     left = sum(t.held for _, t in tries.values())
     for lang, (numbers, trie) in tries.items():
-        names, found = numbers.names, []
+        names, found = numbers.names, {}
         share = keep * trie.held // max(1, left)
         for first in trie.largest():
             if trie.held <= share:
                 break
-            head = names[first]
+            head = zlib.crc32(names[first].encode())
+            own = [zlib.crc32(b"%d" % k, head) % slots for k in range(SLICES)]      # the slots of one first word
             for rest, count in trie.take(first):
-                steps = struct.unpack(f">{len(rest) // 4}I", rest)
-                found.append((" ".join([head, *[names[i] for i in steps]]), head, count))
-            if len(found) > HELD // 4:
-                yield _run(lang, found)
-                found = []
+                phrase = " ".join([names[first], *[names[i] for i in struct.unpack(f">{len(rest) // 4}I", rest)]])
+                found.setdefault(own[zlib.crc32(phrase.encode()) % SLICES], []).append((phrase, count))
         if found:
-            yield _run(lang, found)
+            yield _runs(lang, found)
+
+
+def _runs(lang: str, found: dict[int, list[tuple[str, int]]]) -> pd.DataFrame:
+    """Sequences in order, a run for each prefix partition."""
+    rows = []
+    for slot, own in found.items():
+        own.sort()
+        rows.append((slot, lang, zlib.compress("\n".join(p for p, _ in own).encode(), 1),     # no word holds a line end
+                     zlib.compress(np.array([c for _, c in own], "<i8").tobytes(), 1)))
+    return pd.DataFrame(rows, columns=["slot", "lang", "phrases", "counts"])
+
 
+def merge_phrases(min_count: int):
+    """Task function over runs in the order of (slot, language)."""
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, Counter()
+
+        def done():
+            kept = [(p, c) for p, c in held.items() if c >= min_count or not p]
+            return pd.DataFrame([(at[1], p.count(" ") + 1 if p else 0, p, c) for p, c in kept],
+                                columns=["lang", "n", "phrase", "count"])
 
-def merged(runs: DataFrame, min_count: int) -> DataFrame:
-    """Runs merged per prefix partition; frequent sequences and the totals stay."""
-    dealt = (runs.withColumn("slice", F.crc32(F.col("phrase").cast("binary")) % SLICES)
-             .repartition("lang", "head", "slice"))
-    total = dealt.groupBy("lang", "head", "slice", "n", "phrase").agg(F.sum("count").alias("count"))
-    return total.where((F.col("count") >= min_count) | (F.col("n") == 0)).select("lang", "n", "phrase", "count")
+        for part in parts:
+            for slot, lang, phrases, counts in zip(part["slot"], part["lang"], part["phrases"], part["counts"]):
+                if (slot, lang) != at:
+                    if held:
+                        yield done()
+                    at, held = (slot, lang), Counter()
+                numbers = np.frombuffer(zlib.decompress(counts), "<i8").tolist()
+                for p, c in zip(zlib.decompress(phrases).decode().split("\n"), numbers):
+                    held[p] += c
+        if held:
+            yield done()
+    return merge
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "lang", text_col: str = "text",
@@ -448,7 +463,12 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "
     tables: list = []
     for n in (1, 2, 3):
         tables.append(sc.broadcast(bit_table(frequent_hashes(texts, n, min_count, list(tables)))))
-    return stored(merged(texts.mapInPandas(count_sequences(tables, held, burst), RUN), min_count), "phrase-counts")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = texts.mapInPandas(count_sequences(tables, 4 * partitions, held, burst),
+                             "slot int, lang string, phrases binary, counts binary")
+    merged = (runs.repartition(partitions, "slot").sortWithinPartitions("slot", "lang")
+              .mapInPandas(merge_phrases(min_count), "lang string, n int, phrase string, count long"))
+    return stored(merged, "phrase-counts")
 
 
 def weakest_cuts(counts: DataFrame) -> DataFrame:
