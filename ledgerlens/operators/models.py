@@ -1,21 +1,22 @@
-"""Models on ``pyspark.ml``: random forest, two-stage boosted trees, and a
+"""Random forest (``pyspark.ml``), two-stage boosted trees (``boosting``), and a
 linear stacker. Fitting and scoring are distributed; the driver holds only
-model metadata. Inputs must be imputed (``VectorAssembler`` rejects nulls)."""
+models. Inputs must be imputed (``VectorAssembler`` rejects nulls)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import score_to_class, two_stage_decision
 from ..sources.csv import write_csv
+from .boosting import Booster, BoostSettings, fit_booster, thresholds
 from .metrics import macro_f1
 from .resample import class_counts
 
@@ -45,141 +46,100 @@ def predict_random_forest(model, feats: Sequence[str], df: DataFrame, out: str =
 
 @dataclass(frozen=True)
 class TwoStagePreset:
-    """Settings of the two stages. Stage 1 is a binary GBT, stage 2 one-vs-rest
-    GBTs. Each boosting stops ``patience`` rounds after its best round on the
-    held-out rows (``None``: it runs all its rounds)."""
+    """Settings of the two stages: a binary boosting, and a joint multiclass one
+    on the positives (on all rows without ``shift_stage2``). Each stops
+    ``patience`` rounds after its best round on the held-out rows (``None``: it runs
+    all its rounds), measured by wrong rows or, with ``stop_on="loss"``, by log loss."""
     step_size: float = 0.05
     max_depth: int = 7
+    max_leaves: int | None = None
+    l2: float = 0.0
     subsample: float = 0.8
+    level_columns: float = 1.0
+    min_hessian: float = 1.0
+    min_rows: int = 1
     max_iter_binary: int = 2800
     max_iter_multi: int = 1400
     patience_binary: int | None = 22
     patience_multi: int | None = 5
-    feature_subset: str = "all"
     shift_stage2: bool = True   # stage 2 trained on label - 1 among positives
+    stop_on: str = "wrong"
     seed: int = 2020
-    extra: dict = field(default_factory=dict)
 
+    def settings(self, classes: int, rounds: int, patience: int | None) -> BoostSettings:
+        return BoostSettings(classes=classes, rounds=rounds, patience=patience, step_size=self.step_size,
+                             max_depth=self.max_depth, max_leaves=self.max_leaves, l2=self.l2, subsample=self.subsample,
+                             level_columns=self.level_columns, min_hessian=self.min_hessian, min_rows=self.min_rows,
+                             stop_on=self.stop_on, seed=self.seed)
 
-# The deep, the light and the column-subsampled presets. Spark's
-# trees have no limit on leaves; depth 3 (8 leaves) stands for the light
-# preset's 5 leaves.
-DEEP = TwoStagePreset(step_size=0.05, max_depth=7, subsample=0.8, max_iter_binary=2800, max_iter_multi=1400)
-LIGHT = TwoStagePreset(step_size=0.1, max_depth=3, subsample=1.0, max_iter_binary=100, max_iter_multi=100,
+
+# The deep, the light and the column-subsampled presets.
+DEEP = TwoStagePreset(step_size=0.05, max_depth=7, subsample=0.8, l2=5.0, max_iter_binary=2800, max_iter_multi=1400,
+                      patience_binary=22, patience_multi=5)
+LIGHT = TwoStagePreset(step_size=0.1, max_depth=5, max_leaves=5, subsample=1.0, min_hessian=1e-3, min_rows=20,
+                       max_iter_binary=100, max_iter_multi=100, patience_binary=None, patience_multi=None,
                        shift_stage2=False)
-COLUMN_SUBSAMPLED = TwoStagePreset(step_size=0.05, max_depth=5, subsample=0.8, feature_subset="0.8",
-                                   max_iter_binary=1000, max_iter_multi=1000, patience_binary=5)
-
-
-def error_by_round(model, rows: DataFrame, label: str) -> list[int]:
-    """Wrong rows after each boosting round, for all rounds in one pass."""
-    scored = rows.select(F.col(label).cast("int").alias("y"), "features")
-    trees, weights = model.trees, model.treeWeights
-    for i, tree in enumerate(trees):
-        scored = tree.setPredictionCol(f"t{i}").transform(scored)
-    steps = F.array(*[F.col(f"t{i}") * F.lit(float(w)) for i, w in enumerate(weights)])
-    margins = F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    by_round = (scored.select("y", F.posexplode(margins).alias("round", "margin")).where("round > 0")
-                .groupBy("round").agg(F.count_if((F.col("margin") > 0).cast("int") != F.col("y")).alias("wrong")))
-    return [r["wrong"] for r in by_round.orderBy("round").collect()]   # one number per round
-
-
-def best_round(errors: Sequence[int], patience: int) -> tuple[int, bool]:
-    """(best round, whether ``patience`` rounds without improvement followed)."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def fit_boosted(train: DataFrame, held_out: DataFrame, label: str, preset: TwoStagePreset, max_iter: int,
-                patience: int | None):
-    """Binary GBT that stops by patience on the held-out error. Spark cannot
-    continue a boosting, so it is fitted with a growing number of rounds until
-    patience runs out, then once more with the best number; equal seeds give equal
-    first rounds."""
-    def fit(rounds: int):
-        gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=preset.max_depth,
-                            stepSize=preset.step_size, subsamplingRate=preset.subsample,
-                            featureSubsetStrategy=preset.feature_subset, seed=preset.seed, **preset.extra)
-        if _has_checkpoint_dir(train):
-            gbt.setCheckpointInterval(10)
-        return gbt.fit(train)
-
-    if patience is None:
-        return fit(max_iter)
-    rounds = min(max_iter, patience + 5)
-    while True:
-        model = fit(rounds)
-        best, stopped = best_round(error_by_round(model, held_out, label), patience)
-        if stopped or rounds == max_iter:
-            return model if best == rounds else fit(best)
-        rounds = min(max_iter, 2 * rounds)
+COLUMN_SUBSAMPLED = TwoStagePreset(step_size=0.05, max_depth=5, subsample=0.8, level_columns=0.8, l2=0.8,
+                                   max_iter_binary=1000, max_iter_multi=1000, patience_binary=5, patience_multi=5)
 
 
 @dataclass
 class TwoStageModel:
-    binary: object
-    multi: list[tuple[int, object]]      # (stage-2 class, one-vs-rest model)
+    binary: Booster
+    multi: Booster | None       # None: stage 2 saw one class
+    classes: list[int]          # stage-2 classes by output
     features: list
     preset: TwoStagePreset
 
     def rounds(self) -> dict[str, int]:
-        """Trees of each boosting."""
-        return {"binary": len(self.binary.treeWeights), **{f"class_{c}": len(m.treeWeights) for c, m in self.multi}}
+        """Rounds of each boosting."""
+        return {"binary": len(self.binary.rounds_), "multi": len(self.multi.rounds_) if self.multi else 0}
 
     def score(self, x: DataFrame) -> DataFrame:
-        """Add ``binary_pred`` and ``multi_pred`` to assembled rows."""
-        names = ("rawPrediction", "probability", "prediction")
-        out = self.binary.transform(x).withColumn("binary_pred", F.col("prediction").cast("int")).drop(*names)
-        votes = []
-        for c, model in self.multi:
-            out = model.transform(out).withColumn(f"__p{c}", vector_to_array("probability")[1]).drop(*names)
-            votes.append(F.struct(F.col(f"__p{c}").alias("p"), F.lit(-c).alias("c")))   # ties: the smaller class
-        best = -F.array_max(F.array(*votes))["c"] if votes else F.lit(0)
-        return out.withColumn("multi_pred", best.cast("int")).drop(*[f"__p{c}" for c, _ in self.multi])
+        """Add ``binary_pred`` and ``multi_pred``."""
+        known = F.array(*[F.lit(int(c)) for c in self.classes or [0]])
+        place = self.multi.predict() if self.multi else F.lit(0)
+        return x.withColumns({"binary_pred": self.binary.predict(), "multi_pred": F.get(known, place)})
 
     def transform(self, df: DataFrame, out: str = "target") -> DataFrame:
         """Score both stages and combine: 0 where stage 1 says 0, else the
         stage-2 class (+1 when stage 2 was trained on shifted labels)."""
-        x = df if "features" in df.columns else assemble(df, self.features)
         shift = 1 if self.preset.shift_stage2 else 0
-        return self.score(x).withColumn(out, two_stage_decision("binary_pred", "multi_pred", shift)).drop("features")
+        return self.score(df).withColumn(out, two_stage_decision("binary_pred", "multi_pred", shift))
 
 
 def fit_two_stage(train: DataFrame, held_out: DataFrame, features: Sequence[str], label: str = "attrition",
-                  binary: str = "binary_target", preset: TwoStagePreset = DEEP) -> TwoStageModel:
-    """Stage 1: binary GBT on every training row. Stage 2: one GBT per class
-    that occurs, on the positive training rows (on all rows without the
-    shift). ``held_out`` rows decide when each boosting stops and reach no fit.
-    Inputs may come with an assembled ``features`` column."""
+                  binary: str = "binary_target", preset: TwoStagePreset = DEEP, times: str | None = None) -> TwoStageModel:
+    """Stage 1: binary boosting on every training row. Stage 2: joint multiclass
+    boosting of the classes that occur, on the positive training rows (on all
+    rows without the shift). ``held_out`` rows decide when each boosting stops and
+    reach no fit; those of a class that no training row has are not asked. ``times`` names
+    the multiplicity of a training row."""
     feats = list(features)
-    x, held = [df if "features" in df.columns else assemble(df, feats) for df in (train, held_out)]
-    binary_model = fit_boosted(x, held, binary, preset, preset.max_iter_binary, preset.patience_binary)
+    cuts = thresholds(train, feats)
     if preset.shift_stage2:
-        x, held = [df.where(F.col(binary) != 0).withColumn("__stage2", F.col(label) - 1) for df in (x, held)]
+        rows, held = [df.where(F.col(binary) != 0).withColumn("__stage2", F.col(label) - 1) for df in (train, held_out)]
     else:
-        x, held = [df.withColumn("__stage2", F.col(label)) for df in (x, held)]
-    classes = sorted(c for c, _ in class_counts(x, "__stage2"))
-    multi = []
-    for c in classes if len(classes) > 1 else []:
-        own, own_held = [df.withColumn("__is", (F.col("__stage2") == c).cast("int")) for df in (x, held)]
-        multi.append((int(c), fit_boosted(own, own_held, "__is", preset, preset.max_iter_multi, preset.patience_multi)))
-    if len(classes) == 1:
-        multi = [(int(classes[0]), binary_model)]
-    return TwoStageModel(binary_model, multi, feats, preset)
+        rows, held = [df.withColumn("__stage2", F.col(label)) for df in (train, held_out)]
+    classes = [int(c) for c in sorted(c for c, _ in class_counts(rows, "__stage2"))]
+    place = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("__stage2").cast("int")) - 1).cast("int")
+    one = preset.settings(2, preset.max_iter_binary, preset.patience_binary)
+    several = preset.settings(len(classes), preset.max_iter_multi, preset.patience_multi)
+    with ThreadPoolExecutor(2) as pool:     # the stages do not depend on each other
+        first = pool.submit(fit_booster, train, held_out, feats, binary, one, times, cuts)
+        second = None
+        if len(classes) > 1:
+            rows, held = [df.withColumn("__place", place) for df in (rows, held)]
+            second = pool.submit(fit_booster, rows, held.where("__place >= 0"), feats, "__place", several, times, cuts)
+        return TwoStageModel(first.result(), second.result() if second else None, classes, feats, preset)
 
 
 def evaluate_two_stage(model: TwoStageModel, held_out: DataFrame, label: str = "attrition",
                        binary: str = "binary_target") -> DataFrame:
     """Macro F1 of each stage on held-out rows: stage 1 on all, stage 2 on the
     positive ones, and of the combined decision."""
-    x = held_out if "features" in held_out.columns else assemble(held_out, model.features)
     shift = 1 if model.preset.shift_stage2 else 0
-    scored = model.score(x).withColumn("target", two_stage_decision("binary_pred", "multi_pred", shift))
+    scored = model.score(held_out).withColumn("target", two_stage_decision("binary_pred", "multi_pred", shift))
     positive = scored.where(F.col(binary) != 0).withColumn("stage2", F.col(label) - shift)
     parts = [("binary", macro_f1(scored, binary, "binary_pred")), ("multi", macro_f1(positive, "stage2", "multi_pred")),
              ("decision", macro_f1(scored, label, "target"))]

@@ -183,6 +183,16 @@ def sample_with_replacement(df: DataFrame, label: str, keys: Sequence[str], n: i
     return _draw(hashed, label, keys, [(lab, c, n) for lab, c in class_counts(hashed, label)], seed)
 
 
+def _quotas(counts: list[tuple], n: int, weights: Sequence[float] | None, allow_absent: bool) -> list[tuple]:
+    """(label, class size, draws) of every class but the most frequent."""
+    others = counts[1:]
+    if weights is None:
+        return [(lab, c, n) for lab, c in others]
+    if len(weights) != len(others) and not (allow_absent and len(weights) > len(others)):
+        raise ValueError(f"{len(weights)} weights for {len(others)} minority classes")
+    return [(lab, c, int(round(n * w))) for (lab, c), w in zip(others, weights)]
+
+
 def rebalance(df: DataFrame, label: str, keys: Sequence[str], n: int,
               weights: Sequence[float] | None = None, seed=2020, allow_absent: bool = False) -> DataFrame:
     """Most frequent class kept whole (``draw`` null); every other class drawn
@@ -195,12 +205,32 @@ def rebalance(df: DataFrame, label: str, keys: Sequence[str], n: int,
     counts = class_counts(hashed, label)
     if not counts:
         return hashed.drop(HASH).withColumn("draw", F.lit(None).cast("bigint"))
-    others = counts[1:]
-    if weights is not None:
-        if len(weights) != len(others) and not (allow_absent and len(weights) > len(others)):
-            raise ValueError(f"{len(weights)} weights for {len(others)} minority classes")
-        quotas = [(lab, c, int(round(n * w))) for (lab, c), w in zip(others, weights)]
-    else:
-        quotas = [(lab, c, n) for lab, c in others]
+    quotas = _quotas(counts, n, weights, allow_absent)
     kept = hashed.where(F.col(label) == F.lit(counts[0][0])).drop(HASH).withColumn("draw", F.lit(None).cast("bigint"))
     return kept.unionByName(_draw(hashed, label, keys, quotas, seed))
+
+
+def rebalance_counted(df: DataFrame, label: str, keys: Sequence[str], n: int, weights: Sequence[float] | None = None,
+                      seed=2020, allow_absent: bool = False, times: str = "times") -> DataFrame:
+    """The rows of ``rebalance``, each distinct row once with the number of its
+    copies in ``times``; rows that were never drawn are left out. ``keys``
+    identify rows. Only keys, label and hash are ranked, and draws of the same row are
+    added up before they meet it, so the wide rows join once at the end."""
+    hashed = hashed_rows(df.select(*keys, label), label, keys, seed)
+    counts = class_counts(hashed, label)
+    if not counts:
+        return df.limit(0).withColumn(times, F.lit(None).cast("bigint"))
+    quotas = [q for q in _quotas(counts, n, weights, allow_absent) if q[2] > 0]
+    chosen = hashed.where(F.col(label) == F.lit(counts[0][0])).select(*keys, F.lit(1).cast("bigint").alias(times))
+    if quotas:
+        rows = hashed.where(F.col(label).isin([q[0] for q in quotas]))
+        ranked = rank_hashed(rows, label, keys, max(c for _, c, _ in quotas))
+        drawn = (draws_table(hashed.sparkSession, quotas, label, dict(hashed.dtypes)[label], seed)
+                 .groupBy(label, "rank").agg(F.count(F.lit(1)).alias(times)))
+        chosen = chosen.unionByName(ranked.join(drawn, [label, "rank"]).select(*keys, times))
+    picked = chosen.toDF(*[f"__{k}" for k in keys], times)
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return df.where(F.col(label).isNotNull()).join(picked, cond).select(*df.columns, times)

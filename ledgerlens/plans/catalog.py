@@ -713,14 +713,16 @@ def q_random_split(spark, sf_dir):
                     (F.abs(share - 0.8) <= 5 * F.sqrt(F.lit(0.16) / n)).alias("share_ok"))
 
 
-def assembled(spark, sf_dir) -> tuple[FT.ModelMatrix, DataFrame, DataFrame, DataFrame]:
-    """Model matrix and its training, held-out and scoring rows with a feature
-    vector, written once for all fits."""
-    mm, train, held_out = model_rows(spark, sf_dir)
-    parts = [stage(ML.assemble(df, mm.features).select(*keep, "features"), "model-rows")
-             for df, keep in ((train, ["attrition", "binary_target"]), (held_out, ["attrition", "binary_target"]),
-                              (mm.validation.fillna(0.0, mm.features), ["ID", "period"]))]
-    return mm, *parts
+#: A row drawn many times enters the forest as so many weighted copies, so that its bootstrap thins them.
+FOREST_COPIES = 16
+
+
+def counted_rows(spark, sf_dir) -> tuple[FT.ModelMatrix, DataFrame, DataFrame, DataFrame]:
+    """Model matrix, its training rows with the number of their draws (written
+    once for all fits), its held-out rows and its scoring rows."""
+    mm = FT.feature_matrix(materialized_wide(spark, sf_dir), seed=SEED)
+    train, held_out = FT.counted_training_rows(mm, MATRIX_DRAWS, WEIGHTS, seed=SEED)
+    return mm, stage(train, "model-rows"), held_out, mm.validation.fillna(0.0, mm.features)
 
 
 #: Macro F1 that a model must reach on the scoring rows. The label follows from a
@@ -746,25 +748,27 @@ def _model_sql(*names: str) -> str:
 
 @query("rf_predict", _model_sql("rf"))
 def q_rf_predict(spark, sf_dir):
-    mm, train, held_out, scoring = assembled(spark, sf_dir)
+    mm, train, _, scoring = counted_rows(spark, sf_dir)
+    copies = F.least(F.col("times"), F.lit(FOREST_COPIES))
+    train = train.withColumn("weight", F.col("times") / copies).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     model, feats = ML.fit_random_forest(train, mm.features, "attrition", seed=SEED, numTrees=50, maxDepth=10,
-                                        featureSubsetStrategy="onethird")
+                                        featureSubsetStrategy="onethird", weightCol="weight")
     return _submitted(spark, sf_dir, "rf", ML.predict_random_forest(model, feats, scoring))
 
 
 def _two_stage(spark, sf_dir, rows, name: str, preset) -> DataFrame:
     mm, train, held_out, scoring = rows
-    model = ML.fit_two_stage(train, held_out, mm.features, preset=preset)
+    model = ML.fit_two_stage(train, held_out, mm.features, preset=preset, times="times")
     return _submitted(spark, sf_dir, name, model.transform(scoring))
 
 
 @query("two_stage_predict", _model_sql("deep"))
 def q_two_stage_predict(spark, sf_dir):
-    return _two_stage(spark, sf_dir, assembled(spark, sf_dir), "deep", ML.DEEP)
+    return _two_stage(spark, sf_dir, counted_rows(spark, sf_dir), "deep", ML.DEEP)
 
 
 @query("two_stage_presets", _model_sql("light", "column_subsampled"))
 def q_two_stage_presets(spark, sf_dir):
-    rows = assembled(spark, sf_dir)
+    rows = counted_rows(spark, sf_dir)
     light = _two_stage(spark, sf_dir, rows, "light", ML.LIGHT)
     return light.unionByName(_two_stage(spark, sf_dir, rows, "column_subsampled", ML.COLUMN_SUBSAMPLED))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators.nulls import clean_doubles, fill_with_means, fill_zero
 from ..operators.profile import presence, spec_columns
-from ..operators.resample import hash_split, rebalance
+from ..operators.resample import hash_split, rebalance, rebalance_counted
 from ..session import plain_constraints
 from ..sources.materialize import stage
 
@@ -266,3 +266,12 @@ def training_rows(matrix: ModelMatrix, n: int, weights: Sequence[float] | None =
     train = matrix.train.where(F.col(split_col) == "train").drop(split_col)
     held_out = matrix.train.where(F.col(split_col) == "test").drop(split_col)
     return rebalance(train, label, ("ID", "period"), n, weights, seed=seed, allow_absent=True), held_out
+
+
+def counted_training_rows(matrix: ModelMatrix, n: int, weights: Sequence[float] | None = None, label: str = "attrition",
+                          split_col: str = "split", seed: int = 2020) -> tuple[DataFrame, DataFrame]:
+    """As ``training_rows``, but each distinct training row once, with the
+    number of its copies in ``times``."""
+    train = matrix.train.where(F.col(split_col) == "train").drop(split_col)
+    held_out = matrix.train.where(F.col(split_col) == "test").drop(split_col)
+    return rebalance_counted(train, label, ("ID", "period"), n, weights, seed=seed, allow_absent=True), held_out

@@ -63,4 +63,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     recomputation."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def drop_staged(staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote, once nothing reads it any more. Frames derived
+    from a staged one do not carry its place, so only its owner can."""
+    fs, where = _fs(staged.sparkSession, staged.staged_path)
+    fs.delete(where, True)

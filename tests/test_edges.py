@@ -99,13 +99,6 @@ def test_setting_is_restored(spark):
     assert spark.conf.get(key) == before
 
 
-def test_best_round_waits_for_patience():
-    assert ML.best_round([5, 4, 4, 4, 4, 3], 3) == (2, True)
-    assert ML.best_round([5, 4, 4, 4, 3, 3, 3, 3], 3) == (5, True)
-    assert ML.best_round([5, 4, 4, 3, 3], 3) == (4, False)
-    assert ML.best_round([0], 5) == (1, False)
-
-
 def small_matrix(spark, n=240):
     rows = [(f"c{i}", "p", float(i % 4), float((i * 7) % 5), i % 4, int(i % 4 > 0)) for i in range(n)]
     return spark.createDataFrame(rows, "ID string, period string, a double, b double, attrition bigint, binary_target int")
@@ -117,7 +110,7 @@ def test_two_stage_learns_and_never_sees_held_out_rows(spark):
     train, held = FT.training_rows(mm, 60)
     assert train.join(held, "ID", "left_semi").count() == 0
     assert train.where("attrition = 1").count() in (60, mm.train.where("split = 'train' and attrition = 1").count())
-    preset = ML.TwoStagePreset(max_depth=3, max_iter_binary=20, max_iter_multi=20, patience_binary=2, patience_multi=2)
+    preset = ML.TwoStagePreset(max_depth=3, max_iter_binary=20, max_iter_multi=20, patience_binary=2, patience_multi=2, min_hessian=0.1)
     model = ML.fit_two_stage(train, held, ["a", "b"], preset=preset)
     got = model.transform(x).select("ID", "attrition", "target")
     assert got.where("attrition <> target").count() == 0
