@@ -7,8 +7,9 @@ capacity, the last may be shorter. Every piece lands whole in one sequence;
 only the table of lengths (at most ``capacity`` rows) reaches the driver.
 
 The tokenizer drops white space and never joins across it, so ids are looked
-up per run of characters between ASCII white space, and only runs not seen
-before go through ``tokenizers``; the memory for known runs is bounded.
+up per run of characters between ASCII white space: a run is one word or a word
+and the marks behind it, and only words not seen before go through
+``tokenizers``; the memory for known runs and words is bounded.
 
 Defined results: null and empty texts are the end id alone; repeated rows are
 packed as separate documents; an empty table gives no rows; the id may be
@@ -21,7 +22,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,18 +34,25 @@ from .common import rank_within, stored, text_chunks, with_row_id
 
 CAPACITY = 4096
 END_ID = 1
-MAX_KNOWN = 250_000          # runs, and words in them, that a Python worker remembers
+MAX_KNOWN = 300_000          # runs that a Python worker remembers
+MAX_WORDS = 400_000          # words in them
 CHUNK_CHARS = 2_000_000
-TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"   # ASCII marks, without the apostrophe of contractions
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"   # ASCII marks, without the apostrophe of contractions
 WORD_END = "</w>"            # of the vocabulary's tokens that end a word
 WORDS_AT_ONCE = 500
 PIECE_SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
+def _letters(run: bytes) -> bool:
+    """Latin letters only, whose lower case does not depend on their place."""
+    text = run.decode()
+    return max(text) < "\u0250" and "\u0130" not in text and text.isalpha()
+
+
 class RunTokenizer:
-    """Ids of whole texts, assembled from the ids of their runs. The first runs
-    met, which include the frequent ones, are remembered; later ones are
-    tokenised for each chunk of texts that has them."""
+    """Ids of whole texts, gathered from the ids of their words. The first runs
+    and words met, which include the frequent ones, are remembered; later runs are
+    taken apart, and later words tokenised, for each chunk of texts that has them."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -53,25 +61,16 @@ class RunTokenizer:
         vocabulary = self.tok.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        # the empty run stands for the end of a document
+        # a run's number holds its first word and, 32 bits up, the second (0: none);
+        # the empty run, word 0, stands for the end of a document
         self.known: dict[bytes, int] = {b"": 0}
+        self.words: dict[bytes, int] = {b"": 0}
         self.ids, self.sizes = array("I", [end_id]), array("q", [1])
-        self.words: dict[str, array] = {}
-
-    @staticmethod
-    def _words(run: str) -> tuple[str, ...]:
-        """Parts whose ids make up the run's. The tokenizer lower-cases and
-        separates letters from marks, so the runs ``Word`` and ``word,`` share a
-        part. Only simple cases are taken apart; any other run is one part."""
-        if run.isascii() or (max(run) < "\u0250" and "\u0130" not in run):
-            run = run.lower()
-            core = run.rstrip(TAIL)
-            if core != run and core.isalpha():
-                return core, run[len(core):]
-        return (run,)
-
-    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, array]]:
-        """Ids of words. Words of letters only are encoded many at a time, in one
+        # tokens that are looked for before anything is lower-cased
+        self.marks = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
+
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[list[str], list[int], list[int]]]:
+        """(words, their ids behind each other, number of ids of each). Words of letters only are encoded many at a time, in one
         text, and told apart by the tokens that end a word; where these do not
         come out one to a word, each is encoded by itself."""
         alone = [w for w in words if not w.isalpha()]
@@ -81,53 +80,84 @@ class RunTokenizer:
             ids = np.array(enc.ids, np.uint32)
             cuts = np.flatnonzero(self.ends_word[np.minimum(ids, len(self.ends_word) - 1)]) + 1
             if len(cuts) == len(group) and cuts[-1] == len(ids):
-                for w, a, b in zip(group, [0, *cuts.tolist()], cuts.tolist()):
-                    yield w, array("I", ids[a:b].tobytes())
+                yield group, enc.ids, np.diff(cuts, prepend=0).tolist()
             else:
                 alone += group
         for w, enc in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
-            yield w, array("I", enc.ids)
-
-    def _learn(self, runs: list[bytes]) -> None:
-        parts = [self._words(r.decode()) for r in runs]
-        new = list({w for p in parts for w in p}.difference(self.words))
-        forget = len(self.words) >= MAX_KNOWN
-        self.words.update(self._encode_words(new))
-        for run, part in zip(runs, parts):
-            before = len(self.ids)
-            for w in part:
-                self.ids.extend(self.words[w])
-            self.known[run] = len(self.sizes)
-            self.sizes.append(len(self.ids) - before)
-        if forget:
-            for w in new:
-                del self.words[w]
+            yield [w], enc.ids, [len(enc.ids)]
+
+    def _marked(self, text: bytes) -> bool:
+        return any(m in text for m in self.marks)
+
+    def _take_apart(self, runs: list[bytes]) -> dict[bytes, int]:
+        """Numbers of runs. The tokenizer lower-cases and separates letters from
+        marks, so a run of letters and the marks behind it is two words; only simple
+        cases are taken apart, any other run is one word. Unknown words are
+        tokenised and get the next places."""
+        number, found, new = self.words, {}, {}
+        later: list[tuple[bytes, bytes, bytes]] = []
+        for run in runs:
+            low = run.lower()
+            if self._marked(low):
+                core, rest = run, b""
+            else:
+                core = low.rstrip(TAIL)
+                if core.isalpha() or (core and not core.isascii() and _letters(core)):
+                    rest = low[len(core):]
+                else:
+                    core, rest = low, b""
+            a, b = number.get(core), number.get(rest)
+            if a is None or b is None:
+                new[core] = new[rest] = None
+                later.append((run, core, rest))
+            else:
+                found[run] = a | b << 32
+        words = {w.decode(): w for w in new if w not in number}
+        for own, ids, sizes in self._encode_words(list(words)):
+            number.update(zip(map(words.__getitem__, own), range(len(self.sizes), len(self.sizes) + len(own))))
+            self.ids.extend(ids)
+            self.sizes.extend(sizes)
+        for run, core, rest in later:
+            found[run] = number[core] | number[rest] << 32
+        return found
+
+    def _runs(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        low = raw.lower()
+        return (raw if self._marked(low) else low).split()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text behind the other, and the first position of each
         text (with the end position last)."""
-        split = [t.encode().split() for t in texts]
+        split = [self._runs(t) for t in texts]
         for runs in split:
             runs.append(b"")
         n_runs = np.fromiter(map(len, split), np.int64, len(split))
         flat = list(chain.from_iterable(split))
         index = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(index < 0)
-        forget = len(self.known) >= MAX_KNOWN
-        n_ids, n_sizes = len(self.ids), len(self.sizes)
-        new = list({flat[i] for i in missing.tolist()})
-        if new:
-            self._learn(new)
-            index[missing] = [self.known[flat[i]] for i in missing.tolist()]
+        n_words, n_ids = len(self.sizes), len(self.ids)
+        if len(missing):
+            rare = [flat[i] for i in missing.tolist()]
+            found = self._take_apart(list(set(rare)))
+            index[missing] = np.fromiter(map(found.__getitem__, rare), np.int64, len(rare))
         ids, sizes = np.array(self.ids, dtype=np.uint32), np.array(self.sizes, dtype=np.int64)
-        if forget:
-            for run in new:
-                del self.known[run]
-            del self.ids[n_ids:], self.sizes[n_sizes:]
-        n, ends = sizes[index], np.cumsum(sizes[index])
-        begin = (np.cumsum(sizes) - sizes)[index]
-        out = ids[np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(begin - (ends - n), n)]
-        return out, np.concatenate(([0], ends[np.cumsum(n_runs) - 1]))
+        if len(missing) and n_words >= MAX_WORDS:
+            for w in list(islice(reversed(self.words), len(self.words) - n_words)):
+                del self.words[w]
+            del self.ids[n_ids:], self.sizes[n_words:]
+        elif len(missing) and len(self.known) < MAX_KNOWN:
+            self.known.update(found)
+        second = index >> 32
+        width = 1 + (second > 0)
+        last = np.cumsum(width) - 1                     # of the words of a run
+        order = np.empty(int(last[-1]) + 1, np.int64)
+        order[last - width + 1] = index & 0xFFFFFFFF
+        order[last[second > 0]] = second[second > 0]
+        n = sizes[order]
+        ends = np.cumsum(n)
+        out = ids[np.arange(int(ends[-1]), dtype=np.int64) + np.repeat((np.cumsum(sizes) - sizes)[order] - (ends - n), n)]
+        return out, np.concatenate(([0], ends[last[np.cumsum(n_runs) - 1]]))
 
 
 _TOKENIZERS: dict[tuple[str, int], RunTokenizer] = {}   # one per Python worker, kept from task to task
@@ -153,7 +183,7 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int, with_ids: bool):
                     a, b = int(at[i]), int(at[i + 1])
                     for k, s in enumerate(range(a, b, capacity)):
                         piece = ids[s:min(s + capacity, b)]
-                        rows.append((lo + i, k, s - a, len(piece), zlib.crc32(piece.tobytes()),
+                        rows.append((lo + i, k, s - a, len(piece), zlib.crc32(piece.view(np.uint8)),
                                      *([piece.astype(np.int32)] if with_ids else [])))
                 cols = list(zip(*rows))
                 out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[list(cols[0])].to_numpy(), "piece": cols[1],

@@ -11,7 +11,7 @@ from ledgerlens.llm import bestfit, packing
 from ledgerlens.llm.queries import tokenizer_path
 
 ODD = ["", None, " ", "a\x1cb c\xa0d", "İstanbul ΣΑΣ Straße, don't it's. <|endoftext|>x 123abc! été ́a ≠ 你好,世界",
-       "x'S y'Ll 'RE O'Neil's, 'tis foo'd?", "ﬁn Ǆ ǅx ÅB K é,.É;", "word, Word. word;", "z" * 30000, "a b c " * 9000]
+       "<|ENDOFTEXT|> A<|EndOfText|>, Ab. <|endoftext|>", "ÉTÉ, été. Été ÉTÉ", "x'S y'Ll 'RE O'Neil's, 'tis foo'd?", "ﬁn Ǆ ǅx ÅB K é,.É;", "word, Word. word;", "z" * 30000, "a b c " * 9000]
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +23,7 @@ def path():
 def test_runs_give_the_tokenizers_ids(path, monkeypatch, remember):
     from tokenizers import Tokenizer
     monkeypatch.setattr(packing, "MAX_KNOWN", remember)
+    monkeypatch.setattr(packing, "MAX_WORDS", remember)
     tok, whole = packing.RunTokenizer(path, 1), Tokenizer.from_file(path)
     texts = [t or "" for t in ODD]
     for _ in range(2):
