@@ -33,7 +33,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rated_documents(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """(key, text, grade) of rated documents outside the held-out fold. The
     ratings make three grades: 0 poor, 1 well-formed but toxic, 2 good."""
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    docs = (table(spark, sf_dir, "documents") if docs is None else docs).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("rated_id"), "quality", "toxic")
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     return (docs.where(fold(F.col("doc_id"), 5) != 0).join(labels.where("quality is not null"),
@@ -55,7 +55,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxic_labelled(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """(key, text, label) of labelled documents outside the held-out fold."""
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    docs = (table(spark, sf_dir, "documents") if docs is None else docs).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("rated_id"), "toxic")
     # labels grow with the documents: the same join at every size
     return (docs.where(fold(F.col("doc_id"), 3) != 1).join(labels.hint("merge"), F.col("doc_id") == F.col("rated_id"))

@@ -14,9 +14,10 @@ The network reads windows of ``WINDOW`` words. A text is scored on all its
 windows, which overlap by ``OVERLAP`` words; the strongest window, the soft
 maximum and the number of windows give the text's probability by a logistic
 calibration. Network and calibration are fitted on bounded hash samples
-of the labelled rows (``MAX_TRAIN``, ``MAX_CALIBRATE``; ``TRAIN_WINDOWS`` evenly
-spread windows per training row); counts and scores cover all rows and
-whole texts.
+of the labelled rows (``MAX_TRAIN``, ``MAX_CALIBRATE``) and on all their windows; of a
+text with more than ``TRAIN_WINDOWS`` (some 25,000 words) those of the strongest
+evidence in the whole text train, which bounds the memory of the one training task.
+Counts and scores cover all rows and whole texts.
 
 Defined results: null and wordless texts are one empty window, scored like any
 other; rows without a label are not learned from; with only one class to
@@ -49,7 +50,7 @@ CHAR_ORDERS = (3, 5, 7)
 PRIOR = 2.0                  # pseudo-counts that hold evidence back
 MAX_TRAIN = (1200, 1800)     # toxic and other rows the network is fitted on
 MAX_CALIBRATE = (1000, 3000)
-TRAIN_WINDOWS = 8
+TRAIN_WINDOWS = 512          # of one text; see module doc
 STEPS, BATCH, RATE = 560, 64, 0.02
 SEGMENT_CHARS, CARRY_CHARS = 1_000_000, 1_000
 MAX_KNOWN = 150_000          # distinct words a task remembers
@@ -58,16 +59,17 @@ INPUTS = 3 + len(CHAR_ORDERS)
 FIND = re.compile(r"\w+").findall
 
 
-def segments(text: str) -> Iterator[str]:
-    """A long text in parts of about a million characters, cut at white space;
-    each repeats the end of the one before, so no window is lost."""
+def segments(text: str, carry: bool = True) -> Iterator[str]:
+    """A long text in parts of about a million characters, cut at blanks. With
+    ``carry`` each repeats the end of the one before, so no window is lost; without it
+    each word is in one part."""
     at = 0
     while len(text) - at > SEGMENT_CHARS:
         cut = text.find(" ", at + SEGMENT_CHARS)
         if cut < 0:
             break
         yield text[at:cut]
-        back = text.find(" ", cut - CARRY_CHARS, cut)
+        back = text.find(" ", cut - CARRY_CHARS, cut) if carry else -1
         at = cut if back < 0 else back
     yield text[at:]
 
@@ -405,7 +407,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
 
         for b in batches:
             for half, label, text in zip(b["half"].tolist(), b["label"].tolist(), b["text"]):
-                for s in segments(text) if isinstance(text, str) else ():
+                for s in segments(text, carry=False) if isinstance(text, str) else ():
                     counter = seen.setdefault((half, label), Counter())
                     counter.update(FIND(s.lower()))
                     if len(counter) > MAX_KNOWN:
@@ -477,13 +479,9 @@ def fit(labelled: DataFrame, seed: int = 7) -> Model:
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for text, label, half in zip(b["text"], b["label"], b["half"]):
-                words = [w for s in segments(text) for w in FIND(s.lower())]
-                starts = window_starts(len(words))
-                if len(starts) > TRAIN_WINDOWS:
-                    starts = starts[np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(int)]
-                taken = [words[s:s + WINDOW] for s in starts]
-                x = inputs(list(chain.from_iterable(taken)), crossed.value[half])
-                yield pd.DataFrame({"label": [label], "lengths": [[len(t) for t in taken]], "x": [x.reshape(-1)]})
+                x = inputs([w for s in segments(text, carry=False) for w in FIND(s.lower())], crossed.value[half])
+                taken = [x[s:s + WINDOW] for s in training_windows(x)]
+                yield pd.DataFrame({"label": [label], "lengths": [[len(t) for t in taken]], "x": [np.concatenate(taken).reshape(-1)]})
 
     sample = _sample(rows.where("part < 6"), MAX_TRAIN, {k: sizes.get((False, k), 0) for k in (0, 1)})
     described = sample.select("text", "label", "half").mapInPandas(
@@ -497,6 +495,17 @@ def fit(labelled: DataFrame, seed: int = 7) -> Model:
     return Model(whole, net, _calibrate(rows, sizes, crossed, model))
 
 
+def training_windows(x: np.ndarray) -> np.ndarray:
+    """Starts of the windows that train, of a text with word inputs ``x``: all up
+    to ``TRAIN_WINDOWS``, else those whose words have the most evidence for the label."""
+    starts = window_starts(len(x))
+    if len(starts) <= TRAIN_WINDOWS:
+        return starts
+    sums = np.concatenate(([0.0], np.cumsum(np.maximum(x[:, 0], x[:, 2:].max(axis=1)).clip(0), dtype=float)))
+    evidence = sums[starts + WINDOW] - sums[starts]
+    return np.sort(starts[np.argsort(-evidence, kind="stable")[:TRAIN_WINDOWS]])
+
+
 def _train_task(seed: int):
     """Training on the bounded sample, in a task: only the parameters reach the driver."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

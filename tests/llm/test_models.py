@@ -195,3 +195,35 @@ def test_toxicity_held_out_and_edges(spark):
 def test_empty_tables_pass(spark, n):
     df = spark.createDataFrame([(i, "a b c", "aa") for i in range(n)], "doc_id long, text string, lang string")
     assert df.select(langid.predict(df, langid.learn(df))).count() == n
+
+
+def test_words_of_overlapping_parts_count_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SEGMENT_CHARS", 500)
+    text = " ".join(f"w{i % 37}" for i in range(2_000))
+    assert " ".join(p.strip() for p in toxicity.segments(text, carry=False)) == text
+    monkeypatch.undo()
+    long = " ".join(["word"] * 400_000)                      # longer than a segment
+    evidence = toxicity.count_evidence(spark.createDataFrame([(0, long, 1), (1, "word", 0)], "half int, text string, label int"))
+    assert evidence.totals[0].sum() == 400_001
+
+
+def test_every_window_trains_up_to_the_bound(monkeypatch):
+    x = np.zeros((5_000, toxicity.INPUTS), np.float32)
+    assert toxicity.training_windows(x).tolist() == toxicity.window_starts(5_000).tolist()
+    monkeypatch.setattr(toxicity, "TRAIN_WINDOWS", 3)
+    x[3_333, 0] = 5
+    x[4_990, 3] = 9
+    got = toxicity.training_windows(x)
+    assert len(got) == 3 and any(s <= 3_333 < s + toxicity.WINDOW for s in got) and got[-1] == 5_000 - toxicity.WINDOW
+
+
+def test_labelled_rows_of_documents_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.llm import queries
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    clash = docs.withColumns({c: F.lit("clash") for c in ("toxic", "quality", "rated_id", "key", "grade", "label")})
+    for rows in (queries.rated_documents, queries.toxic_labelled):
+        want = sorted(map(tuple, rows(spark, small).collect()))
+        assert want and sorted(map(tuple, rows(spark, small, clash).collect())) == want

@@ -8,7 +8,7 @@ import corpus_pipeline as cp
 from ledgerlens.llm import common
 from ledgerlens.session import shared_path
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, toxic string, rated_id string"
 
 
 def corpus():
@@ -44,7 +44,7 @@ def corpus():
 def small(spark):
     docs, kind, item = corpus()
     d = shared_path(spark, "pipeline-small")
-    rows = [(i, t, "en", "s", len(t), "clash") for i, t in docs.items()]
+    rows = [(i, t, "en", "s", len(t), "clash", "clash", "clash") for i, t in docs.items()]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     labels = [(i, int(k != "poor"), int(k == "toxic")) for i, k in kind.items() if i % 3 or k == "toxic"]
@@ -82,8 +82,8 @@ def test_run_and_empty(spark, small):
 
 def test_null_ids_and_texts(spark, small):
     d, docs, _ = small
-    odd = spark.createDataFrame([(None, None, None, None, None, None), (None, "some words here", None, None, None, None),
-                                 (7000, None, None, None, None, None), (7001, "", None, None, None, None)], SCHEMA)
+    odd = spark.createDataFrame([(None,) * 8, (None, "some words here", *[None] * 6),
+                                 (7000, *[None] * 7), (7001, "", *[None] * 6)], SCHEMA)
     df = spark.read.parquet(f"{d}/documents.parquet").unionByName(odd)
     for _, stage in cp.STAGES:
         assert stage(spark, df, d).count() >= 1
