@@ -680,6 +680,20 @@ def q_stack_sink(spark, sf_dir):
     return read_csv(spark, path, schema="pred_a int, pred_b int, real int")
 
 
+_TEXT_SELECT = ("SELECT doc_id, text, '  ' || text || ' ' AS padded, '\"' || source || '\"|,' || chr(10) AS quoted, "
+                "CASE WHEN lang = 'en' THEN '' ELSE lang END AS emptied, nullif(lang, 'en') AS missing FROM documents")
+
+
+@query("csv_text_roundtrip", _TEXT_SELECT)
+def q_csv_text_roundtrip(spark, sf_dir):
+    """Texts with line ends, quotes, separators, padding, empty ones and nulls,
+    written as delimited text and read back."""
+    rows = spark.sql(_TEXT_SELECT.replace("FROM documents", "FROM {docs}"), docs=_t(spark, sf_dir)("documents"))
+    path = shared_path(spark, "texts_csv")
+    write_csv(rows, path, sep="|")
+    return read_csv(spark, path, schema=rows.schema, sep="|")
+
+
 @query("text_star_join", WIDE_SQL)
 def q_text_star_join(spark, sf_dir):
     """The star join from staged text: the five tables are written as

@@ -32,3 +32,23 @@ def test_materialize_builds_once(spark):
     second = materialize_or_load(spark, build, "t", "k", path=path)
     assert len(calls) == 1
     assert sorted(r.n for r in first.collect()) == sorted(r.n for r in second.collect()) == list(range(5))
+
+
+def test_csv_keeps_text_whole(spark, tmp_path):
+    from ledgerlens.sources.csv import read_csv, write_csv
+    texts = ["a\nb", "x\r\ny", "c\rd", 'he said "hi"', "sep,in|pipe", "", "  lead ", None, "\\N", "\\\\N", "back\\slash", "\\",
+             '"', "tab\t", "'", '""', 'trail\\"', "#c", "null", "\u00a0n", "\\N\n", "\n"]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "i int, v string, w string")
+    for sep in (",", "|"):
+        path = str(tmp_path / f"t{ord(sep)}")
+        write_csv(df.repartition(3), path, sep=sep)
+        got = {r["i"]: (r["v"], r["w"]) for r in read_csv(spark, path, schema="i int, v string, w string", sep=sep).collect()}
+        assert got == {i: (t, t) for i, t in enumerate(texts)}
+        assert {r["v"] for r in read_csv(spark, path, sep=sep).collect()} == set(texts)
+
+
+def test_csv_of_other_writers(spark, tmp_path):
+    from ledgerlens.sources.csv import read_csv
+    (tmp_path / "o.csv").write_text('a,b,n\n1,,2.5\n"x ""y""","", 3\n')
+    got = [tuple(r) for r in read_csv(spark, str(tmp_path / "o.csv"), schema="a string, b string, n double").collect()]
+    assert got == [("1", None, 2.5), ('x "y"', "", 3.0)]
