@@ -13,7 +13,7 @@ threshold is the one with the least balanced error on the calibration fold.
 Defined results: null URLs and URLs without ``://`` have an empty host and
 path and no rule; the model judges their text as it is (null: empty, score
 0). With no accepted or no rejected URL to learn from, the score is 0 and the
-threshold 0, so the verdict is ``allow``. Repeated rows count and are judged
+threshold 0, so the verdict is ``allow``. Very long URLs are read whole, in pieces. Repeated rows count and are judged
 each; other columns are ignored.
 """
 
@@ -32,6 +32,7 @@ ORDER = 4
 BITS = 64          # of a key
 STRENGTH = 4.0     # weight of the shorter context, in observations
 CALIBRATION_FOLDS = 5
+BATCH_BYTES = 1 << 17   # characters that a task takes apart at a time
 BINS = 400         # of the score, from -2 to 2
 
 #: (host, path, verdict)
@@ -57,12 +58,31 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _keys(urls: list[bytes], bits: int, order: int):
-    """Keys of every character of every URL, for each context length:
-    (context, context with character), and the URL of each character."""
-    pad = b"\x00" * order
-    data = np.frombuffer(b"".join(pad + u + b"\x03" for u in urls), np.uint8).astype(np.uint64)
-    lengths = np.fromiter((len(u) + 1 for u in urls), np.int64, len(urls))
+def _batches(urls: list[bytes], order: int, limit: int = BATCH_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(URL numbers, pieces) of at most ``limit`` characters together. A piece begins
+    with the ``order`` characters before it; a long URL has several."""
+    owners, pieces, held = [], [], 0
+    for i, u in enumerate(urls):
+        padded = b"\x00" * order + u + b"\x03"
+        at = order
+        while at < len(padded):
+            piece = padded[at - order:at + limit - held]
+            owners.append(i)
+            pieces.append(piece)
+            at += len(piece) - order
+            held += len(piece) - order
+            if held >= limit:
+                yield owners, pieces
+                owners, pieces, held = [], [], 0
+    if pieces:
+        yield owners, pieces
+
+
+def _keys(pieces: list[bytes], bits: int, order: int):
+    """Keys of every character of every piece, for each context length:
+    (context, context with character), and the piece of each character."""
+    data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint64)
+    lengths = np.fromiter((len(u) - order for u in pieces), np.int64, len(pieces))
     begin = np.cumsum(lengths + order) - lengths
     at = np.arange(int(lengths.sum())) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
     shift = np.uint64(64 - bits)
@@ -76,7 +96,7 @@ def _keys(urls: list[bytes], bits: int, order: int):
         pair = (((context + data[at] * np.uint64(0x94D049BB133111EB)) ^ (seed << np.uint64(1)))
                 * np.uint64(0xBF58476D1CE4E5B9)) >> shift
         out.append((ctx, pair))
-    return out, np.repeat(np.arange(len(urls)), lengths), lengths
+    return out, np.repeat(np.arange(len(pieces)), lengths)
 
 
 def _bytes(urls) -> list[bytes]:
@@ -91,8 +111,8 @@ def count_tables(urls: DataFrame, order: int = ORDER, bits: int = BITS) -> list[
         for b in batches:
             for cls in (0, 1):
                 own = _bytes(b["url"][b["accepted"] == bool(cls)])
-                for lo in range(0, len(own), 2000):
-                    keys = _keys(own[lo:lo + 2000], bits, order)[0]
+                for _, pieces in _batches(own, order):
+                    keys = _keys(pieces, bits, order)[0]
                     for table in (0, 1):
                         key, n = np.unique(np.concatenate([k[table] for k in keys]), return_counts=True)
                         yield pd.DataFrame({"pair": np.int32(table), "key": key.view(np.int64), "cls": np.int32(cls), "n": n})
@@ -118,15 +138,16 @@ def _counts(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray) -> np.ndarr
     return (counts[:, at] * (keys[at] == once))[:, back]
 
 
-def log_ratio(urls: list[bytes], tables, order: int = ORDER, bits: int = BITS) -> np.ndarray:
+def log_ratio(urls: list[bytes], tables, order: int = ORDER, bits: int = BITS, limit: int = BATCH_BYTES) -> np.ndarray:
     """Length-normalised log P(accepted model) - log P(rejected model)."""
-    if not urls:
-        return np.zeros(0)
-    keys, owner, lengths = _keys(urls, bits, order)
-    p = np.full((2, len(owner)), 1 / 256, np.float64)
-    for ctx, pair in keys:
-        p = (_counts(tables[1], pair) + STRENGTH * p) / (_counts(tables[0], ctx) + STRENGTH)
-    return np.bincount(owner, np.log(p[1]) - np.log(p[0]), len(urls)) / lengths
+    total = np.zeros(len(urls))
+    for owners, pieces in _batches(urls, order, limit):
+        keys, piece = _keys(pieces, bits, order)
+        p = np.full((2, len(piece)), 1 / 256, np.float64)
+        for ctx, pair in keys:
+            p = (_counts(tables[1], pair) + STRENGTH * p) / (_counts(tables[0], ctx) + STRENGTH)
+        total += np.bincount(np.asarray(owners)[piece], np.log(p[1]) - np.log(p[0]), len(urls))
+    return total / [len(u) + 1 for u in urls]
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -148,9 +169,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         if not learned:
             return pd.Series(np.zeros(len(urls)))
         own = _bytes(urls)
-        parts = [log_ratio(own[lo:lo + 2000], model.value) for lo in range(0, len(own), 2000)]
-        s = np.concatenate(parts) if parts else np.zeros(0)
-        return pd.Series(np.where([len(u) > 0 for u in own], s, 0.0))
+        return pd.Series(np.where([len(u) > 0 for u in own], log_ratio(own, model.value), 0.0))
 
     threshold = calibrate(known.where(tuning).select("accepted", score("url").alias("s"))) if learned else 0.0
     judged = ruled.withColumn("score", score("url"))

@@ -72,5 +72,34 @@ def test_counts_of_many_urls_do_not_collide(spark):
             contexts.update((k, s[i - k:i]) for k in range(5))
             pairs.update((k, s[i - k:i], s[i]) for k in range(5))
     assert (len(tables[0][0]), len(tables[1][0])) == (len(contexts), len(pairs))
-    keys, _, _ = U._keys([b"~~~~"], U.BITS, U.ORDER)
+    keys, _ = U._keys([b"\0\0\0\0~~~~\3"], U.BITS, U.ORDER)
     assert not U._counts(tables[1], np.concatenate([p for _, p in keys[1:]])[:4]).any()
+
+
+def test_long_urls_are_read_in_pieces(spark):
+    long = "http://long.org/" + "".join(f"{i * 7919:x}/" for i in range(60000))
+    rows = [("http://a.com/" + long[20:900], True), (long, False), ("", True), (long[:5000], True)]
+    tables = U.count_tables(spark.createDataFrame(rows, "url string, accepted boolean"))
+    assert tables[0][1][:, 0].dtype == np.float32 and len(long) > 2 * U.BATCH_BYTES
+    urls = [u.encode() for u, _ in rows]
+    whole = U.log_ratio(urls, tables, limit=1 << 30)
+    for limit in (1, 777, U.BATCH_BYTES):
+        own = urls if limit > 1 else [u[:300] for u in urls]
+        assert np.allclose(U.log_ratio(own, tables, limit=limit), U.log_ratio(own, tables, limit=1 << 30), rtol=1e-9, atol=1e-12)
+    assert [sum(len(p) - 4 for p in pieces) <= 50 for _, pieces in U._batches(urls[:1], 4, 50)] == [True] * -(-(len(urls[0]) + 1) // 50)
+    assert np.isfinite(whole).all() and U.log_ratio([], tables).shape == (0,)
+
+
+def test_threshold_against_trying_every_edge(spark):
+    rng = np.random.default_rng(5)
+    rows = [(bool(a), float(rng.normal(0.2 if a else -0.3, 0.4))) for a in rng.integers(0, 2, 400)] + [(True, 9.0), (False, -9.0)]
+    got = U.calibrate(spark.createDataFrame(rows, "accepted boolean, s double"))
+    edges = [i * 4 / U.BINS - 2 for i in range(U.BINS + 1)]
+
+    def error(e):
+        place = [(a, min(max(math.floor((s + 2) * U.BINS / 4), 0), U.BINS - 1) * 4 / U.BINS - 2) for a, s in rows]
+        good, bad = [s for a, s in place if a], [s for a, s in place if not a]
+        return sum(s < e - 1e-9 for s in good) / len(good) + sum(s >= e - 1e-9 for s in bad) / len(bad)
+
+    assert np.isclose(error(got), min(map(error, edges)))
+    assert U.calibrate(spark.createDataFrame(rows, "accepted boolean, s double").where("accepted")) == 0.0
