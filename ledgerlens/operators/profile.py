@@ -4,14 +4,15 @@ Every statistic used here (avg, stddev_samp, min, max, population kurtosis,
 sum, count, max of an indicator) is algebraic: Spark runs a partial
 ``HashAggregate`` before the shuffle and a final one after it, so a key
 that owns a third of all rows still sends one partial row per map task, not
-its raw rows. Distinct counts of codes are sets of bounded size."""
+its raw rows. Distinct counts of codes are bit maps in one long."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..sources.materialize import stage
 from .nulls import drop_empty_columns
@@ -20,7 +21,6 @@ from .nulls import drop_empty_columns
 STAT_SQL = {
     "mean": "avg({})", "std": "stddev_samp({})", "min": "min({})", "max": "max({})",
     "kurtosis": "kurtosis({})", "sum": "sum({})", "count": "count({})",
-    "distinct": "size(collect_set({}))",   # a bounded number of codes per group
 }
 
 
@@ -76,10 +76,57 @@ def profile(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
     return drop_empty_columns(stage(out, "profile"), keep=keys) if drop_all_null else out
 
 
-def distinct_profile(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                     suffix: str) -> DataFrame:
-    """``count_{col}_{suffix}`` = number of distinct non-null values per group,
-    for columns of codes: a group's distinct codes are held as a set in the
-    one partial aggregate, where ``count(DISTINCT)`` of several columns would
-    multiply the input rows before the shuffle."""
-    return aggregate(df, keys, [F.size(F.collect_set(c)).cast("bigint").alias(f"count_{c}_{suffix}") for c in cols])
+#: Values of a column that fit the bit map of one long.
+BITMAP_LEVELS = 63
+
+
+def _as_text(df: DataFrame, c: str) -> Column:
+    """Text that is equal where values are; both zeros of a float are one value."""
+    zero = F.col(c) + F.lit(0.0) if df.schema[c].dataType.typeName() in ("float", "double") else F.col(c)
+    return zero.cast("string")
+
+
+def code_levels(df: DataFrame, cols: Sequence[str], most: int = BITMAP_LEVELS) -> dict[str, list]:
+    """The distinct non-null values, in order, of each column that has at most ``most``; a
+    column with more is left out. One pass; at most ``most`` + 1 values a column reach the driver."""
+    if not cols:
+        return {}
+    each = [F.struct(F.lit(c).alias("col"), _as_text(df, c).alias("value")) for c in cols]
+    found = df.select(F.inline(F.array(*each)))
+    place = F.row_number().over(Window.partitionBy("col").orderBy("value"))
+    rows = (found.where("value IS NOT NULL").distinct().withColumn("place", place)
+            .where(F.col("place") <= most + 1).groupBy("col").agg(F.array_sort(F.collect_list("value")).alias("v")).collect())
+    values = {r["col"]: r["v"] for r in rows}
+    return {c: values.get(c, []) for c in cols if len(values.get(c, [])) <= most}
+
+
+def distinct_profile(df: DataFrame, keys: Sequence[str], cols: Sequence[str], suffix: str,
+                     levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """``count_{col}_{suffix}`` = number of distinct non-null values per group.
+
+    The state of a column with few values (codes) is a long with a bit per
+    value, joined by ``bit_or`` in the one partial aggregate. Columns with more
+    values are counted in two levels: one row per (group, value) first, then
+    rows per group, so a group with any number of values is never one task's set.
+    ``levels`` gives values as text (all of them) of columns where they are known; the others are looked up."""
+    known = dict(levels or {})
+    known.update(code_levels(df, [c for c in cols if c not in known]))
+    names = {c: f"count_{c}_{suffix}" for c in cols}
+
+    def bits(c: str) -> Column:
+        if not known[c]:
+            return F.lit(0).cast("bigint").alias(names[c])
+        place = F.array_position(F.array(*[F.lit(str(v)) for v in known[c]]), _as_text(df, c))
+        bit = F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), (place - 1).cast("int")))
+        return F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)).cast("bigint").alias(names[c])
+
+    out = aggregate(df, keys, [bits(c) for c in cols if c in known] or [F.lit(0).alias("__none")])
+    for c in cols:
+        if c in known:
+            continue
+        once = df.select(*keys, c).distinct()
+        counted = aggregate(once, keys, [F.count(c).alias(names[c])])
+        other = counted.select(*[F.col(k).alias(f"__{k}") for k in keys], names[c])
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        out = out.join(other, same, "left").drop(*[f"__{k}" for k in keys])
+    return out.select(*keys, *[names[c] for c in cols])
