@@ -4,21 +4,21 @@ models. Inputs must be imputed (``VectorAssembler`` rejects nulls)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import score_to_class, two_stage_decision
 from ..sources.csv import write_csv
 from .boosting import Booster, BoostSettings, fit_booster, thresholds
 from .metrics import macro_f1
-from .resample import class_counts
+from .resample import class_counts, hash_split
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -155,24 +155,79 @@ def submit(scored: DataFrame, path: str, target: str = "target") -> None:
     write_csv(scored.select("ID", "period", F.col(target).cast("int").alias("target")), path, sep=",")
 
 
-def fit_linear_stack(df: DataFrame, inputs: Sequence[str], label: str):
-    """Least squares of ``label`` on ``inputs`` with an intercept (normal
-    equations: one distributed pass of sums of products)."""
-    x = assemble(df.withColumn(label, F.col(label).cast("double")), inputs)
-    lr = LinearRegression(featuresCol="features", labelCol=label, solver="normal", regParam=0.0,
-                          elasticNetParam=0.0, fitIntercept=True, standardization=False)
-    return lr.fit(x)
-
-
-def linear_stack_coefficients(model, inputs: Sequence[str], spark) -> DataFrame:
+@dataclass(frozen=True)
+class LinearStack:
+    intercept: float
+    coefficients: tuple[float, ...]
+    inputs: tuple[str, ...]
+
+    def predict(self) -> Column:
+        """Null where an input is null."""
+        out = F.lit(self.intercept)
+        for c, name in zip(self.coefficients, self.inputs):
+            out = out + F.lit(c) * F.col(name)
+        return out
+
+
+#: Directions of the inputs whose variance is below this share of the largest are taken as dependent.
+DEPENDENT = 1e-13
+
+
+def fit_linear_stack(df: DataFrame, inputs: Sequence[str], label: str) -> LinearStack:
+    """Least squares of ``label`` on ``inputs`` with an intercept, from their means and
+    covariances: one aggregate with a partial step, k x k numbers on the driver. Where inputs
+    depend on each other (two families that agree everywhere, a constant one), of all
+    best solutions the one with the smallest coefficients is returned. Rows with a
+    null input or label take no part; with no row left there is nothing to fit."""
+    names = [*inputs, label]
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]).dropna()
+    k = len(inputs)
+    pairs = [(i, j) for i in range(k) for j in range(i, k + 1)]
+    row = x.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(k + 1)],
+                *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+    if row["m0"] is None:
+        raise ValueError("no complete row to fit a stacker on")
+    s = np.zeros((k, k + 1))
+    for i, j in pairs:
+        s[i, j] = row[f"c{i}_{j}"]
+        if j < k:
+            s[j, i] = s[i, j]
+    coefficients = np.linalg.pinv(s[:, :k], rcond=DEPENDENT, hermitian=True) @ s[:, k]
+    means = np.array([row[f"m{i}"] for i in range(k + 1)])
+    return LinearStack(float(means[k] - means[:k] @ coefficients), tuple(map(float, coefficients)), tuple(inputs))
+
+
+def linear_stack_coefficients(model: LinearStack, inputs: Sequence[str], spark) -> DataFrame:
     """Intercept and one coefficient per input as a one-row DataFrame."""
-    values = [float(model.intercept)] + [float(v) for v in model.coefficients.toArray()]
     names = ["intercept"] + [f"coef_{c}" for c in inputs]
-    return spark.createDataFrame([tuple(values)], names)
+    return spark.createDataFrame([(model.intercept, *model.coefficients)], names)
 
 
-def linear_stack_score(model, df: DataFrame, inputs: Sequence[str], out: str = "target") -> DataFrame:
+def linear_stack_score(model: LinearStack, df: DataFrame, inputs: Sequence[str], out: str = "target") -> DataFrame:
     """Predict, round half to even, keep ``ID, period, target``."""
-    scored = model.transform(assemble(df, inputs))
+    scored = df.withColumn("prediction", model.predict())
     return scored.select("ID", "period", score_to_class("prediction").alias(out))
 
+
+def family_predictions(families: Mapping[str, TwoStageModel], rows: DataFrame, label: str | None = None) -> DataFrame:
+    """``ID, period, pred_<family>...`` of every fitted family, in one projection over
+    ``rows``, with the truth as ``real`` if ``label`` names it."""
+    scored = rows
+    for name, model in families.items():
+        scored = model.transform(scored, f"pred_{name}").drop("binary_pred", "multi_pred")
+    truth = [F.col(label).cast("int").alias("real")] if label else []
+    return scored.select("ID", "period", *[f"pred_{name}" for name in families], *truth)
+
+
+def stack_families(train: DataFrame, held_out: DataFrame, scoring: DataFrame, features: Sequence[str],
+                   presets: Mapping[str, TwoStagePreset], label: str = "attrition", times: str | None = None,
+                   seed: int = 2020) -> tuple[dict[str, TwoStageModel], DataFrame, DataFrame]:
+    """Two or more fitted families, and their predictions out of sample: (models, labelled
+    predictions to fit a stacker on, predictions of the scoring rows). A hash of the keys
+    halves the held-out rows: one half decides when the boostings stop, the stacker
+    gets the other, which no fit and no stop has seen."""
+    halves = hash_split(held_out, ("ID", "period"), 0.5, seed=f"stack{seed}", col="__half")
+    stops, unseen = [halves.where(F.col("__half") == side).drop("__half") for side in ("train", "test")]
+    models = {name: fit_two_stage(train, stops, features, label, preset=preset, times=times)
+              for name, preset in presets.items()}
+    return models, family_predictions(models, unseen, label), family_predictions(models, scoring)

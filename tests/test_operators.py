@@ -1,10 +1,12 @@
 """Edge cases and properties of the operators on tiny hand-made frames."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns as C
 from ledgerlens.operators import metrics as M
+from ledgerlens.operators import models as ML
 from ledgerlens.operators import nulls as N
 from ledgerlens.operators import profile as P
 from ledgerlens.operators import resample as R
@@ -147,3 +149,44 @@ def test_two_stage_decision(spark):
 def test_round_half_even(spark):
     df = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (-0.5,)], "x double")
     assert [r[0] for r in df.select(C.score_to_class("x")).collect()] == [0, 2, 2, 0]
+
+
+def test_distinct_profile_bits_and_two_levels(spark):
+    rows = [(None if i % 7 == 0 else i % 3, f"v{i}", i % 63 if i % 5 else None, i % 64, None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, wide string, few int, over int, empty string").repartition(5)
+    want = {}
+    for g, *values in rows:
+        sets = want.setdefault(g, [set() for _ in values])
+        for s, v in zip(sets, values):
+            s.update(() if v is None else (v,))
+    cols = ["wide", "few", "over", "empty"]
+    levels = P.code_levels(df, cols)
+    assert sorted(levels) == ["empty", "few"] and len(levels["few"]) == 63 and levels["empty"] == []
+    out = P.distinct_profile(df, ["g"], cols, "x")
+    assert {r["g"]: [r[f"count_{c}_x"] for c in cols] for r in out.collect()} == {g: [len(s) for s in v] for g, v in want.items()}
+    assert "collect_set" not in out._jdf.queryExecution().toString()
+    known = P.distinct_profile(df, ["g"], ["few"], "x", levels={"few": levels["few"]})
+    assert {r["g"]: r["count_few_x"] for r in known.collect()} == {g: len(v[1]) for g, v in want.items()}
+    assert P.distinct_profile(df.limit(0), ["g"], cols, "x").count() == 0
+
+
+def test_distinct_profile_of_a_hundred_thousand_values_in_one_group(spark):
+    df = spark.range(300000).selectExpr("1 AS g", "id % 100000 AS v", "cast(id % 4 AS int) AS code")
+    assert P.distinct_profile(df, ["g"], ["v", "code"], "x").first() == (1, 100000, 4)
+
+
+def test_linear_stack_of_dependent_inputs(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 6, 200), rng.integers(0, 6, 200)
+    x = np.stack([a, b, a, a + b, np.full(200, 3)], 1).astype(float)
+    y = 0.5 * a - b + rng.normal(0, 0.1, 200)
+    names = ["a", "b", "a2", "ab", "const"]
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], names + ["y"])
+    holes = df.limit(3).withColumn("a", F.lit(None).cast("double"))
+    got = ML.fit_linear_stack(df.unionByName(holes), names, "y")
+    c = np.linalg.lstsq(x - x.mean(0), y - y.mean(), rcond=1e-10)[0]
+    assert np.allclose(got.coefficients, c, atol=1e-8) and np.isclose(got.intercept, y.mean() - x.mean(0) @ c)
+    assert df.select(F.max(F.abs(got.predict() - (got.intercept + sum(F.lit(v) * F.col(n) for v, n in zip(c, names)))))).first()[0] < 1e-6
+    assert holes.select(got.predict().alias("p")).where("p is not null").count() == 0
+    with pytest.raises(ValueError):
+        ML.fit_linear_stack(df.limit(0), names, "y")
