@@ -6,7 +6,7 @@ words, but not none, is one window. Every window position of every document
 is looked up in the set of benchmark windows. The lookup compares the whole
 window text, so a match needs no further check.
 
-The window set is broadcast when its measured size is below
+The window set is broadcast when its measured size, item lists included, is below
 ``broadcast_bytes``; a larger one is joined by a shuffle on the window text.
 
 Defined results: a null or wordless text has no words and no hits; a null
@@ -45,6 +45,12 @@ def item_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id", tex
             .groupBy("window", "len").agg(F.collect_set("item").alias("items")))
 
 
+def row_bytes() -> Column:
+    """Bound of the bytes of a row of ``item_windows`` in memory: its window and all its items."""
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda held, x: held + F.length(x.cast("string")) * 2 + 24)
+    return F.length("window") * 2 + ids + 64
+
+
 def window_hits(docs: DataFrame, windows: DataFrame, lengths: list[int], broadcast: bool,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc, key, at, len, items): the window at word ``at`` of the document
@@ -69,7 +75,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     """One row per document row: ``doc``, ``key`` (hash of the text), ``n_words``,
     ``spans`` (sorted word positions that are hit) and ``items`` (sorted ids as text)."""
     windows = stored(item_windows(benchmark, n), "bench-windows")
-    sizes = windows.groupBy("len").agg(F.sum(F.length("window") * 2 + 64).alias("bytes")).collect()  # at most n rows
+    sizes = windows.groupBy("len").agg(F.sum(row_bytes()).alias("bytes")).collect()  # at most n rows
     base = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("key"),
                        F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     nothing = [F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items")]
@@ -92,7 +98,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col:
                      text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the rows that hold any benchmark window; all columns as they are."""
     windows = stored(item_windows(benchmark, n), "bench-windows")
-    sizes = windows.groupBy("len").agg(F.sum(F.length("window") * 2 + 64).alias("bytes")).collect()
+    sizes = windows.groupBy("len").agg(F.sum(row_bytes()).alias("bytes")).collect()
     if not sizes:
         return docs
     hits = window_hits(docs, windows, sorted(r["len"] for r in sizes),

@@ -63,3 +63,11 @@ def test_empty_tables(spark, make_docs):
     got = D.contamination(none, bench.limit(0)).collect()
     assert len(got) == len(DOCS) and not any(r["spans"] for r in got)
     assert D.remove_documents(none, bench.limit(0)).count() == len(DOCS)
+
+
+def test_size_of_the_window_set_counts_its_items(spark):
+    items = [(f"item-{i:06d}", "one window that very many items share") for i in range(3000)] + [("x", "another"), (None, "another")]
+    windows = D.item_windows(spark.createDataFrame(items, "item_id string, text string"))
+    sizes = {r["window"]: r["b"] for r in windows.select("window", D.row_bytes().alias("b")).collect()}
+    assert sizes["one window that very many items share"] >= 3000 * 2 * len("item-000000")
+    assert 0 < sizes["another"] < 200
