@@ -227,3 +227,28 @@ def test_labelled_rows_of_documents_with_clashing_columns(spark):
     for rows in (queries.rated_documents, queries.toxic_labelled):
         want = sorted(map(tuple, rows(spark, small).collect()))
         assert want and sorted(map(tuple, rows(spark, small, clash).collect())) == want
+
+
+def test_quality_scores_are_features_times_weights(monkeypatch):
+    monkeypatch.setattr(ngrams, "SEGMENT_CHARS", 50)
+    monkeypatch.setattr(ngrams, "CHUNK_CHARS", 120)
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "ab c", "same same same", "é" * 49, "x" * 50, "y" * 51, "zz zz " * 40]
+    texts += [" ".join(rng.choice(["alpha", "Beta", "ça", "d,", "e"], n)) for n in rng.integers(1, 80, 40)]
+    weights = rng.normal(size=(1 << quality.BITS) + quality.SHAPE)
+    got = quality.linear_scores(texts, weights)
+    assert np.allclose(got, [quality.features(t) @ weights for t in texts], rtol=1e-4, atol=1e-4)
+
+    def plain(text):
+        """Every trigram by itself, hashed in whole numbers of Python."""
+        total, n, mask = 0.0, 0, 0xFFFFFFFF
+        for i in range(len(text) - 2):
+            h = 3 * 0x85EBCA6B & mask
+            for c in text[i:i + 3]:
+                h = (h ^ ord(c)) * 0x9E3779B1 & mask
+                h ^= h >> 15
+            total += weights[(h * 0x2C1B3C6D & mask) >> (32 - quality.BITS)]
+            n += 1
+        return quality.SCALE * total / (n + quality.HOLD) + quality.SHAPE_SCALE * sum(weights[b] for b in quality.shape_bins(text))
+
+    assert np.allclose(got, [plain(t) for t in texts], rtol=1e-4, atol=1e-4)

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,3 +87,35 @@ def test_fixed_capacity_packing_is_best_fit_decreasing(sizes):
     where, _ = runs.place(np.array([s for s, c in counts for _ in range(c)]), np.concatenate([np.arange(c) for _, c in counts]))
     load = np.bincount(where, [s for s, c in counts for _ in range(c)], n)
     assert load.max() <= 2000 and sorted(2000 - load) == one_by_one(sizes, 2000)
+
+
+def shards_one_by_one(sizes, shards):
+    """Loads when groups go one after the other, largest first, into the tightest shard
+    with room, else the emptiest; giants first get a shard of their own."""
+    todo, total = sorted(sizes, reverse=True), sum(sizes)
+    load, free = [], shards
+    while free > 1 and todo and todo[0] * free > total:
+        load.append(todo[0])
+        total, free = total - todo.pop(0), free - 1
+    room = [-(-total // free)] * free
+    own = [0] * free
+    for size in todo:
+        fits = [b for b in range(free) if room[b] >= size]
+        b = min(fits, key=lambda i: (room[i], i)) if fits else max(range(free), key=lambda i: (room[i], i))
+        room[b] -= size
+        own[b] += size
+    return sorted(load + own)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 60) | st.integers(1, 2000), max_size=80), st.integers(1, 9))
+def test_shards_are_best_fit_decreasing_one_by_one(sizes, shards):
+    counts = sorted(Counter(sizes).items())
+    runs = bestfit.pack_into(counts, shards)
+    load, seen = [0] * shards, 0
+    for size, n in counts:
+        bins, _ = runs.place(np.full(n, size), np.arange(n))
+        seen += len(bins)
+        for b in bins:
+            load[b] += size
+    assert seen == len(sizes) and sorted(load) == shards_one_by_one(sizes, shards)
