@@ -138,3 +138,24 @@ def test_counted_draws_are_the_draws(spark):
         counted = {r["v"]: r["times"] for r in R.rebalance_counted(rows, "y", ["id"], 150, weights).collect()}
         assert counted == drawn
     assert R.rebalance_counted(rows.limit(0), "y", ["id"], 5).count() == 0
+
+
+def test_stacked_families_see_no_row_twice(spark, monkeypatch):
+    rows = rows_of(spark, n=400).withColumnRenamed("y", "attrition").selectExpr(
+        "cast(id AS string) AS ID", "'p' AS period", "a", "b", "c", "attrition", "cast(attrition > 0 AS int) AS binary_target", "times")
+    train, held, scoring = rows.where("cast(ID AS int) < 200"), rows.where("cast(ID AS int) BETWEEN 200 AND 299"), rows.where("cast(ID AS int) >= 300")
+    seen, fit = [], ML.fit_two_stage
+
+    def watch(train, stops, *args, **more):
+        seen.append({r["ID"] for r in stops.collect()})
+        return fit(train, stops, *args, **more)
+
+    monkeypatch.setattr(ML, "fit_two_stage", watch)
+    small = ML.TwoStagePreset(max_depth=2, max_iter_binary=2, max_iter_multi=2)
+    models, known, asked = ML.stack_families(train, held, scoring, FEATURES, {"x": small, "y": small}, times="times")
+    known, everyone = known.collect(), {r["ID"] for r in held.collect()}
+    ids = {r["ID"] for r in known}
+    assert seen[0] == seen[1] and seen[0] and ids and not seen[0] & ids and seen[0] | ids == everyone
+    assert asked.columns == ["ID", "period", "pred_x", "pred_y"] and asked.count() == 100
+    truth = {r["ID"]: r["attrition"] for r in held.collect()}
+    assert all(r["real"] == truth[r["ID"]] and r["pred_x"] == r["pred_y"] for r in known) and list(models) == ["x", "y"]
