@@ -102,7 +102,7 @@ def materialized_wide(spark, sf_dir) -> DataFrame:
     t = _t(spark, sf_dir)
     inputs = [f"{t.root}/{name}.parquet" for name in ("orders", "lineitem", "events", "customer")]
     key = input_fingerprint(spark, inputs, fingerprint(WIDE_SQL))   # the SQL follows the presets
-    return materialize_or_load(spark, lambda: wide_table(t), "wide", key)
+    return materialize_or_load(spark, lambda: wide_table(t), f"wide-{fingerprint(t.root)}", key)
 
 
 @query("materialize_features", WIDE_SQL)

@@ -90,9 +90,25 @@ def shared_root(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or own.rsplit("/", 1)[0]).rstrip("/")
 
 
+_SCOPES: list[tuple[str, str]] = []     # (application, folder below its staging area) of open blocks
+
+
+@contextmanager
+def scoped_paths(spark: SparkSession, scope: str) -> Iterator[str]:
+    """Paths that ``shared_path`` gives inside the block lie in the folder ``scope`` (its path is yielded)."""
+    folder = shared_path(spark, scope, unique=False)
+    _SCOPES.append((spark.sparkContext.applicationId, folder))
+    try:
+        yield folder
+    finally:
+        _SCOPES.pop()
+
+
 def shared_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     """A path under the shared checkpoint folder for sinks and materialised
     tables. ``unique`` appends a random suffix so that runs never collide."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens"
+    if _SCOPES and _SCOPES[-1][0] == spark.sparkContext.applicationId:
+        base = _SCOPES[-1][1]
     leaf = f"{name}-{uuid.uuid4().hex[:12]}" if unique else name
-    return f"{base}/ledgerlens/{leaf}"
+    return f"{base}/{leaf}"
