@@ -23,7 +23,7 @@ from ..operators import resample as R
 from ..session import shared_path
 from ..sources import fixtures as X
 from ..sources.csv import read_csv, write_csv
-from ..sources.materialize import fingerprint, input_fingerprint, materialize_or_load, stage
+from ..sources.materialize import fingerprint, input_fingerprint, materialize_or_load, stage, staging_area
 from ..sources.tables import Tables
 from . import features as FT
 from . import oracle as O
@@ -759,10 +759,8 @@ def counted_rows(spark, sf_dir) -> tuple[FT.ModelMatrix, DataFrame, DataFrame, D
 F1_BAR = {"rf": 0.9, "deep": 0.9, "light": 0.9, "column_subsampled": 0.9, "stack": 0.9}
 
 
-def _submitted(spark, sf_dir, name: str, scored: DataFrame) -> DataFrame:
-    """Submit scored rows, read the file back and compare it with the withheld labels."""
-    path = shared_path(spark, f"{name}_csv")
-    ML.submit(scored, path)
+def _submitted(spark, sf_dir, name: str, path: str) -> DataFrame:
+    """Read a submission back and compare it with the withheld labels."""
     back = read_csv(spark, path, schema="ID string, period string, target int")
     truth = X.universe_all(_t(spark, sf_dir)).where("b >= 80").select("ID", "period", "attrition")
     joined = truth.join(back, ["ID", "period"], "left")
@@ -770,6 +768,20 @@ def _submitted(spark, sf_dir, name: str, scored: DataFrame) -> DataFrame:
     return joined.agg(F.lit(name).alias("model"), F.count("target").alias("n"), F.lit(f1 >= F1_BAR[name]).alias("good"))
 
 
+def _submissions(spark, sf_dir, scored: Callable[[tuple], dict[str, DataFrame]], *names: str) -> DataFrame:
+    """Submit what ``scored`` (a function of ``counted_rows``) gives for each model, and judge
+    the files. The matrices and whatever the fits staged are deleted once the files are written."""
+    paths = {name: shared_path(spark, f"{name}_csv") for name in names}
+    with staging_area(spark):
+        for name, rows in scored(counted_rows(spark, sf_dir)).items():
+            ML.submit(rows, paths[name])
+    judged = [_submitted(spark, sf_dir, name, path) for name, path in paths.items()]
+    out = judged[0]
+    for other in judged[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def _model_sql(*names: str) -> str:
     return O.with_views(["universe_test"], " UNION ALL ".join(
         f"SELECT '{n}' AS model, count(*) AS n, true AS good FROM universe_test" for n in names))
@@ -777,30 +789,34 @@ def _model_sql(*names: str) -> str:
 
 @query("rf_predict", _model_sql("rf"))
 def q_rf_predict(spark, sf_dir):
-    mm, train, _, scoring = counted_rows(spark, sf_dir)
-    copies = F.least(F.col("times"), F.lit(FOREST_COPIES))
-    train = train.withColumn("weight", F.col("times") / copies).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    model, feats = ML.fit_random_forest(train, mm.features, "attrition", seed=SEED, numTrees=50, maxDepth=10,
-                                        featureSubsetStrategy="onethird", weightCol="weight")
-    return _submitted(spark, sf_dir, "rf", ML.predict_random_forest(model, feats, scoring))
+    def scored(rows):
+        mm, train, _, scoring = rows
+        copies = F.least(F.col("times"), F.lit(FOREST_COPIES))
+        train = train.withColumn("weight", F.col("times") / copies).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+        model, feats = ML.fit_random_forest(train, mm.features, "attrition", seed=SEED, numTrees=50, maxDepth=10,
+                                            featureSubsetStrategy="onethird", weightCol="weight")
+        return {"rf": ML.predict_random_forest(model, feats, scoring)}
+
+    return _submissions(spark, sf_dir, scored, "rf")
 
 
-def _two_stage(spark, sf_dir, rows, name: str, preset) -> DataFrame:
-    mm, train, held_out, scoring = rows
-    model = ML.fit_two_stage(train, held_out, mm.features, preset=preset, times="times")
-    return _submitted(spark, sf_dir, name, model.transform(scoring))
+def _two_stage(spark, sf_dir, **presets) -> DataFrame:
+    def scored(rows):
+        mm, train, held_out, scoring = rows
+        return {name: ML.fit_two_stage(train, held_out, mm.features, preset=preset, times="times").transform(scoring)
+                for name, preset in presets.items()}
+
+    return _submissions(spark, sf_dir, scored, *presets)
 
 
 @query("two_stage_predict", _model_sql("deep"))
 def q_two_stage_predict(spark, sf_dir):
-    return _two_stage(spark, sf_dir, counted_rows(spark, sf_dir), "deep", ML.DEEP)
+    return _two_stage(spark, sf_dir, deep=ML.DEEP)
 
 
 @query("two_stage_presets", _model_sql("light", "column_subsampled"))
 def q_two_stage_presets(spark, sf_dir):
-    rows = counted_rows(spark, sf_dir)
-    light = _two_stage(spark, sf_dir, rows, "light", ML.LIGHT)
-    return light.unionByName(_two_stage(spark, sf_dir, rows, "column_subsampled", ML.COLUMN_SUBSAMPLED))
+    return _two_stage(spark, sf_dir, light=ML.LIGHT, column_subsampled=ML.COLUMN_SUBSAMPLED)
 
 
 STACK_FAMILIES = {"deep": ML.DEEP, "column_subsampled": ML.COLUMN_SUBSAMPLED}
@@ -810,12 +826,14 @@ STACK_FAMILIES = {"deep": ML.DEEP, "column_subsampled": ML.COLUMN_SUBSAMPLED}
 def q_fitted_stack(spark, sf_dir):
     """Least squares over two fitted families: their held-out predictions go through
     the labelled-prediction file, the stacked scores through the submission."""
-    mm, train, held_out, scoring = counted_rows(spark, sf_dir)
-    _, known, asked = ML.stack_families(train, held_out, scoring, mm.features, STACK_FAMILIES, times="times", seed=SEED)
-    inputs = [f"pred_{name}" for name in STACK_FAMILIES]
-    path = shared_path(spark, "stack_families_csv")
-    write_csv(known.select(*inputs, "real"), path, sep=",")
-    back = read_csv(spark, path, schema=", ".join(f"{c} int" for c in (*inputs, "real")))
-    model = ML.fit_linear_stack(back, inputs, "real")
-    return _submitted(spark, sf_dir, "stack", ML.linear_stack_score(model, asked, inputs))
-
+    def scored(rows):
+        mm, train, held_out, scoring = rows
+        _, known, asked = ML.stack_families(train, held_out, scoring, mm.features, STACK_FAMILIES, times="times", seed=SEED)
+        inputs = [f"pred_{name}" for name in STACK_FAMILIES]
+        path = shared_path(spark, "stack_families_csv")
+        write_csv(known.select(*inputs, "real"), path, sep=",")
+        back = read_csv(spark, path, schema=", ".join(f"{c} int" for c in (*inputs, "real")))
+        model = ML.fit_linear_stack(back, inputs, "real")
+        return {"stack": ML.linear_stack_score(model, asked, inputs)}
+
+    return _submissions(spark, sf_dir, scored, "stack")
