@@ -5,9 +5,11 @@ one of rejected URLs, are learned from the URLs that the rules decide. The
 order runs from 0 to ``ORDER``: each longer context is interpolated with the
 shorter one, weighted by how often it was seen. Counts cover every rule-decided URL
 outside the calibration fold and are kept for each distinct context and context
-with character, under a 64-bit key; the broadcast model grows with the distinct
-ones (16 bytes each), not with the rows. The score of a
-URL is the difference of the two log-likelihoods divided by its length; the
+with character, under a 64-bit key. The counts stay a distributed table: URLs are
+dealt into chunks of about ``CHUNK_CHARS`` characters by a hash of the row, each
+chunk asks for its distinct keys once, the keys meet their counts in a join, and a task scores a
+chunk with the counts it asked for. Nothing that grows with the input reaches the driver or every task.
+The score of a URL is the difference of the two log-likelihoods divided by its length; the
 threshold is the one with the least balanced error on the calibration fold.
 
 Defined results: null URLs and URLs without ``://`` have an empty host and
@@ -23,16 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, fold
+from .common import LOWER, UPPER, fold, stored, with_row_id
 
 ORDER = 4
 BITS = 64          # of a key
 STRENGTH = 4.0     # weight of the shorter context, in observations
 CALIBRATION_FOLDS = 5
 BATCH_BYTES = 1 << 17   # characters that a task takes apart at a time
+CHUNK_CHARS = 1 << 18   # characters of the URLs that are scored together
 BINS = 400         # of the score, from -2 to 2
 
 #: (host, path, verdict)
@@ -103,23 +107,32 @@ def _bytes(urls) -> list[bytes]:
     return [u.encode() if isinstance(u, str) else b"" for u in urls]
 
 
-def count_tables(urls: DataFrame, order: int = ORDER, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of contexts and of contexts with their next character, per class,
-    from every row of ``urls`` (url, accepted): (keys in order, counts [class,
-    key]) of the two tables."""
+def _distinct_keys(pieces: list[bytes], bits: int, order: int) -> Iterator[pd.DataFrame]:
+    """The distinct keys of both tables (pair 0: contexts, 1: contexts with character) and their occurrences."""
+    keys = _keys(pieces, bits, order)[0]
+    for table in (0, 1):
+        key, n = np.unique(np.concatenate([k[table] for k in keys]), return_counts=True)
+        yield pd.DataFrame({"pair": np.int32(table), "key": key.view(np.int64), "n": n})
+
+
+def count_keys(urls: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
+    """pair, key, n0, n1: counts of contexts and of contexts with their next
+    character, per class, from every row of ``urls`` (url, accepted)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for cls in (0, 1):
                 own = _bytes(b["url"][b["accepted"] == bool(cls)])
                 for _, pieces in _batches(own, order):
-                    keys = _keys(pieces, bits, order)[0]
-                    for table in (0, 1):
-                        key, n = np.unique(np.concatenate([k[table] for k in keys]), return_counts=True)
-                        yield pd.DataFrame({"pair": np.int32(table), "key": key.view(np.int64), "cls": np.int32(cls), "n": n})
+                    for found in _distinct_keys(pieces, bits, order):
+                        yield found.assign(cls=np.int32(cls))
 
-    counted = urls.mapInPandas(run, "pair int, key long, cls int, n long").groupBy("pair", "key").agg(
+    return urls.mapInPandas(run, "pair int, key long, n long, cls int").groupBy("pair", "key").agg(
         *[F.sum(F.when(F.col("cls") == cls, F.col("n")).otherwise(F.lit(0))).alias(f"n{cls}") for cls in (0, 1)])
-    found, out = counted.toPandas(), []          # one row per distinct context and pair
+
+
+def as_tables(found: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``count_keys`` as (keys in order, counts [class, key]) of the two tables."""
+    out = []
     for table in (0, 1):
         own = found[found["pair"] == table]
         keys = own["key"].to_numpy(np.int64).view(np.uint64)
@@ -150,31 +163,49 @@ def log_ratio(urls: list[bytes], tables, order: int = ORDER, bits: int = BITS, l
     return total / [len(u) + 1 for u in urls]
 
 
+def score_chunks(urls: DataFrame, counts: DataFrame, chars: int, order: int = ORDER, bits: int = BITS,
+                 chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """``urls`` (stored; a column ``url`` and a unique ``_rid``) with its ``score``. ``chars`` are
+    the characters of all URLs together; empty and null URLs score 0."""
+    chunks = max(1, -(-chars // chunk_chars))
+    dealt = urls.withColumn("chunk", F.pmod(F.xxhash64("_rid"), F.lit(chunks)))
+    schema = ", ".join(f"`{n}` {t}" for n, t in urls.dtypes) + ", score double"
+
+    def ask(chunk: pa.Table) -> pa.Table:
+        found = [k for _, pieces in _batches(_bytes(chunk["url"].to_pylist()), order) for k in _distinct_keys(pieces, bits, order)]
+        keys = pd.concat(found)[["pair", "key"]].drop_duplicates()
+        return pa.table({"chunk": np.full(len(keys), chunk["chunk"][0].as_py(), np.int64),
+                         "pair": keys["pair"].to_numpy(), "key": keys["key"].to_numpy()})
+
+    def score(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        own = _bytes(chunk["url"].to_pylist())
+        ratio = np.where([len(u) > 0 for u in own], log_ratio(own, as_tables(found.to_pandas()), order, bits), 0.0)
+        return chunk.drop_columns(["chunk"]).append_column("score", pa.array(ratio, pa.float64()))
+
+    asked = dealt.select("chunk", "url").groupBy("chunk").applyInArrow(ask, "chunk long, pair int, key long")
+    known = asked.join(counts, ["pair", "key"]).select("chunk", "pair", "key", "n0", "n1")
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score."""
-    spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
                          host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = parts.withColumn("rule", rule).withColumn("rule_verdict", verdict)
-    known = ruled.where("rule is not null").select("url", (F.col("rule_verdict") == "allow").alias("accepted"))
+    ruled = stored(with_row_id(parts.withColumn("rule", rule).withColumn("rule_verdict", verdict)), "ruled-urls")
+    accepted = F.col("rule_verdict") == "allow"
     tuning = fold(F.col("url"), CALIBRATION_FOLDS) == 0
-    tables = count_tables(known.where(~tuning))
-    learned = bool(tables[0][1].any(axis=1).all())
-    model = spark.sparkContext.broadcast(tables)
-
-    @F.pandas_udf("double")
-    def score(urls: pd.Series) -> pd.Series:
-        if not learned:
-            return pd.Series(np.zeros(len(urls)))
-        own = _bytes(urls)
-        return pd.Series(np.where([len(u) > 0 for u in own], log_ratio(own, model.value), 0.0))
-
-    threshold = calibrate(known.where(tuning).select("accepted", score("url").alias("s"))) if learned else 0.0
-    judged = ruled.withColumn("score", score("url"))
+    known = ruled.where("rule IS NOT NULL")
+    learn = known.where(~tuning).select("url", accepted.alias("accepted"))
+    chars = ruled.agg(F.sum(F.length("url"))).first()[0]
+    classes = learn.agg(F.count_if("accepted"), F.count_if(~F.col("accepted"))).first()
+    threshold, scored = 0.0, ruled.withColumn("score", F.lit(0.0))
+    if all(classes):
+        scored = stored(score_chunks(ruled, stored(count_keys(learn), "url-counts"), chars or 0), "url-scores")
+        threshold = calibrate(scored.where("rule IS NOT NULL").where(tuning).select(accepted.alias("accepted"), F.col("score").alias("s")))
     by_model = F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
-    return judged.select("page_id", "host", "path", "rule",
+    return scored.select("page_id", "host", "path", "rule",
                          F.coalesce("rule_verdict", by_model).alias("verdict"), "score")
 
 

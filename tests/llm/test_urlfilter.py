@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import urlfilter as U
 
 
+def collected(urls, **how):
+    return U.as_tables(U.count_keys(urls, **how).toPandas())
+
+
 def test_rules(spark):
     urls = {"https://A.Example.COM/en/1?x": ("a.example.com", "/en/1", "example.com/en/", "block"),
             "http://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
@@ -25,7 +29,7 @@ def test_rules(spark):
 
 def test_counts_and_ratio_against_plain_counting(spark):
     rows = [("abab", True), ("abba", True), ("xyxy", False), ("xxyy", False), ("abab", True), (None, False)]
-    tables = U.count_tables(spark.createDataFrame(rows, "url string, accepted boolean").repartition(3), order=2, bits=14)
+    tables = collected(spark.createDataFrame(rows, "url string, accepted boolean").repartition(3), order=2, bits=14)
     plain = {c: [Counter(), Counter()] for c in (0, 1)}
     for u, acc in rows:
         s = b"\0\0" + (u or "").encode() + b"\3"
@@ -64,7 +68,7 @@ def test_held_out_accuracy_and_degenerate_tables(spark):
 def test_counts_of_many_urls_do_not_collide(spark):
     good = [(f"http://a.com/{i * 7919:x}/{i * 104729:x}", True) for i in range(60000)]
     rows = good + [("http://zz.net/qq", False)]
-    tables = U.count_tables(spark.createDataFrame(rows, "url string, accepted boolean").repartition(4))
+    tables = collected(spark.createDataFrame(rows, "url string, accepted boolean").repartition(4))
     pairs, contexts = set(), set()
     for u, _ in rows:
         s = b"\0" * 4 + u.encode() + b"\3"
@@ -79,7 +83,7 @@ def test_counts_of_many_urls_do_not_collide(spark):
 def test_long_urls_are_read_in_pieces(spark):
     long = "http://long.org/" + "".join(f"{i * 7919:x}/" for i in range(60000))
     rows = [("http://a.com/" + long[20:900], True), (long, False), ("", True), (long[:5000], True)]
-    tables = U.count_tables(spark.createDataFrame(rows, "url string, accepted boolean"))
+    tables = collected(spark.createDataFrame(rows, "url string, accepted boolean"))
     assert tables[0][1][:, 0].dtype == np.float32 and len(long) > 2 * U.BATCH_BYTES
     urls = [u.encode() for u, _ in rows]
     whole = U.log_ratio(urls, tables, limit=1 << 30)
@@ -103,3 +107,17 @@ def test_threshold_against_trying_every_edge(spark):
 
     assert np.isclose(error(got), min(map(error, edges)))
     assert U.calibrate(spark.createDataFrame(rows, "accepted boolean, s double").where("accepted")) == 0.0
+
+
+def test_chunks_score_as_the_whole_table_does(spark):
+    rows = [(i, f"https://s{i % 7}.com/{i * 7919 % 1013:x}/é{i % 5}", i % 3 > 0) for i in range(500)] + [
+        (500, None, True), (501, "", False), (502, "http://q.org/" + "xyz/" * 900, False)] + [(2 ** 60 + i, "https://hot.com/a", True) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, accepted boolean").withColumn("_rid", F.monotonically_increasing_id())
+    urls = U.stored(df.select("page_id", "url", "_rid"), "urls")
+    learn = df.where("page_id % 2 = 0")
+    tables = collected(learn)
+    whole = dict(zip([r[0] for r in rows], U.log_ratio([(r[1] or "").encode() for r in rows], tables)))
+    for size in (1 << 9, 1 << 12, 1 << 30):
+        got = U.score_chunks(urls, U.count_keys(learn), sum(len(r[1] or "") for r in rows), chunk_chars=size).collect()
+        assert sorted(r["page_id"] for r in got) == sorted(r[0] for r in rows)
+        assert all(np.isclose(r["score"], whole[r["page_id"]] if r["url"] else 0.0, rtol=1e-9, atol=1e-12) for r in got)
