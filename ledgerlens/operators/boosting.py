@@ -9,6 +9,9 @@ histogram per (class, node); the histograms of a node are added and its best
 split found in one task each. The driver sees one split per node. A leaf's
 value is -G / (H + l2). Margins are written anew every ``REBASE`` rounds.
 
+Blocks hold a feature's bins together; a node's histogram is added up feature by
+feature, row counts only where ``min_rows`` asks for them.
+
 A row drawn many times is one row with a multiplicity: it weighs
 gradients and curvatures, and subsampling thins the multiplicity by a binomial
 draw (seeded by round and stored block), so that without subsampling the trees are
@@ -103,17 +106,17 @@ class Tree:
         return out
 
     def nodes_of(self, n: int, goes_left) -> np.ndarray:
-        """The leaf of each of ``n`` rows; ``goes_left(rows, features, cuts)`` compares."""
-        feature, cut = np.array(self.feature), np.array(self.cut)
-        left, right = np.array(self.left), np.array(self.right)
+        """The leaf of each of ``n`` rows; ``goes_left(rows, feature, cut)`` compares."""
         node = np.zeros(n, np.int64)
-        rows = np.arange(n)
-        while True:
-            rows = rows[feature[node[rows]] >= 0]
-            if not len(rows):
-                return node
-            at = node[rows]
-            node[rows] = np.where(goes_left(rows, feature[at], cut[at]), left[at], right[at])
+        parts = [(0, np.arange(n))]
+        while parts:        # rows of a node are dealt to its children together
+            at, rows = parts.pop()
+            if self.feature[at] < 0:
+                node[rows] = at
+            elif len(rows):
+                left = goes_left(rows, self.feature[at], self.cut[at])
+                parts += [(self.left[at], rows[left]), (self.right[at], rows[~left])]
+        return node
 
 
 def thresholds(df: DataFrame, features: Sequence[str]) -> list[list[float]]:
@@ -153,9 +156,9 @@ def blocks_of(df: DataFrame, features: Sequence[str], cuts: list[list[float]], l
         for part in parts:
             for start in range(0, len(part), BLOCK_ROWS):
                 own = part.iloc[start:start + BLOCK_ROWS]
-                bins = np.empty((len(own), len(features)), np.uint8)
+                bins = np.empty((len(features), len(own)), np.uint8)
                 for i, name in enumerate(features):
-                    bins[:, i] = np.searchsorted(edges[i], own[name].to_numpy(np.float64), side="left")
+                    bins[i] = np.searchsorted(edges[i], own[name].to_numpy(np.float64), side="left")
                 number += 1
                 yield pd.DataFrame([(number * 2 + held, held, bins.tobytes(), own["__label"].to_numpy(np.int32).tobytes(),
                                      own["__times"].to_numpy(np.int64).tobytes(),
@@ -171,13 +174,13 @@ def blocks_of(df: DataFrame, features: Sequence[str], cuts: list[list[float]], l
 class _Block:
     def __init__(self, row, n_features: int, outputs: int):
         self.id, self.held = row.block, row.held
-        self.bins = np.frombuffer(row.bins, np.uint8).reshape(-1, n_features)
         self.label = np.frombuffer(row.label, np.int32)
+        self.bins = np.frombuffer(row.bins, np.uint8).reshape(n_features, len(self.label))
         self.times = np.frombuffer(row.times, np.int64)
         self.margin = np.frombuffer(row.margin, np.float64).reshape(-1, outputs).copy()
 
     def leaves(self, tree: Tree) -> np.ndarray:
-        return tree.nodes_of(len(self.label), lambda rows, f, cut: self.bins[rows, f] <= cut)
+        return tree.nodes_of(len(self.label), lambda rows, f, cut: self.bins[f, rows] <= cut)
 
     def add(self, rounds: list[list[Tree]]) -> None:
         for trees in rounds:
@@ -220,23 +223,42 @@ def column_mask(settings: BoostSettings, n_features: int, round_no: int, output:
     return mask
 
 
+def counts_rows(settings: BoostSettings) -> bool:
+    """Whether splits need row counts: a side with curvature has a row in any case."""
+    return settings.min_rows > 1
+
+
+def node_histograms(bins: np.ndarray, place: np.ndarray, n_nodes: int, weights: Sequence[np.ndarray]) -> np.ndarray:
+    """Sums of each weight by (feature, node and bin) of the rows with a place, as (weights, features, nodes x bins).
+    ``bins`` holds a feature's bytes together: one feature's histogram stays in the cache while its rows are added."""
+    out = np.empty((len(weights), len(bins), n_nodes * BINS))
+    start = place * BINS
+    for f, own in enumerate(bins):
+        cell = own + start
+        for j, w in enumerate(weights):
+            out[j, f] = np.bincount(cell, w, n_nodes * BINS)
+    return out
+
+
 def best_split(total: np.ndarray, settings: BoostSettings, mask: np.ndarray) -> tuple | None:
-    """(gain, feature, cut, left G, H, n) of histograms (3, features, bins);
-    ties go to the smaller feature, then the smaller cut."""
+    """(gain, feature, cut, left G, H and, where rows are counted, n) of histograms
+    (2 or 3, features, bins); ties go to the smaller feature, then the smaller cut."""
     left = np.cumsum(total, axis=2)
     whole = left[:, :, -1:]
     right = whole - left
     lam = settings.l2
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = left[0] ** 2 / (left[1] + lam) + right[0] ** 2 / (right[1] + lam) - whole[0] ** 2 / (whole[1] + lam)
-    ok = (np.minimum(left[1], right[1]) >= max(settings.min_hessian, 1e-12)) & (np.minimum(left[2], right[2]) >= settings.min_rows)
+    ok = np.minimum(left[1], right[1]) >= max(settings.min_hessian, 1e-12)
+    if counts_rows(settings):
+        ok &= np.minimum(left[2], right[2]) >= settings.min_rows
     gain = np.where(ok & mask[:, None] & np.isfinite(gain), gain, -np.inf)
     at = int(np.argmax(gain > gain.max() - 1e-9 * max(1.0, abs(float(gain.max())))))   # sums differ in their last bits
     f, cut = divmod(at, gain.shape[1])
     return (float(gain[f, cut]), f, cut, *left[:, f, cut].tolist()) if gain[f, cut] > MIN_GAIN else None
 
 
-SPLIT = "output int, node int, chunk int, gain double, feature int, cut int, lg double, lh double, ln double, g double, h double, n double"
+SPLIT = "output int, node int, chunk int, gain double, feature int, cut int, lg double, lh double, g double, h double"
 _NAMES = [c.split()[0] for c in SPLIT.split(", ")]
 
 
@@ -327,10 +349,10 @@ class Booster:
         wanted: dict[int, list[int]] = {}
         for k, node in frontier:
             wanted.setdefault(k, []).append(node)
-        offsets = np.arange(n_features) * BINS
+        planes = 3 if counts_rows(s) else 2
 
         def histograms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[tuple[int, int], np.ndarray] = {}
+            sums: dict[int, np.ndarray] = {}
             wrong = loss = 0.0
             for part in parts:
                 for row in part.itertuples(index=False):
@@ -350,17 +372,16 @@ class Booster:
                         place[nodes] = np.arange(len(nodes))
                         at = place[block.leaves(trees[k])]
                         rows = np.flatnonzero((at >= 0) & (times > 0))
-                        cell = (at[rows, None] * (n_features * BINS) + offsets + block.bins[rows]).ravel()
-                        size, m = len(nodes) * n_features * BINS, times[rows].astype(np.float64)
-                        for j, weight in enumerate((g[rows, k] * m, h[rows, k] * m, m)):
-                            counted = np.bincount(cell, np.repeat(weight, n_features), size).reshape(len(nodes), n_features, BINS)
-                            for i, node in enumerate(nodes):
-                                own = sums.get((k, node))
-                                if own is None:
-                                    own = sums[k, node] = np.zeros((3, n_features, BINS))
-                                own[j] += counted[i]
-            out = [(k, node, c, own[:, c * CHUNK:(c + 1) * CHUNK].tobytes())
-                   for (k, node), own in sums.items() for c in range((n_features + CHUNK - 1) // CHUNK)]
+                        m = times[rows].astype(np.float64)
+                        bins = block.bins if len(rows) == len(at) else block.bins[:, rows]
+                        counted = node_histograms(bins, at[rows], len(nodes), (g[rows, k] * m, h[rows, k] * m, m)[:planes])
+                        if k in sums:
+                            sums[k] += counted
+                        else:
+                            sums[k] = counted
+            out = [(k, node, c, own[:, c * CHUNK:(c + 1) * CHUNK, i * BINS:(i + 1) * BINS].tobytes())
+                   for k, own in sums.items() for i, node in enumerate(wanted[k])
+                   for c in range((n_features + CHUNK - 1) // CHUNK)]
             if measured:
                 out.append((-1, -1, 0, struct.pack("<2d", wrong, loss)))
             if out:
@@ -372,12 +393,12 @@ class Booster:
             def done():
                 k, node, chunk = at
                 if k < 0:
-                    return [(k, node, chunk, 0.0, -1, 0, total[0], total[1], 0.0, 0.0, 0.0, 0.0)]
-                cube = total.reshape(3, -1, BINS)
-                g, h, n = cube[:, 0].sum(axis=1).tolist()
+                    return [(k, node, chunk, 0.0, -1, 0, total[0], total[1], 0.0, 0.0)]
+                cube = total.reshape(planes, -1, BINS)
+                g, h = cube[:2, 0].sum(axis=1).tolist()
                 mask = masks[k, node][chunk * CHUNK:(chunk + 1) * CHUNK]
-                gain, f, *rest = best_split(cube, s, mask) or (0.0, -1, 0, 0.0, 0.0, 0.0)
-                return [(k, node, chunk, gain, f + chunk * CHUNK if f >= 0 else -1, *rest, g, h, n)]
+                gain, f, cut, lg, lh, *_ = best_split(cube, s, mask) or (0.0, -1, 0, 0.0, 0.0)
+                return [(k, node, chunk, gain, f + chunk * CHUNK if f >= 0 else -1, cut, lg, lh, g, h)]
 
             for part in parts:
                 for *key, raw in part[["output", "node", "chunk", "sums"]].itertuples(index=False):
@@ -390,7 +411,8 @@ class Booster:
                 yield pd.DataFrame(done(), columns=_NAMES)
 
         sums = blocks.mapInPandas(histograms, "output int, node int, chunk int, sums binary")
-        tasks = min(len(frontier) * ((n_features + CHUNK - 1) // CHUNK) + 1,
+        # a node's sums are small: more tasks than cores only wait for each other
+        tasks = min(len(frontier) * ((n_features + CHUNK - 1) // CHUNK) + 1, blocks.sparkSession.sparkContext.defaultParallelism,
                     int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         rows = (sums.repartition(tasks, "output", "node", "chunk").sortWithinPartitions("output", "node", "chunk")
                 .mapInPandas(splits, SPLIT).collect())     # one row per frontier node and chunk of features
@@ -428,7 +450,7 @@ class Booster:
 
         @pandas_udf("array<double>")
         def score(values: pd.DataFrame) -> pd.Series:
-            x = values.to_numpy(np.float64)
+            x = np.asfortranarray(values.to_numpy(np.float64))
             margin = np.zeros((len(x), outputs))
             for trees in rounds:
                 for k, tree in enumerate(trees):

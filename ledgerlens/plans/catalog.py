@@ -803,8 +803,8 @@ def q_rf_predict(spark, sf_dir):
 def _two_stage(spark, sf_dir, **presets) -> DataFrame:
     def scored(rows):
         mm, train, held_out, scoring = rows
-        return {name: ML.fit_two_stage(train, held_out, mm.features, preset=preset, times="times").transform(scoring)
-                for name, preset in presets.items()}
+        models = ML.fit_presets(train, held_out, mm.features, presets, times="times")
+        return {name: model.transform(scoring) for name, model in models.items()}
 
     return _submissions(spark, sf_dir, scored, *presets)
 

@@ -159,3 +159,28 @@ def test_stacked_families_see_no_row_twice(spark, monkeypatch):
     assert asked.columns == ["ID", "period", "pred_x", "pred_y"] and asked.count() == 100
     truth = {r["ID"]: r["attrition"] for r in held.collect()}
     assert all(r["real"] == truth[r["ID"]] and r["pred_x"] == r["pred_y"] for r in known) and list(models) == ["x", "y"]
+
+
+def test_histograms_by_feature_are_the_sums(spark):
+    rng = np.random.default_rng(4)
+    bins, place = rng.integers(0, B.BINS, (5, 300)).astype(np.uint8), rng.integers(0, 3, 300)
+    weights = [rng.random(300), rng.random(300)]
+    got = B.node_histograms(bins, place, 3, weights).reshape(2, 5, 3, B.BINS)
+    want = np.zeros_like(got)
+    for j, w in enumerate(weights):
+        for f in range(5):
+            np.add.at(want[j, f], (place, bins[f]), w)
+    assert np.allclose(got, want)
+
+
+def test_presets_share_one_look_at_the_thresholds(spark, monkeypatch):
+    rows = rows_of(spark, n=200).selectExpr("a", "b", "c", "y AS attrition", "cast(y > 0 AS int) AS binary_target", "times")
+    calls, thresholds = [], ML.thresholds
+    monkeypatch.setattr(ML, "thresholds", lambda *args: calls.append(1) or thresholds(*args))
+    presets = {"deep": ML.TwoStagePreset(max_depth=2, max_iter_binary=2, max_iter_multi=2),
+               "flat": ML.TwoStagePreset(max_depth=1, max_iter_binary=3, max_iter_multi=2, min_rows=5)}
+    models = ML.fit_presets(rows, rows.limit(0), FEATURES, presets, times="times")
+    assert len(calls) == 1 and list(models) == ["deep", "flat"]
+    for name, model in models.items():
+        alone = ML.fit_two_stage(rows, rows.limit(0), FEATURES, preset=presets[name], times="times")
+        assert shape(model.binary) == shape(alone.binary) and shape(model.multi) == shape(alone.multi)
