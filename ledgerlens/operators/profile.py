@@ -34,7 +34,12 @@ def _literal(level) -> str:
 def presence(c: str, levels: Sequence, prefix: str) -> list[Column]:
     """``prefix{k}`` = 1 if any row of the group has ``c == k`` else 0.
     The indicator is built inside the aggregate, so no one-hot columns are
-    materialised before the shuffle."""
+    materialised before the shuffle. All indicators of a column read one
+    aggregate, a bit map in one long, so a partial row holds one number for them."""
+    if 0 < len(levels) <= BITMAP_LEVELS and len(set(levels)) == len(levels):
+        bits = " ".join(f"WHEN `{c}` = {_literal(k)} THEN {1 << i}L" for i, k in enumerate(levels))
+        seen = f"bit_or(CASE {bits} ELSE 0L END)"
+        return [F.expr(f"CAST(shiftright({seen}, {i}) & 1L AS INT) AS `{prefix}{k}`") for i, k in enumerate(levels)]
     return [F.expr(f"max(CASE WHEN `{c}` = {_literal(k)} THEN 1 ELSE 0 END) AS `{prefix}{k}`") for k in levels]
 
 

@@ -38,6 +38,31 @@ def plain_constraints(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Rows of wide aggregates and joins that one task should hold, and compressed bytes that small partitions are joined up to.
+ROWS_PER_TASK = 100_000
+WIDE_TARGET = "8m"
+
+
+@contextmanager
+def wide_partitions(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For jobs with rows of a hundred columns and more: their shuffled bytes are a tenth of
+    what they take in memory, so partitions joined up to the usual 64 MB do not fit a task and
+    spill. Inside the block there are shuffle partitions for ``rows`` rows, never fewer than the
+    caller's, and small ones are joined up to ``WIDE_TARGET`` only."""
+    parts, target = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = {parts: spark.conf.get(parts), target: spark.conf.get(target, None)}
+    spark.conf.set(parts, str(max(int(before[parts]), -(-rows // ROWS_PER_TASK))))
+    spark.conf.set(target, WIDE_TARGET)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 DRIVER_MEMORY_LOCAL = "8g"
 
 

@@ -190,3 +190,24 @@ def test_linear_stack_of_dependent_inputs(spark):
     assert holes.select(got.predict().alias("p")).where("p is not null").count() == 0
     with pytest.raises(ValueError):
         ML.fit_linear_stack(df.limit(0), names, "y")
+
+
+def test_presence_is_one_bit_map_per_column(spark):
+    df = spark.createDataFrame([("a", 1.0, "x"), ("a", 3.0, "o'k"), ("b", None, None), ("b", 9.0, "y")], "k string, c float, t string")
+    out = df.groupBy("k").agg(*P.presence("c", (1, 2, 3, 7), "c"), *P.presence("t", ("x", "o'k"), "t_"))
+    assert {tuple(r) for r in out.collect()} == {("a", 1, 0, 1, 0, 1, 1), ("b", 0, 0, 0, 0, 0, 0)}
+    assert {f.dataType.typeName() for f in out.schema.fields[1:]} == {"integer"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and "max(" not in plan
+
+
+def test_wide_partitions_follow_the_rows_and_are_set_back(spark):
+    from ledgerlens.session import ROWS_PER_TASK, wide_partitions
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k, None) for k in keys]
+    with pytest.raises(RuntimeError), wide_partitions(spark, 50 * ROWS_PER_TASK + 1):
+        assert [spark.conf.get(k) for k in keys] == ["51", "8m"]
+        raise RuntimeError
+    with wide_partitions(spark, 1):
+        assert spark.conf.get(keys[0]) == before[0]
+    assert [spark.conf.get(k, None) for k in keys] == before
