@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import ROWS_PER_TASK, wide_partitions
 from ..sources.materialize import stage
 from .nulls import drop_empty_columns
 
@@ -71,14 +72,26 @@ def generic_spec(value_cols: Sequence[str], count_cols: Sequence[str] | None, al
 
 def profile(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
             count_cols: Sequence[str] | None = None, alias: str = "p",
-            stats: Sequence[str] = GENERIC_STATS, drop_all_null: bool = False) -> DataFrame:
+            stats: Sequence[str] = GENERIC_STATS, drop_all_null: bool = False, few_per_key: bool = False) -> DataFrame:
     """List-driven profile: one ``groupBy(keys).agg`` for every statistic of
     every column; the group keys are kept. With ``drop_all_null`` the output
     columns that are null on every row are removed: the profile is first
     written to the shared folder (it is much smaller than its input), so the
-    non-null count and the result read it instead of aggregating twice."""
+    non-null count and the result read it instead of aggregating twice.
+
+    A task's table of groups is ten times as wide as the rows behind it. With
+    ``few_per_key`` (about a row a group, so that partial aggregation saves
+    nothing) the rows are first dealt out, ``ROWS_PER_TASK`` to a task, by all their columns;
+    a table in one large row group would otherwise be one task's groups."""
+    rows = df.count() if few_per_key else 0
+    if rows > ROWS_PER_TASK:
+        df = df.repartition(-(-rows // ROWS_PER_TASK), *df.columns)
     out = aggregate(df, keys, spec_columns(generic_spec(value_cols, count_cols, alias, stats)))
-    return drop_empty_columns(stage(out, "profile"), keep=keys) if drop_all_null else out
+    if not drop_all_null:
+        return out
+    with wide_partitions(df.sparkSession, rows):
+        staged = stage(out, "profile")
+    return drop_empty_columns(staged, keep=keys)
 
 
 #: Values of a column that fit the bit map of one long.

@@ -374,7 +374,7 @@ def _typed_customers(t: Tables) -> DataFrame:
                                      keep=set(CUSTOMER_PROFILE_KEPT), int_cols=set(FT.CUSTOMER_FLAGS)))
 def q_profile_by_id(spark, sf_dir):
     c = _typed_customers(_t(spark, sf_dir))
-    return for_check(P.profile(c, ["ID"], CUSTOMER_PROFILE_COLS, None, alias="ctm", drop_all_null=True))
+    return for_check(P.profile(c, ["ID"], CUSTOMER_PROFILE_COLS, None, alias="ctm", drop_all_null=True, few_per_key=True))
 
 
 DISTINCT_COLS = ("month", "type", "product", "entity")

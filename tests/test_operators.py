@@ -211,3 +211,14 @@ def test_wide_partitions_follow_the_rows_and_are_set_back(spark):
     with wide_partitions(spark, 1):
         assert spark.conf.get(keys[0]) == before[0]
     assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_profile_of_few_rows_a_key_is_dealt_out(spark, monkeypatch):
+    df = spark.createDataFrame([(f"k{i % 900}", float(i % 7)) for i in range(1000)], "ID string, v double").coalesce(1)
+    want = sorted(map(str, P.profile(df, ["ID"], ["v"], None, alias="p", drop_all_null=True).collect()))
+    monkeypatch.setattr(P, "ROWS_PER_TASK", 100)
+    seen, plain = [], P.aggregate
+    monkeypatch.setattr(P, "aggregate", lambda d, *more: seen.append(d) or plain(d, *more))
+    got = P.profile(df, ["ID"], ["v"], None, alias="p", drop_all_null=True, few_per_key=True)
+    assert sorted(map(str, got.collect())) == want
+    assert seen[0].rdd.getNumPartitions() == 10 and max(map(len, seen[0].rdd.glom().collect())) < 300
