@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators.nulls import clean_doubles, fill_with_means, fill_zero
 from ..operators.profile import presence, spec_columns
-from ..operators.resample import hash_split, rebalance, rebalance_counted
+from ..operators.resample import hash_split, rebalance_counted, rebalance_stored
 from ..session import plain_constraints
 from ..sources.materialize import stage
 
@@ -265,7 +265,7 @@ def training_rows(matrix: ModelMatrix, n: int, weights: Sequence[float] | None =
     rebalanced, so no copy of a held-out row can reach a fit."""
     train = matrix.train.where(F.col(split_col) == "train").drop(split_col)
     held_out = matrix.train.where(F.col(split_col) == "test").drop(split_col)
-    return rebalance(train, label, ("ID", "period"), n, weights, seed=seed, allow_absent=True), held_out
+    return rebalance_stored(train, label, ("ID", "period"), n, weights, seed=seed, allow_absent=True), held_out
 
 
 def counted_training_rows(matrix: ModelMatrix, n: int, weights: Sequence[float] | None = None, label: str = "attrition",

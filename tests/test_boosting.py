@@ -184,3 +184,18 @@ def test_presets_share_one_look_at_the_thresholds(spark, monkeypatch):
     for name, model in models.items():
         alone = ML.fit_two_stage(rows, rows.limit(0), FEATURES, preset=presets[name], times="times")
         assert shape(model.binary) == shape(alone.binary) and shape(model.multi) == shape(alone.multi)
+
+
+def test_stored_rows_are_drawn_without_a_second_copy(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, None if i == 7 else i % 10 // 4, f"v{i}") for i in range(200)] + [(None, 1, "none")],
+                                 "id long, y int, v string")
+    staged, hashed = [], R.hashed_rows
+    monkeypatch.setattr(R, "hashed_rows", lambda df, *more: staged.append(df.columns) or hashed(df, *more))
+    for weights in (None, [0.7, 0.3]):
+        want = Counter(map(str, R.rebalance(rows, "y", ["id"], 150, weights).collect()))
+        staged.clear()
+        got = R.rebalance_stored(rows, "y", ["id"], 150, weights)
+        assert Counter(map(str, got.collect())) == want and staged == [["id", "y"]]
+        monkeypatch.setattr(R, "MAX_BROADCAST_DRAWS", 10)        # the join without a broadcast
+        assert Counter(map(str, R.rebalance_stored(rows, "y", ["id"], 150, weights).collect())) == want
+    assert R.rebalance_stored(rows.limit(0), "y", ["id"], 5).count() == 0
