@@ -713,12 +713,14 @@ def q_csv_text_roundtrip(spark, sf_dir):
 @query("text_star_join", WIDE_SQL)
 def q_text_star_join(spark, sf_dir):
     """The star join from staged text: the five tables are written as
-    ``|``-separated files and read back by column name."""
+    packed ``|``-separated files and read back by column name."""
     t = _t(spark, sf_dir)
+    largest = t("lineitem").count()
 
     def through_text(df: DataFrame, name: str) -> DataFrame:
         path = shared_path(spark, f"{name}_csv")
-        write_csv(df.select(*sorted(df.columns)), path, sep="|")
+        with wide_partitions(spark, largest):
+            write_csv(df.select(*sorted(df.columns)), path, sep="|", compression="gzip")
         return read_csv(spark, path, schema=df.schema, sep="|").select(*df.columns)
 
     feats = [through_text(f, n) for n, f in (

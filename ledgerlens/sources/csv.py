@@ -45,10 +45,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
                          else F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name) for f in wanted.fields])
 
 
-def write_csv(df: DataFrame, path: str, sep: str = "|", header: bool = True, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, sep: str = "|", header: bool = True, mode: str = "overwrite",
+              compression: str | None = None) -> None:
     """Delimited sink: one file per task, written in parallel (never
-    collected to the driver)."""
+    collected to the driver). With ``compression`` (``gzip``) the files are packed; a
+    packed file is read by one task, as any file whose values may hold line ends."""
     marked = df.select(*[F.when(F.col(f"`{f.name}`").rlike(r"^\\+N$"), F.concat(F.lit("\\"), F.col(f"`{f.name}`")))
                          .otherwise(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType)
                          else F.col(f"`{f.name}`") for f in df.schema.fields])
-    marked.write.mode(mode).options(**FORMAT).option("header", header).option("sep", sep).csv(path)
+    marked.write.mode(mode).options(**FORMAT).option("header", header).option("sep", sep).csv(path, compression=compression)

@@ -125,3 +125,17 @@ def test_clear_staged_leaves_tables(spark):
     staged = stage(spark.range(2), "x").staged_path
     clear_staged(spark)
     assert not exists(spark, staged) and kept.count() == 6
+
+
+def test_packed_text_comes_back_whole(spark, tmp_path):
+    from ledgerlens.sources.csv import read_csv, write_csv
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a|b\n\"c\"", "", None, " x ", "\\N", "same " * 500])], "i int, t string")
+    sizes = {}
+    for codec in (None, "gzip"):
+        path = f"{tmp_path}/{codec}"
+        write_csv(rows, path, compression=codec)
+        assert sorted(map(tuple, read_csv(spark, path, schema=rows.schema, sep="|").collect()), key=lambda r: r[0]) == [tuple(r) for r in rows.collect()]
+        files = [f for f in (tmp_path / str(codec)).iterdir() if f.name.startswith("part-")]
+        assert all(f.name.endswith(".csv.gz" if codec else ".csv") for f in files)
+        sizes[codec] = sum(f.stat().st_size for f in files)
+    assert sizes["gzip"] < sizes[None]
