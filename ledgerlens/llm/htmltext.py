@@ -3,23 +3,26 @@
 A page becomes blocks of text: inside a declared article container, chrome
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, by
 element name or by the words of class, id and role), or loose. Container blocks are
-the article. On pages without a container the host's suffix array decides:
-the loose and chrome tokens of all pages of a host form one stream, suffixes are
-brought together by their first ``MIN_RUN`` tokens, and where a prefix starts
-on two distinct pages of the host the run is boilerplate and its tokens are
-removed; unique runs of loose blocks are kept, chrome goes either way.
-
-The suffix array is never held whole: a host may own a third of all pages.
-Spark groups the suffixes by (host, prefix) with partial aggregation, which
-gives exactly the buckets of the array in which common prefixes are at least
-``MIN_RUN`` long. Container text is left out of it, since articles themselves are
+the article. On loose blocks, beside a container as on pages without one, the
+host's suffix array decides: the loose and chrome tokens of a page form its stream,
+the suffixes of all streams of a host are sorted, and where neighbours on
+two distinct pages have a common prefix of ``MIN_RUN`` tokens the run is boilerplate and its
+tokens are removed; unique runs of loose blocks are kept, chrome goes either way.
+
+One Spark sort by host and suffix builds the suffix arrays of all hosts, so that one host may
+own a third of all pages and still be spread over many tasks. Tokens are ordered by their
+64-bit hash, suffixes by their first ``MIN_RUN`` tokens and then by page and place: a
+longer common prefix changes no verdict, since its tokens are covered by the runs that start
+inside it, and a suffix shorter than a run shares none. Common prefixes are taken between
+neighbours of the sorted rows, and between the last and first rows of adjoining
+partitions. Container text is left out, since articles themselves are
 repeated within hosts (copies, quoted passages) and must stay whole.
 
 Defined results: null, empty and markup-only pages have the empty text; broken
 markup is read as browsers do for the cases that matter here (implied end
 tags, stray end tags, unclosed elements, truncated pages), in time linear in
-its open elements; repeated rows, and pages without a container that have the same
-loose text, are one page for the suffix array and each get their row, so copies
+its open elements; repeated rows, and pages with loose text whose container and loose texts
+are the same, are one page for the suffix array and each get their row, so copies
 keep their text; a null url is a host of its own (the empty one); other columns are ignored; an empty table gives no rows.
 """
 
@@ -31,13 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import stored, with_row_id
 from .urlfilter import host_and_path
 
 MIN_RUN = 8
+BATCH_SUFFIXES = 50_000   # that a task hands over at a time
 
 TAG = re.compile(r"<(?:!--|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 ATTRS = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
@@ -189,66 +195,127 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The container text of every page, its loose and chrome blocks, and
-    whether its text depends on these (no container, some loose text). Such pages
-    with equal loose blocks are one page to the repeat test."""
+    """The container text of every page, its blocks, and whether its text depends on the
+    suffix array (some loose text). Such pages with equal container and loose blocks are
+    one page to the repeat test; other pages keep only blocks outside the container."""
     import xxhash
     for b in batches:
         kinds, texts, main, undecided, keys = [], [], [], [], []
         for page, key in zip(b["html"], b["page"]):
             found = blocks(page) if isinstance(page, str) else []
-            rest = [(k, t) for k, t in found if k != MAIN]
-            kinds.append([k for k, _ in rest])
-            texts.append([t for _, t in rest])
-            main.append("\n".join([t for k, t in found if k == MAIN]))
-            undecided.append(len(rest) == len(found) and LOOSE in kinds[-1])
+            article = "\n".join([t for k, t in found if k == MAIN])
+            undecided.append(any(k == LOOSE for k, _ in found))
             if undecided[-1]:
-                loose = "\n".join([t for k, t in rest if k == LOOSE])
-                key = np.uint64(xxhash.xxh3_64_intdigest(loose)).astype(np.int64)
+                loose = "\n".join([t for k, t in found if k == LOOSE])
+                key = np.uint64(xxhash.xxh3_64_intdigest(f"{article}\0{loose}")).astype(np.int64)
+                article = ""
+            else:
+                found = [(k, t) for k, t in found if k != MAIN]
+            kinds.append([k for k, _ in found])
+            texts.append([t for _, t in found])
+            main.append(article)
             keys.append(key)
         yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "page": keys, "host": b["host"],
                             "text": main, "kinds": kinds, "texts": texts, "undecided": undecided})
 
 
-def suffix_keys(tokens: list[str], run: int = MIN_RUN) -> np.ndarray:
-    """Hash of the first ``run`` tokens of every suffix that long."""
+def suffix_heads(tokens: list[str], run: int = MIN_RUN) -> np.ndarray:
+    """The first ``run`` tokens of every suffix that long, as a row of big-endian hashes each."""
     import xxhash
-    if len(tokens) < run:
-        return np.zeros(0, np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), np.uint64, len(tokens))
-    out = np.zeros(len(tokens) - run + 1, np.uint64)
-    for i in range(run):
-        out = (out ^ h[i:i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+    ids = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), np.uint64, len(tokens)).astype(">u8")
+    return np.lib.stride_tricks.sliding_window_view(ids, run) if len(ids) >= run else ids[:0].reshape(0, run)
 
 
 def _suffixes(run: int):
+    def rows(b: pd.DataFrame, held: list) -> pd.DataFrame:
+        of = np.repeat([i for i, _, _ in held], [len(heads) for _, _, heads in held])
+        raw, width = b"".join([heads.tobytes() for _, _, heads in held]), 8 * run
+        return pd.DataFrame({"_rid": b["_rid"].to_numpy()[of], "page": b["page"].to_numpy()[of],
+                             "host": b["host"].to_numpy()[of],
+                             "at": np.concatenate([np.arange(at, at + len(heads)) for _, at, heads in held]),
+                             "head": [raw[i:i + width] for i in range(0, len(raw), width)]})
+
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [suffix_keys(" ".join(t).split(), run) for t in b["texts"]]
-            n = [len(k) for k in keys]
-            yield pd.DataFrame({"_rid": np.repeat(b["_rid"].to_numpy(), n), "page": np.repeat(b["page"].to_numpy(), n),
-                                "host": np.repeat(b["host"].to_numpy(), n),
-                                "undecided": np.repeat(b["undecided"].to_numpy(), n),
-                                "at": np.concatenate([np.arange(x) for x in n]) if n else [],
-                                "key": np.concatenate(keys) if n else []})
+            held, n = [], 0
+            for i, (kinds, texts) in enumerate(zip(b["kinds"], b["texts"])):
+                heads = suffix_heads([t for k, x in zip(kinds, texts) if k != MAIN for t in x.split()], run)
+                for at in range(0, len(heads), BATCH_SUFFIXES):
+                    held.append((i, at, heads[at:at + BATCH_SUFFIXES]))
+                    n += len(held[-1][2])
+                    if n >= BATCH_SUFFIXES:
+                        yield rows(b, held)
+                        held, n = [], 0
+            if held:
+                yield rows(b, held)
     return go
 
 
+def suffixes(parsed: DataFrame, run: int = MIN_RUN) -> DataFrame:
+    """Every suffix of every page's stream: its place ``at`` and its first ``run`` tokens."""
+    return parsed.select("_rid", "page", "host", "kinds", "texts").mapInPandas(
+        _suffixes(run), "_rid long, page long, host string, at int, head binary")
+
+
+def suffix_array(parsed: DataFrame, run: int = MIN_RUN) -> DataFrame:
+    """The sorted suffixes of all hosts, in one global order. Page, place and row break ties, so that
+    a run that stands on every page is spread over tasks like any other."""
+    return suffixes(parsed, run).orderBy("host", "head", "page", "at", "_rid")
+
+
+def common_prefixes(heads: list[bytes], run: int = MIN_RUN) -> np.ndarray:
+    """Tokens that each suffix but the first shares with the one before it, up to ``run``."""
+    ids = np.frombuffer(b"".join(heads), np.uint64).reshape(-1, run)
+    return np.cumprod(ids[1:] == ids[:-1], axis=1).sum(axis=1)
+
+
+def _neighbours(run: int):
+    """Suffixes that share a run with their neighbour on another page, one of each run and
+    batch (edge 0), and the first and last suffix of the partition (edges 1 and 2)."""
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, last = TaskContext.get().partitionId(), None
+        for b in batches:
+            if not len(b):
+                continue
+            if last is None:
+                yield b[:1].assign(part=part, edge=1)
+            else:
+                b = pd.concat([last, b], ignore_index=True)
+            host, page = b["host"].to_numpy(), b["page"].to_numpy()
+            shared = (common_prefixes(b["head"], run) == run) & (host[1:] == host[:-1]) & (page[1:] != page[:-1])
+            yield b[1:][shared].drop_duplicates(["host", "head"]).assign(part=part, edge=0)
+            last = b[-1:]
+        if last is not None:
+            yield last.assign(part=part, edge=2)
+    return go
+
+
+def repeated_runs(array: DataFrame, run: int = MIN_RUN) -> DataFrame:
+    """(host, head) of the runs that two distinct pages of the host share, from neighbours in the suffix array."""
+    found = stored(array.select("host", "head", "page").mapInPandas(
+        _neighbours(run), "part int, edge int, host string, head binary, page long"), "suffix-neighbours")
+    order = W.orderBy("part", "edge")     # two rows of each partition
+    ends = found.where("edge > 0").select("host", "head", "page", *[F.lag(c).over(order).alias(f"_{c}")
+                                                                    for c in ("host", "head", "page")])
+    across = ends.where("host = _host and head = _head and page <> _page")
+    return found.where("edge = 0").select("host", "head").unionByName(across.select("host", "head")).distinct()
+
+
 def _unique_runs(run: int):
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = []
             for kinds, parts, starts in zip(b["kinds"], b["texts"], b["starts"]):
-                split = [p.split() for p in parts]
+                split = [[] if k == MAIN else p.split() for k, p in zip(kinds, parts)]
                 covered = np.zeros(sum(map(len, split)) + 1, np.int64)
                 for s in starts if starts is not None else ():
                     covered[s] += 1
                     covered[min(s + run, len(covered) - 1)] -= 1
                 hit = np.cumsum(covered) > 0
                 left, at = [], 0
-                for kind, tokens in zip(kinds, split):
+                for kind, part, tokens in zip(kinds, parts, split):
+                    if kind == MAIN:
+                        left.append(part)
                     own = [t for t, c in zip(tokens, hit[at:at + len(tokens)]) if not c]
                     at += len(tokens)
                     if kind == LOOSE and own:
@@ -271,11 +338,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         _parsed, "page_id string, url string, page long, host string, text string, kinds array<int>, "
                  "texts array<string>, undecided boolean")), "parsed-pages")
     decided = parsed.where("not undecided").select("page_id", "url", "text")
-    suffixes = parsed.select("_rid", "page", "host", "undecided", "texts").mapInPandas(
-        _suffixes(min_run), "_rid long, page long, host string, undecided boolean, at int, key long")
-    repeated = (suffixes.groupBy("host", "key").agg(F.min("page").alias("a"), F.max("page").alias("b"))
-                .where("a <> b").select("host", "key"))
-    starts = (suffixes.where("undecided").select("_rid", "host", "key", "at").join(repeated, ["host", "key"])
+    repeated = repeated_runs(suffix_array(parsed, min_run), min_run)
+    starts = (suffixes(parsed.where("undecided"), min_run).join(repeated, ["host", "head"])
               .groupBy("_rid").agg(F.collect_list("at").alias("starts")))
     rest = (parsed.where("undecided").select("_rid", "page_id", "url", "kinds", "texts").join(starts, "_rid", "left")
             .select("page_id", "url", "kinds", "texts", "starts")

@@ -99,3 +99,46 @@ def test_copies_without_a_container_keep_their_text(spark):
     got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
     both = f"{menu}\n{body}"
     assert got == {1: both, 2: both, 3: both, 4: body, 5: "other words only", 6: "own text", 7: ""}
+
+
+def test_suffix_array_is_sorted_and_its_neighbours_give_the_repeats(spark):
+    import xxhash
+    rng, run = random.Random(5), 3
+    pages = [(i, i // 2, rng.choice(["a.com", "b.com"]),     # two rows of each page
+              [(rng.choice([H.LOOSE, H.CHROME, H.MAIN]), " ".join(rng.choice("pqrs") for _ in range(rng.randrange(9)))) for _ in range(3)])
+             for i in range(60)]
+    parsed = spark.createDataFrame([(i, page, host, [k for k, _ in b], [t for _, t in b]) for i, page, host, b in pages],
+                                   "_rid long, page long, host string, kinds array<int>, texts array<string>")
+    want, owners = [], {}
+    for i, page, host, b in pages:
+        tokens = [t for k, x in b if k != H.MAIN for t in x.split()]
+        for at in range(len(tokens) - run + 1):
+            head = b"".join(xxhash.xxh3_64_intdigest(t).to_bytes(8, "big") for t in tokens[at:at + run])
+            want.append((host, head, page, at, i))
+            owners.setdefault((host, head), set()).add(page)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")       # runs lie across the ends of partitions
+    try:
+        array = H.suffix_array(parsed, run)
+        got = [(r["host"], bytes(r["head"]), r["page"], r["at"], r["_rid"]) for r in array.collect()]
+        repeated = {(r["host"], bytes(r["head"])) for r in H.repeated_runs(array, run).collect()}
+        parts = array.rdd.getNumPartitions()
+    finally:
+        spark.conf.set(key, before)
+    assert parts > 1 and got == sorted(want)
+    assert repeated == {k for k, p in owners.items() if len(p) > 1} and len(repeated) < len(owners)
+    lengths = H.common_prefixes([w[1] for w in got], run)
+    assert [int(n) for n in lengths] == [next((j for j in range(run) if a[1][8 * j:8 * j + 8] != b[1][8 * j:8 * j + 8]), run)
+                                         for a, b in zip(got, got[1:])]
+
+
+def test_the_array_decides_on_loose_text_beside_a_container(spark):
+    line = "read this site every day for news of all kinds and tell your friends"
+    page = "<body><div>{0}</div><p>{1} leads</p><article><p>words of {1}</p></article><nav>menu</nav><p>{1} notes</p></body>"
+    rows = [(i, f"http://a.com/{i}", page.format(line, f"page{i}")) for i in (1, 2)]
+    rows += [(3, "http://b.com/3", page.format(line, "page3")), (4, "http://b.com/4", page.format(line, "page3"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(df, min_run=5).collect()}
+    own = {i: f"page{i} leads\nwords of page{i}\npage{i} notes" for i in (1, 2, 3)}
+    assert got == {1: own[1], 2: own[2], 3: f"{line}\n{own[3]}", 4: f"{line}\n{own[3]}"}
