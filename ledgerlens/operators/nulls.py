@@ -36,12 +36,17 @@ def column_means(df: DataFrame, cols: Sequence[str], by: str | None = None) -> D
     return df.groupBy(by).agg(*[F.expr(m) for m in means]) if by else df.selectExpr(*means)
 
 
+def known_means(clean: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """The mean of every column that has one (NaN where infinities of both signs meet)."""
+    row = column_means(clean, cols).first()
+    return {c: row[c] for c in cols if row[c] is not None}
+
+
 def fill_with_means(clean: DataFrame, cols: Sequence[str], fitted_on: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Fill null doubles with the means of ``fitted_on`` (``clean`` itself by
     default), which are one row, in a single projection. Also returns the
     columns that had a mean."""
-    row = column_means(fitted_on if fitted_on is not None else clean, cols).first()
-    means = {c: row[c] for c in cols if row[c] is not None}
+    means = known_means(fitted_on if fitted_on is not None else clean, cols)
     return (clean.fillna(means) if means else clean), [c for c in cols if c in means]
 
 

@@ -9,6 +9,7 @@ so the star join over them needs no further exchange for them."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators.nulls import clean_doubles, fill_with_means, fill_zero
+from ..operators.nulls import clean_doubles, fill_with_means, fill_zero, known_means
 from ..operators.profile import presence, spec_columns
 from ..operators.resample import hash_split, rebalance_counted, rebalance_stored
 from ..session import plain_constraints
@@ -219,7 +220,7 @@ NOT_FEATURES = ("ID", "period", "partition", "key")
 
 def feature_matrix(wide: DataFrame, label: str = "attrition", split_col: str = "split",
                    seed: int = 2020, eval_fraction: float = 0.2, fit_on: str = "each_split",
-                   train_only: bool = False) -> ModelMatrix:
+                   train_only: bool = False, staged: bool = True) -> ModelMatrix:
     """Feature list (sorted), double casts, mean imputation per split,
     complete training rows, integer and binary targets, and a repeatable
     80/20 split. ``wide`` should be a stored table: each split is read by a
@@ -232,7 +233,8 @@ def feature_matrix(wide: DataFrame, label: str = "attrition", split_col: str = "
 
     Each split is filled with its own means; with ``fit_on="train"`` scoring rows get
     the training split's. With ``train_only`` the training split's means leave
-    out the held-out rows."""
+    out the held-out rows. Without ``staged`` the splits are projections over ``wide``, for a
+    caller that reads each part once or stores what it makes of it."""
     if fit_on not in ("each_split", "train"):
         raise ValueError(f"fit_on: {fit_on!r}")
     cols = C.columns_except(wide, NOT_FEATURES)
@@ -246,16 +248,21 @@ def feature_matrix(wide: DataFrame, label: str = "attrition", split_col: str = "
     if train_only:
         fitted = hash_split(train, ("ID", "period"), 1.0 - eval_fraction, seed=seed, col=split_col).where(
             F.col(split_col) == "train")
-    train, in_train = fill_with_means(train, features, fitted)
+    means = known_means(fitted, features)
+    train, in_train = (train.fillna(means) if means else train), [f for f in features if f in means]
     validation, in_test = fill_with_means(validation, features, fitted if fit_on == "train" else None)
     usable = [f for f in in_train if f in set(in_test)] if in_test else in_train
-    train = (train.dropna(how="any", subset=usable + [label])
+    # a filled column is incomplete only where its mean is no number; the others need not be asked row by row
+    gaps = [f for f in usable if math.isnan(means[f])]
+    train = (train.dropna(how="any", subset=[*gaps, label])
              .withColumn(label, F.col(label).cast("bigint"))
              .withColumn("binary_target", C.binary_target(label)))
     train = hash_split(train, ("ID", "period"), 1.0 - eval_fraction, seed=seed, col=split_col)
-    with plain_constraints(wide.sparkSession):
-        train = stage(train.select("ID", "period", *features, label, "binary_target", split_col), "matrix-train")
-        validation = stage(validation.select("ID", "period", *features), "matrix-validation")
+    train = train.select("ID", "period", *features, label, "binary_target", split_col)
+    validation = validation.select("ID", "period", *features)
+    if staged:
+        with plain_constraints(wide.sparkSession):
+            train, validation = stage(train, "matrix-train"), stage(validation, "matrix-validation")
     return ModelMatrix(train, validation, usable)
 
 

@@ -172,3 +172,42 @@ def test_all_levels_and_means_of_the_training_part(spark):
 def test_model_matrix_takes_the_documented_draws():
     from ledgerlens.plans import catalog
     assert catalog.MATRIX_DRAWS == 220_000 and "range(0, 220000)" in catalog._matrix_sql()
+
+
+def test_matrix_that_is_not_staged_has_the_same_rows(spark):
+    inf = float("inf")
+    rows = [(f"c{i}", "p", i % 2, "train", float(i) if i % 3 else None, (inf, -inf, None, 1.0)[i % 4]) for i in range(1, 60)]
+    rows += [("n", "p", None, "train", 1.0, 1.0), ("t", "p", None, "test", 3.0, 2.0)]
+    wide = spark.createDataFrame(rows, "ID string, period string, attrition int, partition string, v double, w double")
+    once, again = FT.feature_matrix(wide), FT.feature_matrix(wide, staged=False)
+    assert once.features == again.features == ["v", "w"] and once.train.dtypes == again.train.dtypes
+    kept = sorted(map(tuple, once.train.collect()))
+    assert kept == sorted(map(tuple, again.train.collect()))
+    # the mean of w is no number, so its nulls stay incomplete and drop their rows
+    assert {r[0] for r in kept} == {f"c{i}" for i in range(1, 60) if i % 4 != 2}
+    assert again.validation.count() == 1 and "matrix-" not in " ".join(again.train.inputFiles())
+
+
+def test_counted_draws_do_not_shuffle_wide_rows(spark):
+    path = shared_path(spark, "wide-rows")
+    spark.range(500).selectExpr("id", "id % 10 DIV 4 AS y", *[f"id + {i} AS c{i}" for i in range(5)]).write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = R.rebalance_counted(spark.read.parquet(path), "y", ["id"], 40)
+        assert got.agg(F.sum("times")).first()[0] == 200 + 2 * 40
+        joins = [n for n in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in n]
+        assert "BroadcastHashJoin" in joins[0] and "LeftOuter" in joins[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_forest_rows_are_assembled_once(spark):
+    from ledgerlens.plans import catalog
+    mm, train, held_out, scoring = catalog.forest_rows(spark, "/root/testdata/sf0.001")
+    _, plain, held, asked = catalog.counted_rows(spark, "/root/testdata/sf0.001")
+    assert train.columns == ["ID", "period", "attrition", "times", "features"] and "forest-rows" in train.inputFiles()[0]
+    got = {(r["ID"], r["period"]): (r["attrition"], r["times"], r["features"].toArray().tolist()) for r in train.collect()}
+    assert got == {(r["ID"], r["period"]): (r["attrition"], r["times"], [r[c] for c in mm.features]) for r in plain.collect()}
+    for a, b in ((held_out, held), (scoring, asked)):
+        assert sorted(map(tuple, a.select("ID", "period", *mm.features[:9]).collect())) == sorted(
+            map(tuple, b.select("ID", "period", *mm.features[:9]).collect()))
