@@ -24,6 +24,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BATCH = "8m"
+
+
+def bound_text_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python in Arrow batches of about ``TEXT_BATCH``
+    at most, not of 10,000 rows of any length: a task holds a batch several times
+    over, on both sides of the pipe. A setting of the session, since a frame reads
+    it when it runs, after its operator has returned; a caller's own value stays.
+    No result depends on it."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, TEXT_BATCH)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is. Pure ASCII texts take
     the built-in ``lower``, which is the same there and much cheaper."""

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stored, text_chunks, with_row_id
+from .common import LOWER, UPPER, bound_text_batches, stored, text_chunks, with_row_id
 from .components import UnionFind, components
 
 SHINGLE = 5
@@ -239,6 +239,7 @@ def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_co
 
 
 def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    bound_text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"),
                       F.xxhash64(F.col(text_col)).alias("text_key"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bestfit import pack_histogram
-from .common import rank_within, stored, text_chunks, with_row_id
+from .common import bound_text_batches, rank_within, stored, text_chunks, with_row_id
 
 CAPACITY = 4096
 END_ID = 1
@@ -196,6 +196,7 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int, with_ids: bool):
 
 def document_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
                     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    bound_text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     # ids travel as text: pandas would turn whole numbers with a null among them into floats
     own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))

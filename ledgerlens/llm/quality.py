@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
+from .common import bound_text_batches
 
 ORDERS = (3,)
 BITS = 12
@@ -152,6 +153,7 @@ def fit(rated: DataFrame, max_rated: int = MAX_RATED) -> Model:
 def grade_column(docs: DataFrame, model: Model, text_col: str = "text"):
     """Column struct(expected, tail): the expected grade above the lowest, and
     the probability of more than the lowest grade."""
+    bound_text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("expected double, tail double")

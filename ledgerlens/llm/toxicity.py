@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import stored
+from .common import bound_text_batches, stored
 
 WINDOW, OVERLAP = 64, 16
 HIDDEN = 8
@@ -54,6 +54,7 @@ TRAIN_WINDOWS = 512          # of one text; see module doc
 STEPS, BATCH, RATE = 560, 64, 0.02
 SEGMENT_CHARS, CARRY_CHARS = 1_000_000, 1_000
 MAX_KNOWN = 150_000          # distinct words a task remembers
+FLUSH_WORDS = 16_384         # of them, whose n-grams are worked out together
 INPUTS = 3 + len(CHAR_ORDERS)
 
 FIND = re.compile(r"\w+").findall
@@ -186,7 +187,7 @@ class Network:
         """Window logits. ``ids`` [window, T] are rows of ``gates``."""
         w, steps = ids.shape
         h = HIDDEN
-        table = np.ascontiguousarray(gates.transpose(1, 0, 2))
+        table = gates.reshape(-1, 3 * h)                  # row 2 * id + direction
         u = self.p["u"]
         scores = np.empty((steps, w), np.float32)
         values = np.empty((steps, w), np.float32)
@@ -194,7 +195,7 @@ class Network:
         for d in (0, 1):
             state = np.zeros((w, h), np.float32)
             for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                g = table[d][ids[:, t]]
+                g = table[2 * ids[:, t] + d]
                 s = state @ u[d]
                 zr = g[:, :2 * h] + s[:, :2 * h]
                 np.tanh(zr * np.float32(0.5), out=zr)     # sigmoid(x) = (1 + tanh(x / 2)) / 2
@@ -324,7 +325,8 @@ class Scorer:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.gates = np.zeros((1, 2, 3 * HIDDEN), np.float32)    # row 0: padding
+        self.gates = np.zeros((MAX_KNOWN, 2, 3 * HIDDEN), np.float32)    # row 0: padding; room is filled in place
+        self.used = 1
 
     def _ids(self, words: list[list[str]]) -> np.ndarray:
         if len(self.known) > MAX_KNOWN:
@@ -334,9 +336,13 @@ class Scorer:
         missing = np.flatnonzero(index < 0).tolist()
         new = list({flat[i] for i in missing})
         if new:
-            base = len(self.gates)
-            self.gates = np.concatenate((self.gates, self.m.net.project(inputs(new, self.m.tables))))
-            self.known.update(zip(new, range(base, base + len(new))))
+            base, made = self.used, self.m.net.project(inputs(new, self.m.tables))
+            self.used += len(new)
+            if self.used > len(self.gates):
+                self.gates = np.concatenate((self.gates[:base], made))
+            else:
+                self.gates[base:self.used] = made
+            self.known.update(zip(new, range(base, self.used)))
             index[missing] = [self.known[flat[i]] for i in missing]
         return index
 
@@ -398,12 +404,15 @@ def _counted(labelled: DataFrame) -> DataFrame:
 
         def flush(half: int, label: int) -> Iterator[pd.DataFrame]:
             counter = seen.pop((half, label))
-            words, n = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
-            own, chars, owners = word_keys(words)
-            grams, back = np.unique(np.concatenate(chars), return_inverse=True)
-            times = np.bincount(back, n[np.concatenate(owners)], len(grams)).astype(np.int64)
-            for is_chars, k, c in ((False, own, n), (True, grams, times)):
-                yield pd.DataFrame({"chars": is_chars, "key": k.view(np.int64), "cell": np.int32(2 * half + label), "n": c})
+            ordered = sorted(counter)                   # words that begin alike share their n-grams
+            for at in range(0, len(ordered), FLUSH_WORDS):
+                words = ordered[at:at + FLUSH_WORDS]
+                n = np.fromiter(map(counter.__getitem__, words), np.int64, len(words))
+                own, chars, owners = word_keys(words)
+                grams, back = np.unique(np.concatenate(chars), return_inverse=True)
+                times = np.bincount(back, n[np.concatenate(owners)], len(grams)).astype(np.int64)
+                for is_chars, k, c in ((False, own, n), (True, grams, times)):
+                    yield pd.DataFrame({"chars": is_chars, "key": k.view(np.int64), "cell": np.int32(2 * half + label), "n": c})
 
         for b in batches:
             for half, label, text in zip(b["half"].tolist(), b["label"].tolist(), b["text"]):
@@ -464,6 +473,7 @@ def _sample(rows: DataFrame, bounds: tuple[int, int], counts: dict[int, int]) ->
 def fit(labelled: DataFrame, seed: int = 7) -> Model:
     """``labelled``: key, text, label (0 or 1; others are left out)."""
     spark = labelled.sparkSession
+    bound_text_batches(spark)
     rows = labelled.where("label in (0, 1) and text is not null").withColumn("label", F.col("label").cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(8)).cast("int"))
     rows = stored(rows.select("key", "text", "label", "part", (F.col("part") % 2).alias("half")), "labelled")
@@ -560,6 +570,7 @@ def _calibrate(rows: DataFrame, sizes: dict, crossed, model: Model) -> np.ndarra
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """Column of probabilities for ``docs``."""
+    bound_text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

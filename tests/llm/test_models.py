@@ -252,3 +252,82 @@ def test_quality_scores_are_features_times_weights(monkeypatch):
         return quality.SCALE * total / (n + quality.HOLD) + quality.SHAPE_SCALE * sum(weights[b] for b in quality.shape_bins(text))
 
     assert np.allclose(got, [plain(t) for t in texts], rtol=1e-4, atol=1e-4)
+
+
+def counting():
+    """The counting function of a task, as it is given to Spark."""
+    class Rows:
+        def mapInPandas(self, run, schema):
+            self.run = run
+            raise StopIteration
+
+    rows = Rows()
+    with pytest.raises(StopIteration):
+        toxicity._counted(rows)
+    return rows.run
+
+
+def test_counting_works_out_few_words_at_once():
+    import tracemalloc
+
+    import pandas as pd
+    words = [f"word{i * 7919 % 1_000_003}x" for i in range(140_000)]
+    batch = pd.DataFrame({"half": [0], "label": [1], "text": [" ".join(words * 2)]})
+    run = counting()
+    tracemalloc.start()
+    total = grams = 0
+    for f in run(iter([batch])):
+        if f["chars"].any():
+            grams += int(f["n"].sum())
+        else:
+            total += int(f["n"].sum())
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert total == 280_000 and grams == 2 * sum(max(0, len(w) + 3 - n) for w in words for n in toxicity.CHAR_ORDERS)
+    assert peak < 100, peak                 # of which the words themselves are some 30
+
+
+def test_counts_do_not_depend_on_what_is_flushed_together(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i % 2, prose(rng, rng.choice(list(LANGS)), 40), i % 3 % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "half int, text string, label int").repartition(2)
+    want = sorted(map(tuple, toxicity._counted(df).collect()))
+    monkeypatch.setattr(toxicity, "FLUSH_WORDS", 7)
+    monkeypatch.setattr(toxicity, "MAX_KNOWN", 50)
+    assert sorted(map(tuple, toxicity._counted(df).collect())) == want
+
+
+def test_scores_do_not_depend_on_the_room_for_words(monkeypatch):
+    rng = np.random.default_rng(5)
+    net, texts = toxicity.Network(rng), [" ".join(f"w{rng.integers(0, 900)}" for _ in range(200)) for _ in range(12)]
+    keys = toxicity.word_keys([f"w{i}" for i in range(900)])[0]
+    tables = (toxicity.Table(keys, rng.normal(size=900), rng.random(900)), toxicity.Table(keys[:0], np.zeros(0)))
+    model = toxicity.Model(tables, net, np.array([1.0, 0, 0, 0]))
+    want = toxicity.Scorer(model).probabilities(texts)
+    monkeypatch.setattr(toxicity, "MAX_KNOWN", 300)
+    tight = toxicity.Scorer(model)
+    assert np.allclose([tight.probabilities([t])[0] for t in texts], want, atol=1e-5)
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    import pandas as pd
+
+    from ledgerlens.llm import common
+    before = spark.conf.get(common.ARROW_BYTES, None)
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("word "), 200_000).alias("text"))     # 1 MB each
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)]})
+
+    model = toxicity.Model((), None, np.zeros(4), 0.0)
+    try:
+        spark.conf.unset(common.ARROW_BYTES)
+        scored = toxicity.score(texts, model)
+        assert texts.where(scored < 0.7).count() == 40
+        assert max(r["n"] for r in texts.mapInPandas(sizes, "n long").collect()) <= 10
+        spark.conf.set(common.ARROW_BYTES, "3m")                # a caller's own value stays
+        toxicity.score(texts, model)
+        assert spark.conf.get(common.ARROW_BYTES) == "3m"
+    finally:
+        spark.conf.unset(common.ARROW_BYTES) if before is None else spark.conf.set(common.ARROW_BYTES, before)
