@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import score_to_class, two_stage_decision
 from ..sources.csv import write_csv
-from .boosting import Booster, BoostSettings, fit_booster, thresholds
+from .boosting import Blocks, Booster, BoostSettings, Target, fit_blocks, stored_blocks, thresholds
 from .metrics import macro_f1
 from .resample import class_counts, hash_split
 
@@ -110,40 +110,45 @@ class TwoStageModel:
 
 def fit_two_stage(train: DataFrame, held_out: DataFrame, features: Sequence[str], label: str = "attrition",
                   binary: str = "binary_target", preset: TwoStagePreset = DEEP, times: str | None = None,
-                  cuts: list[list[float]] | None = None) -> TwoStageModel:
+                  cuts: list[list[float]] | None = None, blocks: Blocks | None = None) -> TwoStageModel:
     """Stage 1: binary boosting on every training row. Stage 2: joint multiclass
     boosting of the classes that occur, on the positive training rows (on all
     rows without the shift). ``held_out`` rows decide when each boosting stops and
     reach no fit; those of a class that no training row has are not asked. ``times`` names
-    the multiplicity of a training row; ``cuts`` gives thresholds that are known already."""
+    the multiplicity of a training row; ``cuts`` gives thresholds that are known already, ``blocks``
+    the stored blocks of both with the labels ``binary`` and ``label``."""
     feats = list(features)
     cuts = thresholds(train, feats) if cuts is None else cuts
-    if preset.shift_stage2:
-        rows, held = [df.where(F.col(binary) != 0).withColumn("__stage2", F.col(label) - 1) for df in (train, held_out)]
-    else:
-        rows, held = [df.withColumn("__stage2", F.col(label)) for df in (train, held_out)]
-    classes = [int(c) for c in sorted(c for c, _ in class_counts(rows, "__stage2"))]
-    place = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("__stage2").cast("int")) - 1).cast("int")
+    own = stored_blocks(train, held_out, feats, cuts, (binary, label), times) if blocks is None else None
+    blocks = own if blocks is None else blocks
+    rows, shift = (train.where(F.col(binary) != 0), 1) if preset.shift_stage2 else (train, 0)
+    known = tuple(sorted(int(c) for c, _ in class_counts(rows, label)))
+    classes = [c - shift for c in known]
     one = preset.settings(2, preset.max_iter_binary, preset.patience_binary)
     several = preset.settings(len(classes), preset.max_iter_multi, preset.patience_multi)
     with ThreadPoolExecutor(2) as pool:     # the stages do not depend on each other
-        first = pool.submit(fit_booster, train, held_out, feats, binary, one, times, cuts)
+        first = pool.submit(fit_blocks, blocks, feats, cuts, one, Target(0, (0, 1)))
         second = None
         if len(classes) > 1:
-            rows, held = [df.withColumn("__place", place) for df in (rows, held)]
-            second = pool.submit(fit_booster, rows, held.where("__place >= 0"), feats, "__place", several, times, cuts)
-        return TwoStageModel(first.result(), second.result() if second else None, classes, feats, preset)
+            second = pool.submit(fit_blocks, blocks, feats, cuts, several, Target(1, known, positive=0 if shift else None))
+        model = TwoStageModel(first.result(), second.result() if second else None, classes, feats, preset)
+    if own is not None:
+        own.drop()
+    return model
 
 
 def fit_presets(train: DataFrame, held_out: DataFrame, features: Sequence[str], presets: Mapping[str, TwoStagePreset],
                 label: str = "attrition", times: str | None = None) -> dict[str, TwoStageModel]:
     """A two-stage model for each preset, side by side: a boosting is a long row of short
-    jobs, which leave a cluster idle one by one. They share the thresholds."""
+    jobs, which leave a cluster idle one by one. They share the thresholds and the blocks, so rows are binned once."""
     cuts = thresholds(train, features)
+    blocks = stored_blocks(train, held_out, features, cuts, ("binary_target", label), times)
     with ThreadPoolExecutor(max(1, len(presets))) as pool:
-        fits = {name: pool.submit(fit_two_stage, train, held_out, features, label, preset=preset, times=times, cuts=cuts)
+        fits = {name: pool.submit(fit_two_stage, train, held_out, features, label, preset=preset, times=times, cuts=cuts, blocks=blocks)
                 for name, preset in presets.items()}
-        return {name: fit.result() for name, fit in fits.items()}
+        models = {name: fit.result() for name, fit in fits.items()}
+    blocks.drop()
+    return models
 
 
 def evaluate_two_stage(model: TwoStageModel, held_out: DataFrame, label: str = "attrition",

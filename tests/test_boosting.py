@@ -199,3 +199,84 @@ def test_stored_rows_are_drawn_without_a_second_copy(spark, monkeypatch):
         monkeypatch.setattr(R, "MAX_BROADCAST_DRAWS", 10)        # the join without a broadcast
         assert Counter(map(str, R.rebalance_stored(rows, "y", ["id"], 150, weights).collect())) == want
     assert R.rebalance_stored(rows.limit(0), "y", ["id"], 5).count() == 0
+
+
+def test_packed_features_give_their_histograms():
+    rng = np.random.default_rng(6)
+    sizes = [32, 2, 3, 1, 30, 4, 2, 2, 17, 3, 3]
+    bins = np.array([rng.integers(0, n, 400) for n in sizes]).astype(np.uint8)
+    packing = B.Packing(sizes)
+    packs = np.zeros((len(packing.cells), 400), np.uint8)
+    for f, (p, stride) in enumerate(packing.place):
+        packs[p] += bins[f] * np.uint8(stride)
+    assert len(packing.cells) < len(sizes) and max(packing.cells) <= B.PACK
+    assert all((packing.column(packs, f) == bins[f]).all() for f in range(len(sizes)))
+    place, weights = rng.integers(0, 3, 400), [rng.random(400), rng.random(400)]
+    got = packing.side_by_side(B.node_histograms(packs, place, 3, weights, B.PACK), 3)
+    want = B.node_histograms(bins, place, 3, weights).reshape(2, len(sizes), 3, B.BINS)
+    for node in range(3):
+        assert np.allclose(packing.cube(got[:, node]), want[:, :, node])
+
+
+def test_of_two_siblings_one_is_added_up():
+    booster, tree = B.Booster(B.BoostSettings(), ["a"], [[0.0, 1.0]]), B.Tree()
+    tree.split(0, 0, 0, 0.1, 0.2)
+    sums = {(0, 0): np.array([[1.0, 2.0, 3.0], [1.0, 5.0, 3.0]])}        # curvature 1 goes left, 8 right
+    assert booster._to_add_up([B.Tree()], [(0, 0)], {}) == {(0, 0): None}
+    assert booster._to_add_up([tree], [(0, 1), (0, 2)], sums) == {(0, 1): (0, 2)}
+    tree.cut[0] = 1
+    assert booster._to_add_up([tree], [(0, 1), (0, 2)], sums) == {(0, 2): (0, 1)}
+
+
+def test_leaves_are_looked_up_as_walked():
+    tree = B.Tree()
+    a, b = tree.split(0, 1, 3, 0.0, 0.0)
+    c, _ = tree.split(b, 0, 2, 0.0, 0.0)
+    tree.split(c, 1, 3, 0.0, 0.0)            # a split that occurs twice
+    tree.split(a, 2, 5, 0.0, 0.0)
+    x = np.random.default_rng(2).integers(0, 8, (3, 500)).astype(np.uint8)
+    walked, table = tree.nodes_of(500, lambda rows, f, cut: x[f, rows] <= cut), tree.outcomes()
+    code = sum((x[f] > cut).astype(int) << j for j, (f, cut) in enumerate(tree.splits()))
+    assert len(table) == 8 and (table[code] == walked).all()
+
+
+def test_presets_bin_the_rows_once(spark, monkeypatch):
+    rows = rows_of(spark, n=200).selectExpr("a", "b", "c", "y AS attrition", "cast(y > 0 AS int) AS binary_target", "times")
+    calls, blocks_of = [], B.blocks_of
+    monkeypatch.setattr(B, "blocks_of", lambda *args: calls.append(1) or blocks_of(*args))
+    small = ML.TwoStagePreset(max_depth=2, max_iter_binary=1, max_iter_multi=1)
+    ML.fit_presets(rows, rows.limit(0), FEATURES, {"x": small, "y": small}, times="times")
+    assert len(calls) == 2          # the training and the held-out rows
+
+
+def test_targets_pick_rows_and_classes():
+    labels = np.array([[1, 0, 1, B.NO_LABEL, 1], [2, 2, 4, 2, 3]], np.int32)
+    assert B.Target(1, (2, 4), positive=0).place(labels).tolist() == [0, -1, 1, -1, -1]
+    assert B.Target(0, (0, 1)).place(labels).tolist() == [1, 0, 1, -1, 1]
+
+
+def test_histograms_added_up_by_tasks_give_the_same_trees(spark, monkeypatch):
+    rows = rows_of(spark, 300)
+    s = B.BoostSettings(classes=3, rounds=2, max_depth=4, min_hessian=0.01, min_rows=3)
+    direct = B.fit_booster(rows, rows.limit(0), FEATURES, "y", s, times="times")
+    monkeypatch.setattr(B, "GATHER", 0)
+    assert shape(B.fit_booster(rows, rows.limit(0), FEATURES, "y", s, times="times")) == shape(direct)
+
+
+def test_without_patience_the_held_out_measure_is_of_all_rounds(spark):
+    rows = rows_of(spark, 400)
+    train, held = rows.where("id < 300"), rows.where("id >= 300")
+    booster = B.fit_booster(train, held, FEATURES, "y", B.BoostSettings(classes=3, rounds=9, max_depth=3, max_leaves=5, step_size=0.3))
+    wrong = held.withColumn("p", booster.predict()).where("p <> y").count()
+    assert len(booster.errors) == 9 and booster.errors[-1] == wrong
+
+
+def test_boostings_write_only_their_training_rows(spark, monkeypatch):
+    from conftest import SMALL
+    from ledgerlens.plans import catalog
+    staged, stage = [], catalog.stage
+    monkeypatch.setattr(catalog, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    monkeypatch.setattr(catalog.ML, "fit_presets", lambda *args, **more: {})
+    with pytest.raises(IndexError):      # no model, nothing to judge
+        catalog._two_stage(spark, SMALL)
+    assert staged == ["model-rows"]
